@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,3 +93,20 @@ def text_chunks(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, l
 def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Values as str, null as the empty text."""
     return [x or "" for x in column.to_pylist()]
+
+
+_shipped: set[str] = set()
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with this package sent to the executors, whose workers may not have it installed."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="quillmesh-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for path in sorted(root.rglob("*.py")):
+                z.write(path, path.relative_to(root.parent))
+        context.addPyFile(str(archive.resolve()))
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(function, schema)

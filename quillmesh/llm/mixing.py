@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillmesh.llm._common import stored
+
 #: Fixed-point unit of one copy: rank * copies stays exact in a long up to 10**10 documents a source.
 UNIT = 1 << 28
 #: Weights repeat over the sources in code-point order.
@@ -65,6 +67,7 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """
     d = docs.select(F.col("doc_id"), F.col("source"), words(F.col("text")).alias("size"))
     d = d.withColumn("_class", F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)).cast("double")) * 4).cast("int")).withColumn("_hash", _hash32(F.col("doc_id").cast("string")))
+    d = stored(d, "sizes")  # a few longs a document: the texts are read and counted once
     counted = d.groupBy("source", "_class", F.shiftright("_hash", 20).alias("_bucket")).agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
     sizes = source_targets(counted.groupBy("source").agg(F.sum("_n").alias("n_docs"), F.sum("_size").alias("source_size")))
     classes = counted.groupBy("source", "_class").agg(F.sum("_n").alias("_n"))
