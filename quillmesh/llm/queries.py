@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from quillmesh.llm import fingerprint, mixing
+from quillmesh.llm import fingerprint, langid, mixing, neardup, pfor
 
 QUERIES = {
+    "op3_pfor_token_blocks": pfor.query,
     "op7_document_fingerprints": fingerprint.query,
     "op8_mix_to_target_weights": mixing.query,
+    "op9_minhash_odd_sketches": neardup.query,
+    "op10_kneser_ney_language_id": langid.query,
 }
 
 ORACLE_SQL = {
     "op8_mix_to_target_weights": mixing.ORACLE,
+    "op9_minhash_odd_sketches": neardup.ORACLE,
 }
