@@ -20,6 +20,8 @@ from quillmesh.llm._common import id_buckets, scratch
 
 CELLS = 24
 ROUNDS = 8
+#: Paragraphs of both texts for each group of the second sketch.
+KEYS = 7
 LONG_LINE = 400
 #: Low bits of a key: the paragraph's length in characters, at most this.
 LENGTH = 4095
@@ -60,18 +62,19 @@ def _subtract(a: Column, b: Column) -> Column:
 def _peel(cells: Column) -> Column:
     """(cells left, keys found) of one group's difference."""
     bits = F.array(*map(F.lit, _BITS))
+    single = lambda cells: F.filter(cells, lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["key"], F.lit(1)) == c["check"]))
 
-    def round_(state: Column, _: Column) -> Column:
-        single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["key"], F.lit(1)) == c["check"]))
-
-        def remove(pure: Column) -> Column:
-            take = lambda x, p: F.struct((x["n"] - p["n"]).alias("n"), x["key"].bitwiseXOR(p["key"]).alias("key"), x["check"].bitwiseXOR(p["check"]).alias("check"))
-            left = F.zip_with(state["cells"], bits, lambda cell, bit: F.aggregate(pure, cell, lambda x, p: F.when(p["mask"].bitwiseAND(bit) != 0, take(x, p)).otherwise(x)))
-            return F.struct(F.when(F.size(pure) == 0, state["cells"]).otherwise(left).alias("cells"), F.concat(state["found"], F.transform(pure, lambda p: p["key"])).alias("found"))
+    def remove(state: Column, pure: Column) -> Column:
+        take = lambda x, p: F.struct((x["n"] - p["n"]).alias("n"), x["key"].bitwiseXOR(p["key"]).alias("key"), x["check"].bitwiseXOR(p["check"]).alias("check"))
+        left = F.zip_with(state["cells"], bits, lambda cell, bit: F.aggregate(pure, cell, lambda x, p: F.when(p["mask"].bitwiseAND(bit) != 0, take(x, p)).otherwise(x)))
+        return F.struct(left.alias("cells"), F.concat(state["found"], F.transform(pure, lambda p: p["key"])).alias("found"), (F.size(pure) > 0).alias("open"))
 
-        return _let(F.array_distinct(F.transform(single, lambda c: _entry(c["key"], c["n"]))), remove)
+    def round_(state: Column, _: Column) -> Column:
+        pure = F.array_distinct(F.transform(single(state["cells"]), lambda c: _entry(c["key"], c["n"])))
+        stuck = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("open"))
+        return F.when(state["open"], _let(pure, lambda p: F.when(F.size(p) > 0, remove(state, p)).otherwise(stuck))).otherwise(state)
 
-    start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"))
+    start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"), F.lit(True).alias("open"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_)
 
 
@@ -80,9 +83,9 @@ def _sketch(entries: Column, groups: Column) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), groups - 1), lambda g: _let(of(g), _cells))
 
 
-def differing_keys(a: Column, b: Column, groups: Column) -> Column:
-    """Keys in one entry list only, through sketches of ``groups`` groups; null if peeling fails."""
-    peeled = F.zip_with(_sketch(a, groups), _sketch(b, groups), lambda x, y: _peel(_subtract(x, y)))
+def differing_keys(a: Column, b: Column) -> Column:
+    """Keys that one of two sketches of equally many groups has alone; null if peeling fails."""
+    peeled = F.zip_with(a, b, lambda x, y: _peel(_subtract(x, y)))
     empty = lambda s: ~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0))
     return _let(peeled, lambda p: F.when(F.forall(p, empty), F.flatten(F.transform(p, lambda s: s["found"]))))
 
@@ -91,23 +94,27 @@ def _weight(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda s, k: s + k.bitwiseAND(F.lit(LENGTH)))
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: str, b: str) -> Column:
     """1 - length of the differing paragraphs / length of all; two empty sets are alike (1).
 
-    ``a`` and ``b`` are arrays of entries; repeated paragraphs of a text count once.
+    ``a`` and ``b`` name entry columns, with their sketches of one group in ``_1<name>``, of enough
+    groups for all paragraphs in ``_n<name>`` and that number in ``_groups``. Repeated paragraphs of
+    a text count once.
     """
+    x, y = F.col(a), F.col(b)
     keys = lambda x: F.transform(x, lambda e: e["key"])
-    fit = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / F.lit(7))).cast("long")
-    exact = F.array_union(F.array_except(keys(a), keys(b)), F.array_except(keys(b), keys(a)))
-    found = F.coalesce(differing_keys(a, b, F.lit(1).cast("long")), differing_keys(a, b, fit), differing_keys(a, b, fit * 4), differing_keys(a, b, fit * 16), exact)
-    whole = _weight(keys(a)) + _weight(keys(b))
+    larger = lambda times: differing_keys(_sketch(x, F.col("_groups") * times), _sketch(y, F.col("_groups") * times))
+    exact = F.array_union(F.array_except(keys(x), keys(y)), F.array_except(keys(y), keys(x)))
+    first = differing_keys(F.array(F.col(f"_1{a}")), F.array(F.col(f"_1{b}")))
+    found = F.coalesce(first, differing_keys(F.col(f"_n{a}"), F.col(f"_n{b}")), larger(4), larger(16), exact)
+    whole = _weight(keys(x)) + _weight(keys(y))
     return F.when(whole == 0, F.lit(1.0)).otherwise(1 - _weight(found) / whole)
 
 
-def printed(entries: Column) -> Column:
+def printed(name: str) -> Column:
     """The fingerprint as text: number of paragraphs, their length, the cells of the first sketch."""
-    cells = F.transform(_cells(entries), lambda c: F.concat_ws(".", F.hex(c["n"].cast("long")), F.hex(c["key"]), F.hex(c["check"])))
-    return F.concat_ws("|", F.size(entries).cast("string"), _weight(F.transform(entries, lambda e: e["key"])).cast("string"), F.array_join(cells, ","))
+    cells = F.transform(F.col(f"_1{name}"), lambda c: F.concat_ws(".", F.hex(c["n"].cast("long")), F.hex(c["key"]), F.hex(c["check"])))
+    return F.concat_ws("|", F.size(name).cast("string"), _weight(F.transform(name, lambda e: e["key"])).cast("string"), F.array_join(cells, ","))
 
 
 def with_next(docs: DataFrame, text: str) -> DataFrame:
@@ -140,11 +147,13 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     d = with_next(d, "text").withColumn("text_next", F.coalesce("text_next", F.lit(""))).withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("text_next", F.lit(1), cut)))
-    for name in ("text", "edited", "text_next"):
-        d = d.withColumn(f"_{name}", F.transform(paragraph_keys(F.col(name)), lambda k: _entry(k)))
+    names = {"_text": "text", "_edited": "edited", "_next": "text_next"}
+    d = d.withColumns({k: F.transform(paragraph_keys(F.col(v)), lambda k: _entry(k)) for k, v in names.items()})
+    d = d.withColumn("_groups", F.ceil((F.size("_text") + F.greatest(F.size("_edited"), F.size("_next"), F.lit(1))) / F.lit(KEYS)).cast("long"))
+    d = d.withColumns({f"_1{k}": _cells(F.col(k)) for k in names} | {f"_n{k}": _sketch(F.col(k), F.col("_groups")) for k in names})
     return d.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), printed(F.col("_text")).alias("fingerprint"), printed(F.col("_edited")).alias("edited_fingerprint"),
-        likeness(F.col("_text"), F.col("_edited")).alias("near_edited"), likeness(F.col("_text"), F.col("_text_next")).alias("near_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), printed("_text").alias("fingerprint"), printed("_edited").alias("edited_fingerprint"),
+        likeness("_text", "_edited").alias("near_edited"), likeness("_text", "_next").alias("near_next"),
     )
 
 
