@@ -12,6 +12,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -110,3 +111,8 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
         context.addPyFile(str(archive.resolve()))
         _shipped.add(context.applicationId)
     return df.mapInArrow(function, schema)
+
+
+def extended(df: DataFrame, ddl: str) -> T.StructType:
+    """The schema of ``df`` with further fields."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm._chars import mix
-from quillmesh.llm._common import map_arrow, scratch, stored, strings, text_chunks
+from quillmesh.llm._common import extended, map_arrow, scratch, stored, strings, text_chunks
 
 ORDER = 5
 SAMPLE = 600
@@ -311,7 +311,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             kept = [b.column(i) for i, f in enumerate(b.schema) if f.name != text]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names)
 
-    schema = docs.schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    schema = extended(docs, "lang_pred string, score double, rejected boolean")
     return map_arrow(source, run, schema)
 
 

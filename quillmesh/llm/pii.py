@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm._common import map_arrow, scratch, strings
+from quillmesh.llm._common import extended, map_arrow, scratch, strings
 
 #: Base kinds in their order (fixed values), then those that only the field finds.
 BASE = ("email", "ip", "card", "phone")
@@ -285,7 +285,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 rows.append([{"start": s, "end": e, "kind": k, "base": (s, e, k) in base} for s, e, k in found])
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i, f in enumerate(b.schema) if f.name != text], pa.array(rows, pa.list_(kind))], names)
 
-    return map_arrow(docs.withColumn(text, F.col("text")), run, docs.schema.add("pii", "array<struct<start:bigint,end:bigint,kind:string,base:boolean>>"))
+    return map_arrow(docs.withColumn(text, F.col("text")), run, extended(docs, "pii array<struct<start:bigint,end:bigint,kind:string,base:boolean>>"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm._common import map_arrow, scratch, strings
+from quillmesh.llm._common import extended, map_arrow, scratch, strings
 
 #: Base kinds in their order (fixed values), then the weak ones.
 BASE = ("assign", "access", "hex")
@@ -157,7 +157,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
             link = pa.struct([("identifier", pa.int32()), ("secret", pa.int32()), ("endpoint", pa.int32())])
             yield pa.RecordBatch.from_arrays([*kept, pa.array(spans, pa.list_(_SPAN)), pa.array(links, pa.list_(link)), pa.array(clean, pa.string())], names)
 
-    schema = docs.schema.add("spans", "array<struct<start:bigint,end:bigint,kind:string>>").add("links", "array<struct<identifier:int,secret:int,endpoint:int>>").add("redacted", "string")
+    schema = extended(docs, "spans array<struct<start:bigint,end:bigint,kind:string>>, links array<struct<identifier:int,secret:int,endpoint:int>>, redacted string")
     return map_arrow(docs.withColumn(text, F.col("text")), run, schema)
 
 
