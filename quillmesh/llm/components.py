@@ -35,8 +35,9 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """
     e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     for _ in range(most):
-        e = stored(_to_least(_to_least(e, True), False), "edges")
-        # done when all are stars: no vertex is both linked to a lesser one and linked to by a greater one
-        if not e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count() and not e.groupBy("u").count().filter("count > 1").limit(1).count():
+        # done when all are stars: no vertex has two lesser neighbours, or both a lesser and a greater one
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("low"), F.lit(0).alias("high")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("low"), F.lit(1).alias("high")))
+        if not ends.groupBy("x").agg(F.sum("low").alias("low"), F.sum("high").alias("high")).filter("low > 1 or (low > 0 and high > 0)").limit(1).count():
             return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        e = stored(_to_least(_to_least(e, True), False), "edges")
     raise RuntimeError(f"components did not settle in {most} steps")

@@ -4,13 +4,13 @@
    samples each, and an odd sketch: every (place, sample) toggles one of BITS bits, so the XOR of two
    sketches counts the samples in which they differ.
 2. Texts with equal sets are one class (digest of the set); the class's least doc_id stands for it.
-3. Classes that share a band key are compared. First each with one member of its bucket; what that links
-   is joined up. Then, in buckets whose members are not yet in one component, all members of different
-   components are compared by sketch, block against block, and every member names its nearest partners
-   of other components: 2, then 16, 128, ... until no member has an untried partner left.
-4. Named pairs are confirmed on the full sets (100 * shared >= PERCENT * union). Only pairs whose
-   outcome can change a component are ever named, which is why a bucket's pairs needn't be listed, and
-   no pair that the sketches let through is skipped.
+3. In every bucket of classes that share a band key, sketches are compared; pairs that may be linked join their
+   members to a cluster (only a spanning forest of them leaves a task).
+4. A cluster's members are compared on their full sets (100 * shared >= PERCENT * union), again leaving
+   a spanning forest of the links, whose components are the result.
+
+Buckets and clusters of any size are compared whole: their members are dealt to blocks, and each pair of
+blocks is a task of bounded size.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmesh.llm._chars import Chars, mix, span_hash
+from quillmesh.llm._chars import Chars, mix, ragged, span_hash
 from quillmesh.llm._common import map_arrow, scratch, stored, strings, text_chunks
 from quillmesh.llm.components import components
 
@@ -33,11 +33,11 @@ PERCENT = 85
 ROWS, BANDS = 5, 32
 PERMS = ROWS * BANDS
 BITS = 512
-#: Pairs whose sketches estimate a similarity below this are not confirmed: 0.2 under the threshold, about
-#: six standard deviations of the estimate at 0.85.
-LEAST = 0.65
-#: Members of a block in the comparison of a bucket.
-BLOCK = 1024
+#: Pairs whose sketches estimate a similarity below this don't make a cluster: 0.17 under the threshold, over
+#: five standard deviations of the estimate at 0.85.
+LEAST = 0.68
+#: Members of a block of a bucket, and shingles of a block of a cluster.
+BLOCK, ELEMENTS = 2048, 500_000
 _R = np.random.default_rng(20240229)
 _MASK = _R.integers(0, 1 << 63, PERMS, np.uint64)
 _ODD = _R.integers(0, 1 << 63, PERMS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,112 +140,99 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch binary")
 
 
-def _nearest(key: np.ndarray, ids: np.ndarray, comp: np.ndarray, sketch: np.ndarray, left: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each member its k nearest in other components among the ``left`` x right or left x left pairs of one task."""
-    a = np.flatnonzero(left)
-    b = np.arange(len(ids))
+def _forest(ids: np.ndarray, left: np.ndarray, right: np.ndarray, linked) -> list[tuple[int, int]]:
+    """Spanning forest of the graph in which ``linked(row, columns)`` tells whose neighbours a row has.
+
+    Rows are the places ``left``, columns the places ``right``. A row whose columns are all in its tree
+    already is passed over.
+    """
+    label = np.arange(len(ids))
     out = []
-    for at in range(0, len(a), 128):
-        rows = a[at : at + 128]
-        similar = SIMILAR[np.bitwise_count(sketch[rows][:, None, :] ^ sketch[b][None, :, :]).sum(axis=2, dtype=np.int64)]
-        similar[comp[rows][:, None] == comp[b][None, :]] = 0
-        hit = similar >= LEAST
-        if not hit.any():
+    for r in left:
+        open_ = right[label[right] != label[r]]
+        if not len(open_):
             continue
-        r, c = np.nonzero(hit)
-        out.append((rows[r], b[c], similar[r, c]))
-    if not out:
-        z = np.zeros(0, np.int64)
-        return z, z, z.astype(float), z.astype(bool)
-    r, c, s = (np.concatenate(x) for x in zip(*out, strict=True))
-    # both sides name their nearest: a member that stands on one side only still gets its turn
-    member, other, s = np.concatenate((r, c)), np.concatenate((c, r)), np.concatenate((s, s))
-    order = np.lexsort((ids[other], -s, member))
-    member, other, s = member[order], other[order], s[order]
-    first = np.searchsorted(member, member)
-    place = np.arange(len(member)) - first
-    take = place < k
-    return ids[member[take]], ids[other[take]], s[take], (np.bincount(member, minlength=len(ids)) > k)[member[take]]
-
-
-def _candidates(buckets: DataFrame, k: int) -> DataFrame:
-    """(u, v, more) named in buckets (key, id, component, sketch) that hold several components."""
-    per = buckets.groupBy("key", "component").agg(F.count("*").alias("n"))
-    whole = per.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("n_comp")).filter("n_comp > 1")
-    b = buckets.join(whole, "key")
-    # The members outside the main component meet all others; both sides go in blocks of hashed members.
-    rest = F.col("n") - F.col("n_main")
-    b = b.withColumn("outside", F.col("component") != F.col("main")).withColumn("p", F.ceil(rest / BLOCK)).withColumn("q", F.ceil(F.col("n_main") / (4 * BLOCK)))
-    h = F.abs(F.xxhash64("id") % 1_000_003)
-    seq = lambda x: F.sequence(F.lit(0).cast("long"), x - 1)
-    mine = F.struct(F.pmod(h, F.col("p")).alias("i"))["i"]
-    # tasks (i, j): outside block i as the left side; right side: main block j >= 0, or outside block -1 - j
-    left = F.transform(F.concat(seq(F.col("q")), F.transform(seq(F.col("p")), lambda x: -1 - x)), lambda j: F.struct(mine.alias("i"), j.alias("j"), F.lit(True).alias("left")))
-    as_right = F.transform(seq(F.col("p")), lambda i: F.struct(i.alias("i"), (-1 - mine).alias("j"), F.lit(False).alias("left")))
-    other = F.transform(seq(F.col("p")), lambda i: F.struct(i.alias("i"), F.pmod(h, F.col("q")).alias("j"), F.lit(False).alias("left")))
-    # an outside member meets its own block as left; towards the other blocks the lower number is left
-    own = F.filter(F.concat(left, as_right), lambda t: (t["j"] >= 0) | (t["left"] & (-1 - t["j"] >= t["i"])) | (~t["left"] & (t["i"] < -1 - t["j"])))
-    tasks = b.withColumn("task", F.explode(F.when(F.col("outside"), own).otherwise(other))).select("key", F.col("task.i").alias("i"), F.col("task.j").alias("j"), F.col("task.left").alias("left"), "id", "component", "sketch")
+        hit = open_[linked(int(r), open_)]
+        roots, first = np.unique(label[hit], return_index=True)
+        for root, c in zip(roots.tolist(), hit[first].tolist(), strict=True):
+            out.append((int(ids[r]), int(ids[c])))
+            label[label == root] = label[r]
+    return out
+
+
+def _blocked(rows: DataFrame, make, columns: list[str]) -> DataFrame:
+    """(u, v): the spanning forests of every group's tasks.
+
+    ``rows`` has (key, id, p, ...): a group's members are dealt to p blocks by hash, and each pair of blocks is a
+    task, so a large group's pairs are compared in pieces of bounded size, each on any executor. ``make`` gets
+    a task's columns as lists and returns its ``linked``.
+    """
+    block = F.pmod(F.xxhash64("id", F.lit(9)), F.col("p"))
+    others = F.sequence(F.lit(0).cast("long"), F.col("p") - 1)
+    pairs = F.transform(others, lambda x: F.struct(F.least(x, F.col("_b")).alias("i"), F.greatest(x, F.col("_b")).alias("j")))
+    tasks = rows.withColumn("_b", block).withColumn("_t", F.explode(pairs)).select("key", F.col("_t.i").alias("i"), F.col("_t.j").alias("j"), "_b", "id", *columns)
+
+    def task(t: pa.Table) -> list[tuple[int, int]]:
+        if t.num_rows < 2:
+            return []
+        ids, block = t.column("id").to_numpy(), t.column("_b").to_numpy()
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        linked = make(*[t.column(c).to_pylist() for c in columns])
+        return _forest(ids, np.flatnonzero(block == i), np.flatnonzero(block == j), linked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
-
-        def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            if t.num_rows < 2:
-                return
-            cols = [t.column(x).to_numpy() for x in ("key", "i", "j")]
-            cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in cols], axis=0)) + 1
-            u, v, s, more = [], [], [], []
-            ids, comp, left = (t.column(x).to_numpy() for x in ("id", "component", "left"))
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
-            for a, z in zip([0, *cut], [*cut, len(ids)], strict=True):
-                if z - a > 1:
-                    x = _nearest(cols[0], ids[a:z], comp[a:z], sketch[a:z], left[a:z], k)
-                    for to, values in zip((u, v, s, more), x, strict=True):
-                        to.append(values)
-            if u:
-                u_, v_ = np.concatenate(u), np.concatenate(v)
-                yield pa.RecordBatch.from_arrays([pa.array(u_.astype(np.int64)), pa.array(v_.astype(np.int64)), pa.array(np.concatenate(s).astype(float)), pa.array(np.concatenate(more).astype(bool))], ["u", "v", "similar", "more"])
-
-        for b in batches:  # sorted by task; the last task of a batch may go on in the next
+        for b in batches:  # sorted by task; a batch's last task may go on in the next batch
             if not b.num_rows:
                 continue
             t = pa.concat_tables([*held, pa.Table.from_batches([b])])
-            keys = [t.column(x) for x in ("key", "i", "j")]
-            last = [x[-1].as_py() for x in keys]
-            same = np.all([x.to_numpy() == y for x, y in zip(keys, last, strict=True)], axis=0)
-            at = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            yield from done(t.slice(0, at))
-            held = [t.slice(at)]
-        if held:
-            yield from done(pa.concat_tables(held))
-
-    named = map_arrow(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "u bigint, v bigint, similar double, more boolean")
-    best = W.partitionBy("u").orderBy(F.desc("similar"), "v")
-    named = named.groupBy("u", "v").agg(F.max("similar").alias("similar"), F.max("more").alias("more"))
-    named = named.withColumn("place", F.row_number().over(best)).withColumn("more", F.max("more").over(W.partitionBy("u")) | (F.count("*").over(W.partitionBy("u")) > k)).filter(F.col("place") <= k)
-    return named.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "more").groupBy("u", "v").agg(F.max("more").alias("more"))
-
-
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (u, v) with ``linked``: whether their full sets are as similar as ``percent``."""
-    a = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
-    b = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
+            keys = [t.column(x).to_numpy() for x in ("key", "i", "j")]
+            cut = [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0)) + 1).tolist()]
+            found = [e for x, y in zip(cut, cut[1:], strict=False) for e in task(t.slice(x, y - x))]
+            held = [t.slice(cut[-1])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
+        found = task(pa.concat_tables(held)) if held else []
+        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
+
+    return map_arrow(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "u bigint, v bigint")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            linked = []
-            for p, q in zip(x.column("a"), x.column("b"), strict=True):
-                p, q = (np.frombuffer(y.as_py(), np.uint64) for y in (p, q))
-                n = len(np.intersect1d(p, q, assume_unique=True))
-                linked.append(100 * n >= percent * (len(p) + len(q) - n))
-            yield pa.RecordBatch.from_arrays([x.column("u"), x.column("v"), pa.array(linked, pa.bool_())], ["u", "v", "linked"])
 
-    return map_arrow(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b"), run, "u bigint, v bigint, linked boolean")
+def _alike(sketches: list[bytes]):
+    """Links of a bucket's members whose sketches let them be similar enough."""
+    s = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+
+    def linked(r: int, columns: np.ndarray) -> np.ndarray:
+        return SIMILAR[np.bitwise_count(s[columns] ^ s[r]).sum(axis=1, dtype=np.int64)] >= LEAST
+
+    return linked
+
+
+def _similar(percent: int):
+    """Links of a cluster's members on their full sets: a row's shingles are marked and counted in all columns."""
+
+    def make(sets: list[bytes]):
+        each = [np.frombuffer(x, np.uint64) for x in sets]
+        size = np.array([len(x) for x in each])
+        values, number = np.unique(np.concatenate(each), return_inverse=True)
+        offsets = np.concatenate(([0], np.cumsum(size)))
+        mark = np.zeros(len(values), np.int32)
+
+        def linked(r: int, columns: np.ndarray) -> np.ndarray:
+            own = number[offsets[r] : offsets[r + 1]]
+            mark[own] = 1
+            flat, count = ragged(number, offsets, columns)
+            shared = np.add.reduceat(mark[flat], np.cumsum(count) - count)
+            mark[own] = 0
+            return 100 * shared >= percent * (size[columns] + size[r] - shared)
+
+        return linked
+
+    return make
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents in ``ids``; of rows that repeat a doc_id, each has the same set or is its own class."""
+    """(id, shingles) of the documents in ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -263,56 +250,33 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     component_id is the least doc_id reachable over links; kept: doc_id is component_id. Null or
     wordless texts have no shingles, no links and are kept. doc_id is taken as the key of a document:
     of rows that repeat one, each is returned, and they share a component (the least one that any of
-    them reaches). Rows with a null doc_id are returned with null component and kept. An empty table
-    gives an empty result. Further columns are ignored.
+    them reaches; of differing texts one stands for all in comparisons). Rows with a null doc_id are
+    returned with null component and kept. An empty table gives an empty result. Further columns are ignored.
     """
     sig = stored(signatures(docs), "signatures")
     worded = sig.filter("digest is not null and doc_id is not null")
     # the same set: one class, which its least doc_id stands for
     classes = stored(worded.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    ids = worded.join(classes, "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    reps = worded.join(classes, (worded["digest"] == classes["digest"]) & (worded["doc_id"] == classes["rep"])).select("rep", "bands", "sketch")
+    of = worded.select("doc_id", "digest").join(classes, "digest").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
+    of = stored(of, "representatives")
+    reps = worded.join(classes, (worded["digest"] == classes["digest"]) & (worded["doc_id"] == classes["rep"])).select("rep", "n_shingles", "bands", "sketch")
     bands = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
-    # buckets with several members; the one that all others are compared with first differs from band to band
-    bucket = W.partitionBy("key")
-    bands = bands.withColumn("n", F.count("*").over(bucket)).withColumn("first", F.min(F.struct(F.xxhash64("id", "key"), F.col("id"))).over(bucket)["id"]).filter("n > 1")
-    bands = stored(bands.select("key", "id", "first"), "bands")
-    members = stored(bands.select("id").distinct(), "members")
-    sketches = stored(reps.select(F.col("rep").alias("id"), "sketch").join(members, "id", "left_semi").groupBy("id").agg(F.min("sketch").alias("sketch")), "sketches")
-    sets = stored(_sets(docs, members).groupBy("id").agg(F.min("shingles").alias("shingles")), "sets")
-    pairs = bands.filter("id <> first").select(F.least("id", "first").alias("u"), F.greatest("id", "first").alias("v")).distinct()
-    tried = stored(_confirm(_alike(pairs, sketches), sets, percent), "tried")
-    k = 2
-    while True:
-        links = tried.filter("linked").select("u", "v")
-        comps = stored(components(links), "components")
-        labelled = bands.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        open_ = stored(labelled.join(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key"), "key", "left_semi"), "open")
-        named = stored(_candidates(open_.join(sketches, "id"), k), "named")
-        fresh = named.join(tried.select("u", "v"), ["u", "v"], "left_anti")
-        confirmed = stored(_confirm(fresh.select("u", "v"), sets, percent), "confirmed")
-        any_new = confirmed.limit(1).count()
-        if not any_new and not named.filter("more").limit(1).count():
-            break
-        if any_new:
-            tried = stored(tried.unionByName(confirmed), "tried")
-        k *= 8
-    # copies and links together; a doc_id that several classes hold joins them
-    found = components(links.unionByName(ids.filter("u <> v")))
-    return sig.select("doc_id", "n_shingles").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"))
-
-
-def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs whose sketches let them be similar enough."""
-    a, b = (sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s_{x}")) for x in ("u", "v"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            p, q = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint64).reshape(x.num_rows, -1) for c in ("s_u", "s_v"))
-            keep = pa.array(SIMILAR[np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64)] >= LEAST)
-            yield pa.RecordBatch.from_arrays([x.column("u").filter(keep), x.column("v").filter(keep)], ["u", "v"])
-
-    return map_arrow(pairs.join(a, "u").join(b, "v").select("u", "v", "s_u", "s_v"), run, "u bigint, v bigint")
+    bands = bands.withColumn("n", F.count("*").over(W.partitionBy("key"))).filter("n > 1")
+    bands = stored(bands.withColumn("p", F.ceil(F.col("n") / BLOCK)).select("key", "id", "p"), "bands")
+    members = bands.select("id").distinct()
+    sketches = reps.select(F.col("rep").alias("id"), "sketch", "n_shingles").join(members, "id", "left_semi").groupBy("id").agg(F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n_shingles"))
+    sketches = stored(sketches, "sketches")
+    # clusters: members joined up wherever a bucket and their sketches say that they may be linked
+    clusters = components(_blocked(bands.join(sketches, "id"), _alike, ["sketch"])).withColumnRenamed("component", "key")
+    clusters = stored(clusters.join(sketches.select("id", "n_shingles"), "id"), "clusters")
+    parts = clusters.groupBy("key").agg(F.ceil(F.sum("n_shingles") / ELEMENTS).alias("p"))
+    sets = stored(_sets(docs, clusters).groupBy("id").agg(F.min("shingles").alias("shingles")), "sets")
+    links = _blocked(clusters.join(parts, "key").join(sets, "id").select("key", "id", "p", "shingles"), _similar(percent), ["shingles"])
+    # a doc_id with several texts joins their classes
+    twice = of.filter("rep <> other").select(F.col("rep").alias("u"), F.col("other").alias("v"))
+    found = components(links.unionByName(twice)).withColumnRenamed("id", "rep")
+    found = of.join(found, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    return sig.select("doc_id", "n_shingles").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
