@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -24,7 +25,7 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Code points below this have been in Unicode long enough to be classed alike everywhere.
 CERTAIN = 0x2100
 #: Pieces kept at most; then the older half is forgotten.
-KEEP = 300_000
+KEEP = 600_000
 
 _classes: np.ndarray | None = None
 
@@ -71,7 +72,7 @@ def piece_starts(c: Chars) -> np.ndarray:
 
 
 class Pieces:
-    """Ids of pieces by hash, kept over batches."""
+    """Ids of pieces (packed, 4 bytes each) by hash, kept over batches."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,8 +80,8 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.new: dict[int, tuple[int, ...]] = {}
-        self.old: dict[int, tuple[int, ...]] = {}
+        self.new: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -97,11 +98,10 @@ class Pieces:
         missing = [i for i, x in enumerate(got) if x is None]
         spell = [c.text[a:b] for a, b in zip(starts[first[missing]].tolist(), ends[first[missing]].tolist(), strict=True)] if missing else []
         for i, ids in zip(missing, self.whole(spell), strict=True):
-            got[i] = tuple(ids)
+            got[i] = array("I", ids).tobytes()
         self.new.update(zip(keys, got, strict=True))
-        counts = np.fromiter(map(len, got), np.int64, len(got))
-        offsets = np.concatenate(([0], np.cumsum(counts)))
-        ids = np.fromiter((y for x in got for y in x), np.uint32, int(offsets[-1]))
+        offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) // 4)))
+        ids = np.frombuffer(b"".join(got), np.uint32)
         flat, each = ragged(ids, offsets, which)
         done = np.concatenate(([0], np.cumsum(each)))[np.searchsorted(starts, c.starts)]
         return flat, np.diff(done)
@@ -114,7 +114,7 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids (uint32) of each whole text, as the library's encode without special tokens gives them."""
     pieces = _kept.get(path) or _kept.setdefault(path, Pieces(path))
     out: list[np.ndarray] = []
-    for _, run in text_chunks(texts):
+    for _, run in text_chunks(texts, 1 << 21):
         c = Chars(run)
         sure = c.cp < CERTAIN
         sure[sure] = classes()[c.cp[sure]] != 255

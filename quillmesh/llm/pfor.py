@@ -130,8 +130,8 @@ def shards(docs: DataFrame, path: str, encoder=bytebpe.encode, end: int = END, p
         for b in batches:
             if b.num_rows:
                 part = b.column("part")[0].as_py()
-            for at in range(0, b.num_rows, 512):
-                piece = b.slice(at, 512)
+            for at in range(0, b.num_rows, 1024):
+                piece = b.slice(at, 1024)
                 for key, x in zip(piece.column("doc_id").to_pylist(), encoder(strings(piece.column("text")), path), strict=True):
                     held.append(np.append(x, np.uint32(end)))
                     ids.append(key)
