@@ -1,6 +1,7 @@
 """Operator 7, document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is the set of its paragraphs: lines, and the sentences of a line over LONG_LINE characters.
+A text is the set of its paragraphs: lines, and in a line over LONG_LINE characters the runs of sentences that
+CUT tells apart by what stands around the cut alone, so an edit elsewhere doesn't move it.
 A paragraph's key is its 64-bit hash with the low bits replaced by its length. A sketch has groups
 of CELLS cells; a key goes to one group and there to three cells, each holding a count, the XOR of
 the keys and the XOR of their checks. Two versions' sketches subtract cell by cell: what both hold
@@ -22,7 +23,9 @@ CELLS = 24
 ROUNDS = 8
 #: Paragraphs of both texts for each group of the second sketch.
 KEYS = 7
-LONG_LINE = 400
+LONG_LINE = 200
+#: Between sentences whose last letter is one of the first eight: about every third.
+CUT = "(?<=[a-h][.!?]) "
 #: Low bits of a key: the paragraph's length in characters, at most this.
 LENGTH = 4095
 _BITS = [1 << i for i in range(CELLS)]
@@ -35,7 +38,7 @@ def _let(value: Column, body) -> Column:
 
 def paragraph_keys(text: Column) -> Column:
     """Distinct keys of the text's paragraphs, as entries (key, check, mask of cells, group hash)."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.when(F.length(x) > LONG_LINE, F.split(x, "(?<=[.!?]) ")).otherwise(F.array(x)))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.when(F.length(x) > LONG_LINE, F.split(x, CUT)).otherwise(F.array(x)))
     found = F.filter(F.flatten(lines), lambda x: F.trim(x) != "")
     return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x).bitwiseAND(F.lit(~LENGTH)).bitwiseOR(F.least(F.length(x), F.lit(LENGTH)).cast("long"))))
 
