@@ -1 +1 @@
-
+"""Query language, fixture mapping and the registered queries."""
