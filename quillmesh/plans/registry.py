@@ -488,7 +488,7 @@ def _(spark, sf):
     return o.select("o_orderkey", dates.date_ms(unpadded).alias("ms"), dates.date_ms(F.concat_ws("-", F.year(d), F.lit("2"), F.lit("30"))).alias("bad"), dates.iso_day(F.unix_millis(d)).alias("day"))
 
 
-@query("formatting", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f', n_chars / 1024.0) || ' KB' END AS size, '@' || (n_chars * 97 // 60000) || 'm' || lpad((n_chars * 97 % 60000 // 1000)::VARCHAR, 2, '0') || 's' AS timecode FROM documents")
+@query("formatting", "SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f', floor(n_chars * 10 / 1024.0 + 0.5) / 10) || ' KB' END AS size, '@' || (n_chars * 97 // 60000) || 'm' || lpad((n_chars * 97 % 60000 // 1000)::VARCHAR, 2, '0') || 's' AS timecode FROM documents")
 def _(spark, sf):
     n = F.col("n_chars")
     return fx.tables(spark, sf, "documents")[0].select("doc_id", text.file_size(n).alias("size"), text.timecode(n * 97).alias("timecode"))
