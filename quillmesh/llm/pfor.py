@@ -157,13 +157,16 @@ def read_documents(written: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                x = {k: b.column(k)[row] for k in ("base", "doc_ids", "image")}
-                each = decode_shard(x["image"].as_py())
+                x = {k: b.column(k)[row].as_py() for k in ("part", "seq", "doc_ids", "image")}
+                each = decode_shard(x["image"])
                 size = np.fromiter(map(len, each), np.int64, len(each))
                 crc = [zlib.crc32(np.ascontiguousarray(i, "<u4")) for i in each]
-                yield pa.RecordBatch.from_arrays([pa.array(x["doc_ids"].as_py(), pa.int64()), pa.array(x["base"].as_py() + np.cumsum(size) - size), pa.array(size), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                place = [pa.array([x[k]] * len(each), pa.int32()) for k in ("part", "seq")]
+                yield pa.RecordBatch.from_arrays([*place, pa.array(x["doc_ids"], pa.int64()), pa.array(np.cumsum(size) - size), pa.array(size), pa.array(crc, pa.int64())], ["part", "seq", "doc_id", "local", "n_tokens", "ids_crc32"])
 
-    return map_arrow(written.join(base, ["part", "seq"]).select("base", "doc_ids", "image"), run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # the images stay where they are read: only the documents' few numbers meet the shards' starts
+    found = map_arrow(written.select("part", "seq", "doc_ids", "image"), run, "part int, seq int, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint")
+    return found.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def write(docs: DataFrame, path: str, tokenizer: str) -> None:
