@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +38,7 @@ N_BEST = 4
 #: Log probability of a byte piece: below all pieces of the vocabulary.
 BYTE = -16.0
 #: Words kept at most (then the older half is forgotten), and longest word in the array pass.
-KEEP, LONG = 300_000, 24
+KEEP, LONG = 400_000, 64
 MISS = -1
 
 
@@ -64,21 +65,23 @@ class Vocabulary:
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a piece crosses the start of a word")
         self.longest = max(map(len, self.pieces))
-        spell = list(self.pieces)
-        c = Chars(spell)
+        # every beginning of a piece by hash, with the piece that it is, if any
+        begin = sorted({p[:n] for p in self.pieces for n in range(1, len(p) + 1)})
+        c = Chars(begin)
         keys = span_hash(c.prefix_hash(), c.starts[:-1], c.starts[1:])
         order = np.argsort(keys)
-        self.hashes = Hashes(keys[order])
-        self.ids = np.array([self.pieces[spell[i]][0] for i in order], np.int32)
-        self.logp = np.array([self.pieces[spell[i]][1] for i in order])
+        self.begin = Hashes(keys[order])
+        self.ids = np.array([self.pieces.get(begin[i], (MISS, 0.0))[0] for i in order], np.int32)
+        self.logp = np.array([self.pieces.get(begin[i], (MISS, 0.0))[1] for i in order])
         # what each id decodes to
         self.spelt = [b""] * n
         for p, (i, _) in self.pieces.items():
             self.spelt[i] = p.replace(SPACE, " ").encode()
         for b, i in enumerate(self.bytes):
             self.spelt[i] = bytes([b])
-        self.new: dict[int, tuple[tuple[int, ...], float, float]] = {}
-        self.old: dict[int, tuple[tuple[int, ...], float, float]] = {}
+        # of each word kept: the best's ids (packed), its score, and how much less the second best has
+        self.new: dict[int, tuple[bytes, float, float]] = {}
+        self.old: dict[int, tuple[bytes, float, float]] = {}
         self.n_best = lru_cache(100_000)(self._n_best)
 
     # ---- one word
@@ -120,51 +123,70 @@ class Vocabulary:
 
     # ---- distinct words of a batch as arrays
 
-    def _forward_two(self, prefix: np.ndarray, start: np.ndarray, length: int, text: str) -> list[tuple[tuple[int, ...], float, float]]:
-        """(ids of the best, its score, how much less the second best has) of words of one length."""
-        m = len(start)
-        one = np.full((length + 1, m), -np.inf)
-        two = np.full((length + 1, m), -np.inf)
-        one[0] = 0
-        come, edge = np.zeros((length + 1, m), np.int16), np.full((length + 1, m), MISS, np.int32)
-        for j in range(1, length + 1):
-            for i in range(max(0, j - self.longest), j):
-                found = self.hashes.find(span_hash(prefix, start + i, start + j))
-                has = found >= 0
-                if i == j - 1:
-                    s = np.where(has, self.logp[found], 0.0)
-                    for k in np.flatnonzero(~has):
-                        s[k] = BYTE * len(self.char_ids(text[int(start[k]) + i]))
-                    rows = np.arange(m)
-                else:
-                    rows = np.flatnonzero(has)
-                    if not len(rows):
-                        continue
-                    found = found[rows]
-                    s = self.logp[found]
-                a, b = one[i, rows] + s, two[i, rows] + s
-                first, second = one[j, rows], two[j, rows]
-                better = a > first
-                two[j, rows] = np.maximum(np.maximum(second, b), np.minimum(first, a))
-                one[j, rows] = np.where(better, a, first)
-                come[j, rows] = np.where(better, i, come[j, rows])
-                edge[j, rows] = np.where(better, found, edge[j, rows])
+    def _edges(self, prefix: np.ndarray, start: np.ndarray, size: np.ndarray, text: str) -> tuple[np.ndarray, ...]:
+        """(word, from, to, piece or MISS, score) of all lattice edges of some words; from and to within the word.
+
+        From every character the pieces are found by growing beginnings, as long as some piece begins so.
+        """
+        word = np.repeat(np.arange(len(start)), size)
+        at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+        place = start[word] + at
+        alive = np.arange(len(word))
+        out = []
+        for n in range(1, self.longest + 1):
+            alive = alive[at[alive] + n <= size[word[alive]]]
+            found = self.begin.find(span_hash(prefix, place[alive], place[alive] + n))
+            piece = np.where(found >= 0, self.ids[found], MISS)
+            has = piece >= 0
+            if n == 1:  # characters without a piece: their bytes
+                none = alive[~has]
+                cost = np.array([BYTE * len(self.char_ids(text[i])) for i in place[none].tolist()])
+                out.append((word[none], at[none], at[none] + 1, np.full(len(none), MISS, np.int32), cost))
+            e = alive[has]
+            out.append((word[e], at[e], at[e] + n, piece[has], self.logp[found[has]]))
+            alive = alive[found >= 0]
+            if not len(alive):
+                break
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _forward_two(self, prefix: np.ndarray, start: np.ndarray, size: np.ndarray, text: str) -> list[tuple[bytes, float, float]]:
+        """Best ids, best score and lead over the second best of each word, the words side by side.
+
+        Edges are taken by their end, and of one end by their length, so that every step meets a word once
+        and all scores that it starts from are final.
+        """
+        word, a, b, piece, s = self._edges(prefix, start, size, text)
+        order = np.argsort(((b << 5) | np.minimum(b - a, 31)).astype(np.uint16), kind="stable")
+        word, a, b, piece, s = word[order], a[order], b[order], piece[order], s[order]
+        base = np.cumsum(size + 1) - (size + 1)
+        source, target = base[word] + a, base[word] + b
+        one = np.full(int((size + 1).sum()), -np.inf)
+        two = one.copy()
+        one[base] = 0
+        come = np.zeros(len(one), np.int64)
+        step = (b << 5) | np.minimum(b - a, 31)
+        cut = [0, *(np.flatnonzero(step[1:] != step[:-1]) + 1).tolist(), len(step)]
+        for x, y in zip(cut, cut[1:], strict=False):
+            src, to, w = source[x:y], target[x:y], s[x:y]
+            first, second, best = one[to], two[to], one[src] + w
+            better = best > first
+            two[to] = np.maximum(np.maximum(second, two[src] + w), np.minimum(first, best))
+            one[to] = np.where(better, best, first)
+            come[to[better]] = np.arange(x, y)[better]
+        end = base + size
+        best, lead = one[end].tolist(), (one[end] - two[end]).tolist()
+        come_, source_, piece_ = come.tolist(), source.tolist(), piece.tolist()
         out = []
-        lead = (one[length] - two[length]).tolist()
-        best = one[length].tolist()
-        come_, edge_ = come.T.tolist(), edge.T.tolist()
-        ids_ = self.ids.tolist()
-        for k in range(m):
+        for k, (node, low, place) in enumerate(zip(end.tolist(), base.tolist(), start.tolist(), strict=True)):
             ids: list[int] = []
-            j = length
-            while j:
-                e = edge_[k][j]
-                if e >= 0:
-                    ids.append(ids_[e])
+            while node != low:
+                e = come_[node]
+                node = source_[e]
+                if piece_[e] >= 0:
+                    ids.append(piece_[e])
                 else:
-                    ids += self.char_ids(text[int(start[k]) + j - 1])[::-1]
-                j = come_[k][j]
-            out.append((tuple(ids[::-1]), best[k], lead[k]))
+                    ids += self.char_ids(text[place + node - low])[::-1]
+            out.append((array("i", ids[::-1]).tobytes(), best[k], lead[k]))
         return out
 
     def words(self, c: Chars) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
@@ -183,36 +205,33 @@ class Vocabulary:
         got = [self.new.get(k) or self.old.get(k) for k in keys]
         missing = np.array([i for i, x in enumerate(got) if x is None], np.int64)
         size = (end - start)[first[missing]]
-        for length in np.unique(size).tolist():
-            of = missing[size == length]
-            at = start[first[of]]
-            if length <= LONG:
-                found = self._forward_two(prefix, at, length, c.text)
-            else:
-                found = [self._one(c.text[a : a + length]) for a in at.tolist()]
-            for i, x in zip(of.tolist(), found, strict=True):
-                got[i] = x
+        for few in (size <= LONG, size > LONG):
+            of, at = missing[few], start[first[missing[few]]]
+            if len(of):
+                short = size[few][0] <= LONG
+                found = self._forward_two(prefix, at, size[few], c.text) if short else [self._one(c.text[x : x + n]) for x, n in zip(at.tolist(), size[few].tolist(), strict=True)]
+                for i, x in zip(of.tolist(), found, strict=True):
+                    got[i] = x
         self.new.update(zip(keys, got, strict=True))
         return start, end, which, got
 
-    def _one(self, word: str) -> tuple[tuple[int, ...], float, float]:
+    def _one(self, word: str) -> tuple[bytes, float, float]:
         best = self._n_best(word, 2)
-        return best[0][1], best[0][0], best[0][0] - best[1][0] if len(best) > 1 else math.inf
+        return array("i", best[0][1]).tobytes(), best[0][0], best[0][0] - best[1][0] if len(best) > 1 else math.inf
 
     def encode(self, texts: list[str], n: int = N_BEST) -> list[list[tuple[float, np.ndarray]]]:
         """The n best segmentations (score, ids) of each whole text, best first; an empty text has one, empty."""
         out: list[list[tuple[float, np.ndarray]]] = []
-        for _, run in text_chunks(texts):
+        for _, run in text_chunks(texts, 1 << 21):
             c = Chars([(SPACE + x.replace(SPACE, LITERAL).replace(" ", SPACE)) if x else "" for x in run])
             if not len(c.cp):
                 out += [[(0.0, np.zeros(0, np.int32))] for _ in run]
                 continue
             start, end, which, got = self.words(c)
-            count = np.fromiter((len(x[0]) for x in got), np.int64, len(got))
-            offsets = np.concatenate(([0], np.cumsum(count)))
-            flat, each = ragged(np.fromiter((y for x in got for y in x[0]), np.int32, int(offsets[-1])), offsets, which)
-            score = np.array([x[1] for x in got])[which]
-            behind = np.array([x[2] for x in got])[which]
+            packed, score, behind = zip(*got, strict=True)
+            offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // 4)))
+            flat, each = ragged(np.frombuffer(b"".join(packed), np.int32), offsets, which)
+            score, behind = np.array(score)[which], np.array(behind)[which]
             place = np.concatenate(([0], np.cumsum(each)))
             first = np.searchsorted(start, c.starts)
             for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -228,7 +247,10 @@ class Vocabulary:
 
     def _joined(self, ids: np.ndarray, best: float, words: list[tuple[str, int, int]], n: int) -> list[tuple[float, np.ndarray]]:
         """The second to n-th best of a text from the lists of the words that may differ."""
-        lists = [self.n_best(w, n) for w, _, _ in words]
+        lists = []
+        for w, place, size in words:  # of equally good ones the forward pass's stands first
+            found, own = self.n_best(w, n), tuple(ids[place : place + size].tolist())
+            lists.append([(found[0][0], own), *(x for x in found if x[1] != own)][:n])
         queue = [(0.0, (0,) * len(words))]
         seen, out = {queue[0][1]}, []
         while queue and len(out) < n:
@@ -278,8 +300,8 @@ def encode(docs: DataFrame, model: str, n: int = N_BEST) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
                 found = v.encode(strings(part.column(text)), n)
                 size = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
                 flat = [y for x in found for y in x]
