@@ -72,11 +72,10 @@ def _cascade(name: str, c: Capabilities) -> Column:
         "caption_still": [(no(c.describer), "needs_model"), (has("caption", c.describer) & has("tags", c.describer), "done"), (offline, "offline")],
         "caption_video": [(~manifest, None), (no(c.describer), "needs_model"), (has("captions", c.describer) & has("tags", c.describer), "done"), (offline, "offline")],
     }
-    status = F
-    out: Column | None = None
-    for condition, value in rules[name]:
-        out = (status.when if out is None else out.when)(condition, F.lit(value))
-    return out.otherwise(F.lit("pending"))
+    out = F.lit("pending")
+    for condition, value in reversed(rules[name]):
+        out = F.when(condition, F.lit(value)).otherwise(out)
+    return out
 
 
 def plan(sources: DataFrame, blobs: DataFrame, caps: Capabilities = Capabilities(), kinds: set[str] | None = None) -> DataFrame:

@@ -174,7 +174,7 @@ def _filter(name: str, oracle: str, *filters: Filter, needs: tuple[str, ...] = (
 _EXISTS = "EXISTS (SELECT 1 FROM {} x WHERE x.asset = a.asset AND {})"
 _KIND = _EXISTS.format("kinds", "x.kind = 'video'")
 _filter("filter_tag", _EXISTS.format("tags", "x.tag = 't4'"), Filter("tag", "t4"), needs=("assets", "tags"))
-_filter("filter_tag_negated", f"NOT {_EXISTS.format('tags', chr(120) + '.tag = ' + repr('good'))}", Filter("tag", "good", True), needs=("assets", "tags"))
+_filter("filter_tag_negated", "NOT " + _EXISTS.format("tags", "x.tag = 'good'"), Filter("tag", "good", True), needs=("assets", "tags"))
 _VOLUME = "EXISTS (SELECT 1 FROM instances x LEFT JOIN volumes v ON v.id = x.volume WHERE x.asset = a.asset AND (x.volume = '{0}' OR v.label = '{0}'))"
 _filter("filter_volume_label", _VOLUME.format("Disk 5"), Filter("volume", "Disk 5"), needs=("assets", "instances", "volumes"))
 _filter("filter_volume_ghost_id", _VOLUME.format("src3"), Filter("volume", "src3"), needs=("assets", "instances", "volumes"))
@@ -189,7 +189,7 @@ _filter("filter_before", _EXISTS.format("instances", f"x.mtime_ms < {50 * dates.
 _filter("filter_after", _EXISTS.format("instances", f"x.mtime_ms > {150 * dates.DAY_MS}"), Filter("after", 150 * dates.DAY_MS), needs=("assets", "instances"))
 _filter(
     "filter_conjunction",
-    " AND ".join((_KIND, _EXISTS.format("instances", f"x.mtime_ms < {400 * dates.DAY_MS}"), f"NOT {_EXISTS.format('tags', 'x.tag = ' + repr('t7'))}")),
+    " AND ".join((_KIND, _EXISTS.format("instances", f"x.mtime_ms < {400 * dates.DAY_MS}"), "NOT " + _EXISTS.format("tags", "x.tag = 't7'"))),
     Filter("kind", "video"),
     Filter("before", 400 * dates.DAY_MS),
     Filter("tag", "t7", True),
@@ -310,7 +310,7 @@ def _(spark, sf):
     return catalog.pending_suggestions(s, projection(spark, sf), no).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("tags_assign_plan", sql("SELECT asset, tag FROM (SELECT DISTINCT asset FROM instances), (VALUES ('t4'), ('new')) v(tag) WHERE NOT EXISTS (SELECT 1 FROM tags x WHERE x.asset = instances.asset AND x.tag = v.tag)".replace("(SELECT DISTINCT asset FROM instances)", "(SELECT DISTINCT asset FROM instances) instances"), "instances", "tags"))
+@query("tags_assign_plan", sql("SELECT asset, tag FROM (SELECT DISTINCT asset FROM instances) i, (VALUES ('t4'), ('new')) v(tag) WHERE NOT EXISTS (SELECT 1 FROM tags x WHERE x.asset = i.asset AND x.tag = v.tag)", "instances", "tags"))
 def _(spark, sf):
     p = projection(spark, sf)
     return catalog.assign(p, p.assets.withColumnRenamed("id", "asset"), ["t4", "new"])[0]
@@ -319,18 +319,18 @@ def _(spark, sf):
 # ---- retrieval
 
 
-def _bm25_sql(rows: str, text_: str, key: str, terms: list[str]) -> str:
-    """The same formula over tokens in SQL; single-token terms only."""
+def _bm25_sql(rows: str, text_: str, key: str, terms: list[str], n_: str = "") -> str:
+    """The same formula over tokens in SQL; single-token terms only. ``n_`` ends the expressions' names."""
     words = [w for t in terms for w in retrieval.plain_tokens(t)]
     tf = ", ".join(f"len(list_filter(t, lambda x: starts_with(x, '{w}'))) AS f{i}" for i, w in enumerate(words))
     n = range(len(words))
     idf = lambda i: f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5))"
     score = " + ".join(f"{idf(i)} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * l / a))" for i in n)
     fold_ = f"translate(lower({text_}), '{text.FOLD[0]}', '{text.FOLD[1]}')"
-    return f"""t AS (SELECT {key}, list_filter(regexp_split_to_array({fold_}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM {rows}),
-f AS (SELECT *, len(t) AS l, {tf} FROM t),
-st AS (SELECT count(*)::DOUBLE AS n, avg(l) AS a, {', '.join(f'count(*) FILTER (f{i} > 0) AS d{i}' for i in n)} FROM f),
-hits AS (SELECT {key}, -({score}) AS rank FROM f, st WHERE {' AND '.join(f'f{i} > 0' for i in n)})"""
+    return f"""t{n_} AS (SELECT {key}, list_filter(regexp_split_to_array({fold_}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM {rows}),
+f{n_} AS (SELECT *, len(t) AS l, {tf} FROM t{n_}),
+st{n_} AS (SELECT count(*)::DOUBLE AS n, avg(l) AS a, {', '.join(f'count(*) FILTER (f{i} > 0) AS d{i}' for i in n)} FROM f{n_}),
+hits{n_} AS (SELECT {key}, -({score}) AS rank FROM f{n_}, st{n_} WHERE {' AND '.join(f'f{i} > 0' for i in n)})"""
 
 
 @query("names_bm25", sql(f"WITH {_bm25_sql('names', 'name', 'asset, name', ['jpg', '1'])} SELECT asset, name, round(rank, 6) AS rank FROM hits", "names"))
@@ -406,10 +406,7 @@ def _fusion_sql(terms: list[str], limit: int, cut: int | None, allowed: str) ->
     top = f"ORDER BY r, asset LIMIT {cut}" if cut else ""
     knn = f"SELECT asset, kind, ts_ms, {_DISTANCE} AS distance FROM vecs ORDER BY 4, 1, 2, 3 LIMIT {cut or 1 << 20}"
     a = _bm25_sql("names", "name", "asset, name", terms)
-    b = _bm25_sql("texts", "content", "asset, source, locator", terms)
-    for x in ("t AS", "f AS", "st AS", "hits AS", "FROM t)", "FROM f)", "FROM f, st"):
-        b = b.replace(x, {"t AS": "t2 AS", "f AS": "f2 AS", "st AS": "st2 AS", "hits AS": "hits2 AS", "FROM t)": "FROM t2)", "FROM f)": "FROM f2)", "FROM f, st": "FROM f2, st2"}[x])
-    b = b.replace("st2 AS (", "st2 AS (", 1).replace(" AS t2 AS", " AS t AS")
+    b = _bm25_sql("texts", "content", "asset, source, locator", terms, "2")
     return f"""WITH {a}, {b},
 l1 AS (SELECT asset, round(min(rank), 6) AS r FROM hits GROUP BY asset {top}),
 l2 AS (SELECT asset, round(min(rank), 6) AS r FROM hits2 GROUP BY asset {top}),
@@ -634,7 +631,10 @@ def _(spark, sf):
 _LINE = "l_orderkey || '/' || l_linenumber"
 
 
-@query("manifest_verify_diff", f"SELECT {_LINE} AS rel, CASE WHEN l_linenumber > 5 THEN 'new' WHEN l_linenumber < 2 THEN 'missing' WHEN l_suppkey % 11 = 0 THEN 'altered' ELSE 'verified' END AS status FROM (SELECT DISTINCT l_orderkey, l_linenumber, first(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL HAVING count(*) = 1)".replace("SELECT DISTINCT l_orderkey, l_linenumber, first(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL HAVING count(*) = 1", "SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2"))
+@query(
+    "manifest_verify_diff",
+    f"SELECT {_LINE} AS rel, CASE WHEN l_linenumber > 5 THEN 'new' WHEN l_linenumber < 2 THEN 'missing' WHEN l_suppkey % 11 = 0 THEN 'altered' ELSE 'verified' END AS status FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2)",
+)
 def _(spark, sf):
     li = fx.tables(spark, sf, "lineitem")[0].groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"))
     rel = F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("rel")
