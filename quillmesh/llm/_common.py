@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -99,6 +100,14 @@ def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
 _shipped: set[str] = set()
 
 
+def _give_back() -> None:
+    """Hand freed memory back to the system: a worker that is used again would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with this package sent to the executors, whose workers may not have it installed."""
     context = df.sparkSession.sparkContext
@@ -110,7 +119,12 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
                 z.write(path, path.relative_to(root.parent))
         context.addPyFile(str(archive.resolve()))
         _shipped.add(context.applicationId)
-    return df.mapInArrow(function, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        _give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def extended(df: DataFrame, ddl: str) -> T.StructType:

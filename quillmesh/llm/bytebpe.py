@@ -25,7 +25,7 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Code points below this have been in Unicode long enough to be classed alike everywhere.
 CERTAIN = 0x2100
 #: Pieces kept at most; then the older half is forgotten.
-KEEP = 600_000
+KEEP = 400_000
 
 _classes: np.ndarray | None = None
 

@@ -38,7 +38,7 @@ N_BEST = 4
 #: Log probability of a byte piece: below all pieces of the vocabulary.
 BYTE = -16.0
 #: Words kept at most (then the older half is forgotten), and longest word in the array pass.
-KEEP, LONG = 400_000, 64
+KEEP, LONG = 120_000, 64
 MISS = -1
 
 
