@@ -1,7 +1,7 @@
 """Operator 9, near duplicates: MinHash bands, odd sketches, exact confirmation.
 
-1. Each text gives its set of hashed 5-word shingles, PERMS MinHash samples, BANDS band keys of ROWS
-   samples each, and an odd sketch: every (place, sample) toggles one of BITS bits, so the XOR of two
+1. Each text gives its set of hashed 5-word shingles, PERMS MinHash samples, band keys of a few samples
+   each (``banding``: their number follows from the threshold), and an odd sketch: every (place, sample) toggles one of BITS bits, so the XOR of two
    sketches counts the samples in which they differ.
 2. Texts with equal sets are one class (digest of the set); the class's least doc_id stands for it.
 3. In every bucket of classes that share a band key, sketches are compared; pairs that may be linked join their
@@ -15,6 +15,7 @@ blocks is a task of bounded size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +31,12 @@ from quillmesh.llm.components import components
 
 SHINGLE = 5
 PERCENT = 85
-ROWS, BANDS = 5, 32
-PERMS = ROWS * BANDS
+PERMS = 160
 BITS = 512
-#: Pairs whose sketches estimate a similarity below this don't make a cluster: 0.17 under the threshold, over
-#: five standard deviations of the estimate at 0.85.
-LEAST = 0.68
+#: Two texts at the threshold share no band with at most this probability.
+MISSED = 1e-8
+#: Pairs whose sketches estimate a similarity so many standard deviations under the threshold don't make a cluster.
+DEVIATIONS = 6.0
 #: Members of a block of a bucket, and shingles of a block of a cluster.
 BLOCK, ELEMENTS = 2048, 500_000
 _R = np.random.default_rng(20240229)
@@ -46,6 +47,25 @@ _white = np.zeros(0x110000, bool)
 _white[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(samples a band, bands): the longest bands that miss a pair at the threshold with MISSED at most."""
+    rows = next((r for r in range(8, 1, -1) if (1 - (percent / 100) ** r) ** (PERMS // r) <= MISSED), 1)
+    return rows, PERMS // rows
+
+
+def least(percent: int) -> float:
+    """Estimated similarity from which a pair may be linked: DEVIATIONS under the threshold.
+
+    The estimate's variance is that of the share of equal samples and that of the parity bits (toggles
+    meeting in a bit), each at the threshold.
+    """
+    s = percent / 100
+    n = 2 * PERMS * (1 - s)
+    odd = (1 - math.exp(-2 * n / BITS)) / 2
+    parity = (BITS * odd * (1 - odd) - n * math.exp(-4 * n / BITS)) / (1 - 2 * odd) ** 2 / (2 * PERMS) ** 2
+    return s - DEVIATIONS * math.sqrt(s * (1 - s) / PERMS + parity)
+
+
 def shingle_runs(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word shingles of all texts end to end, and offsets of each text in them.
 
@@ -110,8 +130,9 @@ _d = np.arange(BITS + 1)
 SIMILAR = 1 + BITS / 4 * np.log(np.maximum(1 - 2 * _d / BITS, 1e-9)) / PERMS
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, digest, bands, sketch) of each row; null text: empty set, null digest."""
+    rows, number = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,10 +149,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 if len(some):
                     flat = np.concatenate(each)
                     s = samples(flat, np.cumsum([0, *map(len, each)])[:-1])
-                    key = np.zeros((len(some), BANDS), np.uint64)
-                    for r in range(ROWS):
-                        key += mix(s[:, r::ROWS] + np.uint64(r)) * _PLACE[r]
-                    key = mix(key ^ mix(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64)
+                    key = np.zeros((len(some), number), np.uint64)
+                    for r in range(rows):
+                        key += mix(s[:, r : rows * number : rows] + np.uint64(r)) * _PLACE[r]
+                    key = mix(key ^ mix(np.arange(1, number + 1, dtype=np.uint64))).view(np.int64)
                     odd = odd_sketch(s)
                     for j, i in enumerate(some):
                         digest[i], bands[i], sketch[i] = xxhash.xxh3_128_digest(each[j].tobytes()), key[j], odd[j].tobytes()
@@ -198,14 +219,19 @@ def _blocked(rows: DataFrame, make, columns: list[str]) -> DataFrame:
     return map_arrow(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "u bigint, v bigint")
 
 
-def _alike(sketches: list[bytes]):
+def _alike(percent: int):
     """Links of a bucket's members whose sketches let them be similar enough."""
-    s = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    low = least(percent)
 
-    def linked(r: int, columns: np.ndarray) -> np.ndarray:
-        return SIMILAR[np.bitwise_count(s[columns] ^ s[r]).sum(axis=1, dtype=np.int64)] >= LEAST
+    def make(sketches: list[bytes]):
+        s = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
 
-    return linked
+        def linked(r: int, columns: np.ndarray) -> np.ndarray:
+            return SIMILAR[np.bitwise_count(s[columns] ^ s[r]).sum(axis=1, dtype=np.int64)] >= low
+
+        return linked
+
+    return make
 
 
 def _similar(percent: int):
@@ -253,7 +279,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     them reaches; of differing texts one stands for all in comparisons). Rows with a null doc_id are
     returned with null component and kept. An empty table gives an empty result. Further columns are ignored.
     """
-    sig = stored(signatures(docs), "signatures")
+    sig = stored(signatures(docs, percent), "signatures")
     worded = sig.filter("digest is not null and doc_id is not null")
     # the same set: one class, which its least doc_id stands for
     classes = stored(worded.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
@@ -267,7 +293,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sketches = reps.select(F.col("rep").alias("id"), "sketch", "n_shingles").join(members, "id", "left_semi").groupBy("id").agg(F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n_shingles"))
     sketches = stored(sketches, "sketches")
     # clusters: members joined up wherever a bucket and their sketches say that they may be linked
-    clusters = components(_blocked(bands.join(sketches, "id"), _alike, ["sketch"])).withColumnRenamed("component", "key")
+    clusters = components(_blocked(bands.join(sketches, "id"), _alike(percent), ["sketch"])).withColumnRenamed("component", "key")
     clusters = stored(clusters.join(sketches.select("id", "n_shingles"), "id"), "clusters")
     parts = clusters.groupBy("key").agg(F.ceil(F.sum("n_shingles") / ELEMENTS).alias("p"))
     sets = stored(_sets(docs, clusters).groupBy("id").agg(F.min("shingles").alias("shingles")), "sets")

@@ -71,6 +71,36 @@ def test_near_duplicates_of_odd_rows(spark):
     assert neardup.keep_one(docs).count() == 2 and neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_stage_links_pairs_between_80_and_85_percent(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    texts = []
+    for _ in range(150):  # 104 words, 100 shingles; an end of n other words takes n of them away and brings n others
+        base = [f"w{r.randrange(10**9)}" for _ in range(104)]
+        n = r.randint(9, 11)  # 89 to 91 of 109 to 111 shared: 0.80 to 0.84
+        texts += [" ".join(base), " ".join(base[:-n] + [f"v{r.randrange(10**9)}" for _ in range(n)])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == list(range(0, 300, 2))
+    assert neardup.keep_one(docs).count() == 300
+
+
+def test_bands_and_sketches_follow_the_threshold():
+    for percent in (70, 80, 85, 90):
+        s = percent / 100
+        rows, bands = neardup.banding(percent)
+        assert rows * bands <= neardup.PERMS and (1 - s**rows) ** bands <= 1e-8
+        # exact: differing samples are binomial, each toggles two bits
+        odd, miss = np.zeros(neardup.BITS + 1), 0.0
+        odd[0], d = 1, np.arange(neardup.BITS + 1)
+        low = neardup.SIMILAR < neardup.least(percent)
+        for k in range(neardup.PERMS + 1):
+            miss += math.comb(neardup.PERMS, k) * (1 - s) ** k * s ** (neardup.PERMS - k) * odd[low].sum()
+            for _ in range(2):
+                odd = np.append(0, (odd * (neardup.BITS - d) / neardup.BITS)[:-1]) + np.append((odd * d / neardup.BITS)[1:], 0)
+        assert miss < 1e-6, (percent, miss)
+
+
 def test_odd_sketches_estimate_similarity():
     r = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.9, 0.97):
