@@ -1,10 +1,11 @@
 """Operator 7, document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is the set of its paragraphs: lines, and in a line over LONG_LINE characters the runs of sentences that
-CUT tells apart by what stands around the cut alone, so an edit elsewhere doesn't move it.
-A paragraph's key is its 64-bit hash with the low bits replaced by its length. A sketch has groups
+A text is the set of its paragraphs: lines, and in a line over LONG_LINE characters its sentences; what is
+then still over RUN characters is cut where the hash of the WINDOW characters around says so. All cuts depend on
+what stands around them alone, so an edit elsewhere doesn't move them.
+A paragraph's key is its 64-bit hash, beside which its length stands. A sketch has groups
 of CELLS cells; a key goes to one group and there to three cells, each holding a count, the XOR of
-the keys and the XOR of their checks. Two versions' sketches subtract cell by cell: what both hold
+the keys, that of the lengths and that of their checks. Two versions' sketches subtract cell by cell: what both hold
 cancels, and peeling (take a cell with one key, remove that key from its other cells) recovers the
 keys of the differing paragraphs. If cells are left over, the sketch was too small and a larger one
 is tried: one group, then as many as the two texts' paragraphs need, then 4 and 16 times that; the
@@ -24,10 +25,12 @@ ROUNDS = 8
 #: Paragraphs of both texts for each group of the second sketch.
 KEYS = 7
 LONG_LINE = 200
-#: Between sentences whose last letter is one of the first eight: about every third.
-CUT = "(?<=[a-h][.!?]) "
-#: Low bits of a key: the paragraph's length in characters, at most this.
-LENGTH = 4095
+#: After every sentence; scripts without spaces between sentences have none to take away.
+CUT = "(?<=[.!?\u0964\u061f\u2026]) |(?<=[\u3002\uff01\uff1f])"
+#: A longer run without sentence ends is cut at about every EVERY-th character, by the hash of WINDOW characters.
+RUN, WINDOW, EVERY = 1024, 8, 256
+#: The longest paragraph that a string holds: lengths are whole.
+LENGTH = (1 << 31) - 1
 _BITS = [1 << i for i in range(CELLS)]
 
 
@@ -36,48 +39,70 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _runs(sentence: Column) -> Column:
+    """The parts of a sentence: itself, or beyond RUN characters the runs between content-defined cuts."""
+
+    def cut(c: Column) -> Column:
+        here = lambda i: F.pmod(F.xxhash64(*[F.get(c, i - k) for k in range(1, WINDOW + 1)]), F.lit(EVERY)) == 0
+        places = F.filter(F.sequence(F.lit(WINDOW), F.size(c) - 1), here)
+        ends = F.concat(places, F.array(F.size(c)))
+        return _let(F.concat(F.array(F.lit(0)), ends), lambda p: F.transform(ends, lambda e, i: F.array_join(F.slice(c, F.get(p, i) + 1, e - F.get(p, i)), "")))
+
+    return F.when(F.length(sentence) > RUN, _let(F.split(sentence, ""), cut)).otherwise(F.array(sentence))
+
+
 def paragraph_keys(text: Column) -> Column:
-    """Distinct keys of the text's paragraphs, as entries (key, check, mask of cells, group hash)."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.when(F.length(x) > LONG_LINE, F.split(x, CUT)).otherwise(F.array(x)))
+    """Distinct (key, length) of the text's paragraphs."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.when(F.length(x) > LONG_LINE, F.flatten(F.transform(F.split(x, CUT), _runs))).otherwise(F.array(x)))
     found = F.filter(F.flatten(lines), lambda x: F.trim(x) != "")
-    return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x).bitwiseAND(F.lit(~LENGTH)).bitwiseOR(F.least(F.length(x), F.lit(LENGTH)).cast("long"))))
+    return F.array_distinct(F.transform(found, lambda x: F.struct(F.xxhash64(x).alias("key"), F.length(x).cast("long").alias("length"))))
 
 
-def _entry(key: Column, n: Column | None = None) -> Column:
+def _check(key: Column, length: Column) -> Column:
+    return F.xxhash64(key, length, F.lit(1))
+
+
+def _entry(key: Column, length: Column | None = None, n: Column | None = None) -> Column:
+    """(key, length, check, mask of cells) with the group's hash, or with the count of the cell it comes from."""
+    length = F.lit(0).cast("long") if length is None else length
     h = F.xxhash64(key, F.lit(2))
     third = lambda i: F.element_at(F.array(*[F.lit(1 << (8 * i + j)) for j in range(8)]), F.shiftright(h, 3 * i).bitwiseAND(F.lit(7)).cast("int") + 1)
     mask = third(0).bitwiseOR(third(1)).bitwiseOR(third(2))
-    kept = [key.alias("key"), F.xxhash64(key, F.lit(1)).alias("check"), mask.alias("mask")]
+    kept = [key.alias("key"), length.alias("length"), _check(key, length).alias("check"), mask.alias("mask")]
     return F.struct(*kept, F.shiftrightunsigned(h, 16).alias("group")) if n is None else F.struct(*kept, n.alias("n"))
 
 
+def _named(entry: Column) -> Column:
+    return F.struct(entry["key"].alias("key"), entry["length"].alias("length"))
+
+
 def _cells(entries: Column) -> Column:
     """One group's cells for the entries that fall in it."""
-    nothing = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
-    put = lambda s, e: F.struct((s["n"] + 1).alias("n"), s["key"].bitwiseXOR(e["key"]).alias("key"), s["check"].bitwiseXOR(e["check"]).alias("check"))
+    nothing = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("length"), F.lit(0).cast("long").alias("check"))
+    put = lambda s, e: F.struct((s["n"] + 1).alias("n"), s["key"].bitwiseXOR(e["key"]).alias("key"), s["length"].bitwiseXOR(e["length"]).alias("length"), s["check"].bitwiseXOR(e["check"]).alias("check"))
     return F.transform(F.array(*map(F.lit, _BITS)), lambda bit: F.aggregate(entries, nothing, lambda s, e: F.when(e["mask"].bitwiseAND(bit) != 0, put(s, e)).otherwise(s)))
 
 
 def _subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["check"].bitwiseXOR(y["check"]).alias("check")))
+    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["length"].bitwiseXOR(y["length"]).alias("length"), x["check"].bitwiseXOR(y["check"]).alias("check")))
 
 
 def _peel(cells: Column) -> Column:
     """(cells left, keys found) of one group's difference."""
     bits = F.array(*map(F.lit, _BITS))
-    single = lambda cells: F.filter(cells, lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["key"], F.lit(1)) == c["check"]))
+    single = lambda cells: F.filter(cells, lambda c: (F.abs(c["n"]) == 1) & (_check(c["key"], c["length"]) == c["check"]))
 
     def remove(state: Column, pure: Column) -> Column:
-        take = lambda x, p: F.struct((x["n"] - p["n"]).alias("n"), x["key"].bitwiseXOR(p["key"]).alias("key"), x["check"].bitwiseXOR(p["check"]).alias("check"))
+        take = lambda x, p: F.struct((x["n"] - p["n"]).alias("n"), x["key"].bitwiseXOR(p["key"]).alias("key"), x["length"].bitwiseXOR(p["length"]).alias("length"), x["check"].bitwiseXOR(p["check"]).alias("check"))
         left = F.zip_with(state["cells"], bits, lambda cell, bit: F.aggregate(pure, cell, lambda x, p: F.when(p["mask"].bitwiseAND(bit) != 0, take(x, p)).otherwise(x)))
-        return F.struct(left.alias("cells"), F.concat(state["found"], F.transform(pure, lambda p: p["key"])).alias("found"), (F.size(pure) > 0).alias("open"))
+        return F.struct(left.alias("cells"), F.concat(state["found"], F.transform(pure, _named)).alias("found"), (F.size(pure) > 0).alias("open"))
 
     def round_(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(single(state["cells"]), lambda c: _entry(c["key"], c["n"])))
+        pure = F.array_distinct(F.transform(single(state["cells"]), lambda c: _entry(c["key"], c["length"], c["n"])))
         stuck = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("open"))
         return F.when(state["open"], _let(pure, lambda p: F.when(F.size(p) > 0, remove(state, p)).otherwise(stuck))).otherwise(state)
 
-    start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"), F.lit(True).alias("open"))
+    start = F.struct(cells.alias("cells"), F.array().cast("array<struct<key:bigint,length:bigint>>").alias("found"), F.lit(True).alias("open"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_)
 
 
@@ -87,14 +112,14 @@ def _sketch(entries: Column, groups: Column) -> Column:
 
 
 def differing_keys(a: Column, b: Column) -> Column:
-    """Keys that one of two sketches of equally many groups has alone; null if peeling fails."""
+    """(key, length) that one of two sketches of equally many groups has alone; null if peeling fails."""
     peeled = F.zip_with(a, b, lambda x, y: _peel(_subtract(x, y)))
-    empty = lambda s: ~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["check"] != 0))
+    empty = lambda s: ~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["length"] != 0) | (c["check"] != 0))
     return _let(peeled, lambda p: F.when(F.forall(p, empty), F.flatten(F.transform(p, lambda s: s["found"]))))
 
 
 def _weight(keys: Column) -> Column:
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda s, k: s + k.bitwiseAND(F.lit(LENGTH)))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda s, k: s + k["length"])
 
 
 def likeness(a: str, b: str) -> Column:
@@ -105,7 +130,7 @@ def likeness(a: str, b: str) -> Column:
     a text count once.
     """
     x, y = F.col(a), F.col(b)
-    keys = lambda x: F.transform(x, lambda e: e["key"])
+    keys = lambda x: F.transform(x, _named)
     larger = lambda times: differing_keys(_sketch(x, F.col("_groups") * times), _sketch(y, F.col("_groups") * times))
     exact = F.array_union(F.array_except(keys(x), keys(y)), F.array_except(keys(y), keys(x)))
     first = differing_keys(F.array(F.col(f"_1{a}")), F.array(F.col(f"_1{b}")))
@@ -116,8 +141,8 @@ def likeness(a: str, b: str) -> Column:
 
 def printed(name: str) -> Column:
     """The fingerprint as text: number of paragraphs, their length, the cells of the first sketch."""
-    cells = F.transform(F.col(f"_1{name}"), lambda c: F.concat_ws(".", F.hex(c["n"].cast("long")), F.hex(c["key"]), F.hex(c["check"])))
-    return F.concat_ws("|", F.size(name).cast("string"), _weight(F.transform(name, lambda e: e["key"])).cast("string"), F.array_join(cells, ","))
+    cells = F.transform(F.col(f"_1{name}"), lambda c: F.concat_ws(".", F.hex(c["n"].cast("long")), F.hex(c["key"]), F.hex(c["length"]), F.hex(c["check"])))
+    return F.concat_ws("|", F.size(name).cast("string"), _weight(F.col(name)).cast("string"), F.array_join(cells, ","))
 
 
 def with_next(docs: DataFrame, text: str) -> DataFrame:
@@ -151,7 +176,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("text_next", F.lit(1), cut)))
     names = {"_text": "text", "_edited": "edited", "_next": "text_next"}
-    d = d.withColumns({k: F.transform(paragraph_keys(F.col(v)), lambda k: _entry(k)) for k, v in names.items()})
+    d = d.withColumns({k: F.transform(paragraph_keys(F.col(v)), lambda k: _entry(k["key"], k["length"])) for k, v in names.items()})
     d = d.withColumn("_groups", F.ceil((F.size("_text") + F.greatest(F.size("_edited"), F.size("_next"), F.lit(1))) / F.lit(KEYS)).cast("long"))
     d = d.withColumns({f"_1{k}": _cells(F.col(k)) for k in names} | {f"_n{k}": _sketch(F.col(k), F.col("_groups")) for k in names})
     return d.select(

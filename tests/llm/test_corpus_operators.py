@@ -187,6 +187,23 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprint(docs.limit(0)).count() == 0 and fingerprint.fingerprint(docs.limit(1)).count() == 1
 
 
+def test_an_edit_in_a_long_line_leaves_its_other_parts(spark):
+    r = random.Random(6)
+    word = lambda letters: "".join(r.choices(letters, k=6))
+    latin = " ".join(" ".join(word("klmnop") for _ in range(8)) + "z." for _ in range(40))  # no sentence ends in a to h
+    digits = " ".join(" ".join(word("klmnop") for _ in range(8)) + " 1999." for _ in range(40))
+    script = "".join("".join(chr(0x4E00 + r.randrange(5000)) for _ in range(30)) + "\u3002" for _ in range(60))
+    plain = "".join(word("abcdefghijklmnopqrstuvwxyz") for _ in range(1000))
+    texts = {40: latin, 30: digits, 20: script, 10: plain}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {x.doc_id: x for x in fingerprint.fingerprint(docs).collect()}
+    # two thirds of each text stay; of the last third, and what replaces it, all is different
+    for i, x in got.items():
+        assert 0.5 < x.near_edited < 0.72 and x.near_next == 0, (i, x.near_edited)
+    one = spark.createDataFrame([(2, "z" * 20_000 + "\n" + "y" * 100), (1, "y" * 100)], "doc_id bigint, text string")
+    assert {x.doc_id: x.near_next for x in fingerprint.fingerprint(one).collect()}[2] == pytest.approx(200 / 20_200)
+
+
 def test_peeling_recovers_keys_and_fails_openly(spark):
     d = spark.range(1).select(*[F.transform(F.sequence(F.lit(a), F.lit(b)), lambda x: fingerprint._entry(F.xxhash64(x))).alias(n) for n, a, b in (("a", 1, 200), ("b", 6, 203))])
     one, many = F.lit(1).cast("long"), F.lit(60).cast("long")
