@@ -3,7 +3,8 @@
 Parts are identifiers (access key ids, user or client ids), secrets (assigned values, long hex runs, random
 looking tokens) and endpoints (URLs with a host). Strong parts, the base kinds, are findings by
 themselves. Weak ones are candidates: each part's interval is widened by the scope, identifiers and
-secrets whose intervals meet are joined, then endpoints that meet such a pair; a candidate is reported
+secrets whose intervals meet are joined, then endpoints that meet a member of such a pair; a secret that meets
+no identifier is joined with the endpoints that it meets, outside of their URLs' hosts. A candidate is reported
 only if it takes part in a link. Parts on both sides of a blank line are in different scopes.
 """
 
@@ -78,8 +79,8 @@ def _meeting(a: list[Span], b: list[Span], scope: int, scopes: list[int]) -> Ite
                 yield x, y
 
 
-def scan_text(text: str, scope: int = SCOPE) -> tuple[list[Span], list[tuple[Span, Span, Span | None]]]:
-    """All findings by (start, kind order) and the links (identifier, secret, endpoint or None)."""
+def scan_text(text: str, scope: int = SCOPE) -> tuple[list[Span], list[tuple[Span | None, Span, Span | None]]]:
+    """All findings by (start, kind order) and the links (identifier, secret, endpoint); None for no identifier or no endpoint."""
     base = base_spans(text)
     low = text.encode("utf-8", "surrogatepass").lower()
     strong_ids = sorted(x for x in base if x[2] == "access")
@@ -91,8 +92,9 @@ def scan_text(text: str, scope: int = SCOPE) -> tuple[list[Span], list[tuple[Spa
     ids = list(strong_ids)
     if any(w in low for w in _ID_WORDS):
         ids += [(m.start(1), m.end(1), "identifier") for m in IDENTIFIER.finditer(text) if not inside(m.start(1), m.end(1))]
-    links: list[tuple[Span, Span, Span | None]] = []
-    if ids:
+    links: list[tuple[Span | None, Span, Span | None]] = []
+    ends = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)] if "://" in text else []
+    if ids or ends:
         ids.sort()
         taken = taken or bytearray(len(text))
         for s, e, _ in ids:
@@ -101,13 +103,13 @@ def scan_text(text: str, scope: int = SCOPE) -> tuple[list[Span], list[tuple[Spa
         secrets = sorted(strong_secrets + weak)
         scopes = [m.start() for m in GAP.finditer(text)]
         pairs = list(_meeting(ids, secrets, scope, scopes))
-        if pairs:
-            ends = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)] if "://" in text else []
-            by_id: dict[Span, list[Span]] = {}
-            for x, e in _meeting(sorted(set(x for x, _ in pairs)), ends, scope, scopes):
-                by_id.setdefault(x, []).append(e)
-            for x, y in pairs:
-                links += [(x, y, e) for e in by_id.get(x, ())] or [(x, y, None)]
+        near: dict[Span, list[Span]] = {}
+        for x, e in _meeting(sorted({x for x, _ in pairs} | set(secrets)), ends, scope, scopes):
+            near.setdefault(x, []).append(e)
+        for x, y in pairs:
+            links += [(x, y, e) for e in sorted({*near.get(x, ()), *near.get(y, ())})] or [(x, y, None)]
+        paired = {y for _, y in pairs}
+        links += [(None, y, e) for y in secrets if y not in paired for e in near.get(y, ()) if e[1] <= y[0] or y[1] <= e[0]]
     found = set(base) | {x for link in links for x in link if x is not None}
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]))), links
 
@@ -135,7 +137,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``docs`` with ``spans``, ``links`` and ``redacted`` added (clashing columns are replaced).
 
     spans: array of (start, end, kind) in code points, end exclusive, by start and kind; links: array
-    of (identifier, secret, endpoint) places in spans, endpoint -1 if none; redacted: the text without its
+    of (identifier, secret, endpoint) places in spans, -1 for no identifier or no endpoint; redacted: the text without its
     secrets, null where nothing was found. Null and empty texts have no spans. Repeated rows get equal
     results; an empty table gives an empty one.
     """
@@ -151,7 +153,7 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
                 found, linked = scan_text(x, scope)
                 place = {s: i for i, s in enumerate(found)}
                 spans.append([{"start": s, "end": e, "kind": k} for s, e, k in found])
-                links.append([{"identifier": place[a], "secret": place[c], "endpoint": place[e] if e else -1} for a, c, e in linked])
+                links.append([{"identifier": place[a] if a else -1, "secret": place[c], "endpoint": place[e] if e else -1} for a, c, e in linked])
                 clean.append(redact_text(x, found) if found else None)
             kept = [b.column(i) for i, f in enumerate(b.schema) if f.name != text]
             link = pa.struct([("identifier", pa.int32()), ("secret", pa.int32()), ("endpoint", pa.int32())])

@@ -49,6 +49,17 @@ def test_weak_parts_need_their_complement():
     assert secrets.redact_text(text, secrets.scan_text(text)[0]) == "client_id: <secret> <secret>"
 
 
+def test_endpoints_meet_either_member_and_stand_for_an_identifier():
+    weak, url = "Zx9Qw3Er7Ty1Ui5Op8As", "https://vault.example.com:8200"
+    far = f"client_id: bob77 {'x ' * 80}{weak} {'x ' * 80}{url}"
+    spans, links = secrets.scan_text(far)
+    assert [k for *_, k in spans] == ["identifier", "random", "endpoint"] and len(links) == 1 and links[0][2][2] == "endpoint"
+    spans, links = secrets.scan_text(f"{url}/x with {weak}")
+    assert [k for *_, k in spans] == ["endpoint", "random"] and links[0][0] is None
+    assert secrets.redact_text(f"{url} {weak}", secrets.scan_text(f"{url} {weak}")[0]) == f"{url} <secret>"
+    assert secrets.scan_text(f"{url}\n\n{weak}")[0] == [] and secrets.scan_text(f"{url}/Zx9Qw3Er7Ty1Ui5Op8As")[0] == []
+
+
 def test_pii_base_spans():
     import re
 
