@@ -30,7 +30,8 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "iban")
 #: Labels of the field: 0 is no entity.
 LABELS = ("", "card", "phone", "ssn", "iban")
-LONGEST = 13
+#: Tokens of a grouped IBAN of 34 characters whose groups mix digits and letters: 34 characters and 8 separators.
+LONGEST = 42
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]+)(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -38,8 +39,8 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
-#: Stretches that may hold an entity: digits joined by single separators, seven characters or more.
-_STRETCH = re.compile(r"(?<![A-Za-z0-9])\+?\(?(?:[A-Z]{2})?[0-9](?:[ ()./-]{0,2}[0-9A-Z]){5,60}(?![A-Za-z0-9])")
+#: Stretches that may hold an entity: digits joined by single separators, seven characters or more, to their end.
+_STRETCH = re.compile(r"(?<![A-Za-z0-9])\+?\(?(?:[A-Z]{2})?[0-9](?:[ ()./-]{0,2}[0-9A-Z]){5,}(?![A-Za-z0-9])")
 _WORD = re.compile(r"[A-Za-z]+")
 
 Span = tuple[int, int, str]
@@ -122,11 +123,15 @@ def _segments(text: str, tokens: list[tuple[int, int]], before: str) -> list[lis
     for j, (_, end) in enumerate(tokens):
         here = []
         if text[end - 1].isalnum():
-            for i in range(max(0, j - LONGEST + 1), j + 1):
-                start = tokens[i][0]
-                span = text[start:end]
-                if (span[0].isalnum() or span[0] in "+(") and 7 <= sum(c.isalnum() for c in span) <= 34 and any(c.isdigit() for c in span):
+            held = 0
+            for i in range(j, max(-1, j - LONGEST), -1):
+                start, stop = tokens[i]
+                held += stop - start if text[start].isalnum() else 0
+                if held > 34:
+                    break
+                if held >= 7 and (text[start].isalnum() or text[start] in "+(") and any(c.isdigit() for c in text[start:end]):
                     here.append((i, features(text, start, end, before, i == 0 and j == len(tokens) - 1)))
+            here.reverse()
         out.append(here)
     return out
 
@@ -243,6 +248,30 @@ def _decoded(text: str, before: str) -> tuple[tuple[int, int, int], ...]:
     return tuple(decode(text, before, trained()))
 
 
+def _uncovered(text: str, covered: bytearray, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The parts of a stretch between base spans, of seven letters and digits or more, that cut no token."""
+    while start < end:
+        if covered[start]:
+            start += 1
+            continue
+        stop = covered.find(1, start, end)
+        stop = stop if stop >= 0 else end
+        a, b = start, stop
+        if a and covered[a - 1] and text[a - 1].isalnum():
+            while a < b and text[a].isalnum():
+                a += 1
+        if b < end and text[b].isalnum():
+            while b > a and text[b - 1].isalnum():
+                b -= 1
+        while a < b and not (text[a].isalnum() or text[a] in "+("):
+            a += 1
+        while b > a and not text[b - 1].isalnum():
+            b -= 1
+        if sum(c.isalnum() for c in text[a:b]) >= 7:
+            yield a, b
+        start = stop
+
+
 def find(text: str) -> tuple[set[Span], list[Span]]:
     """The base spans; these and the field's entities that touch none of them, by start and kind."""
     base = base_spans(text)
@@ -252,13 +281,13 @@ def find(text: str) -> tuple[set[Span], list[Span]]:
         for s, e, _ in base:
             covered[s:e] = b"\1" * (e - s)
         for m in _STRETCH.finditer(text):
-            if covered.find(1, m.start(), m.end()) >= 0:
-                continue
-            before = " ".join(x.lower() for x in _WORD.findall(text, max(0, m.start() - 24), m.start())[-2:])
-            if _decoded.cache_info().currsize > 50_000:
-                _decoded.cache_clear()
-                _shape.cache_clear()
-            out += [(m.start() + s, m.start() + e, LABELS[k]) for s, e, k in _decoded(m[0], before)]
+            for a, b in _uncovered(text, covered, *m.span()):
+                before = " ".join(x.lower() for x in _WORD.findall(text, max(0, a - 24), a)[-2:])
+                if _decoded.cache_info().currsize > 50_000 or _shape.cache_info().currsize > 500_000:
+                    _decoded.cache_clear()
+                    _shape.cache_clear()
+                found = _decoded(text[a:b], before) if b - a <= 128 else decode(text[a:b], before, trained())
+                out += [(a + s, a + e, LABELS[k]) for s, e, k in found]
     return set(base), sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 

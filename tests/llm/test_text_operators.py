@@ -97,6 +97,16 @@ def test_field_decodes_jointly_and_exactly():
     assert pii.find("the year 2024-01-02 was fine, 12345678 items")[1] == []
 
 
+def test_entities_beside_base_spans_in_many_groups_and_in_long_rows():
+    kinds = lambda t: [(k, t[s:e]) for s, e, k in pii.find(t)[1]]
+    assert kinds("ssn 10.0.0.12 123-45-6789 here") == [("ip", "10.0.0.12"), ("ssn", "123-45-6789")]
+    for iban in ("PL61 1090 1014 0000 0712 1981 2874", "FR14 2004 1010 0505 0001 3M02 606"):
+        assert kinds(f"iban {iban} ok") == [("iban", iban)], iban
+    for lead in range(40, 75):  # wherever an end after 60 letters and digits would have cut
+        row = ("12.345/" * 20)[:lead] + " "
+        assert ("ssn", "123-45-6789") in kinds(f"ssn {row}123-45-6789"), lead
+
+
 def test_wav_round_trip_and_resampling():
     data = bytes(range(256)) * 3
     assert audio.read_wav(audio.wav(data)) == (audio.RATE, data)
