@@ -114,18 +114,17 @@ class Catalog:
             out.names = retrieval.search_names(p.instances.limit(0), terms, cut)
         rows = self.text if self.text is not None else self.spark.createDataFrame([], TEXT_ROW)
         out.text = retrieval.search_text(rows, terms, sources, cut)
-        most = cut if cut is not None else 1 << 30
         if sources is None:
             if self.images is None or self.embed_image is None:
                 notices.append("images are searched by name only: no model or no vectors")
             else:
-                hits = retrieval.knn(self.images, self.embed_image(" ".join(terms)), self.image_model, most)
+                hits = retrieval.knn(self.images, self.embed_image(" ".join(terms)), self.image_model, cut)
                 out.images = retrieval.nearest_per_asset(hits)
         if sources is None or "transcript" in sources:
             if self.chunks is None or self.embed_text is None:
                 notices.append("transcripts are searched by words only: no model or no vectors")
             else:
-                hits = retrieval.knn(self.chunks, self.embed_text(" ".join(terms)), self.text_model, most, ("asset", "start_ms", "source", "text"))
+                hits = retrieval.knn(self.chunks, self.embed_text(" ".join(terms)), self.text_model, cut, ("asset", "start_ms", "source", "text"))
                 out.chunks = retrieval.nearest_chunk_per_asset(hits)
         return out
 

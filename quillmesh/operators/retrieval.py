@@ -84,13 +84,13 @@ def search_text(text_rows: DataFrame, terms: list[str], sources: set[str] | None
     return best if limit is None else best.orderBy("rank", "asset").limit(limit)
 
 
-def knn(vectors: DataFrame, query: list[float], model_tag: str, limit: int, columns: tuple[str, ...] = ("asset", "kind", "ts_ms")) -> DataFrame:
-    """The ``limit`` nearest rows by 1 - dot product: an exact scan that keeps only the top of each task.
+def knn(vectors: DataFrame, query: list[float], model_tag: str, limit: int | None, columns: tuple[str, ...] = ("asset", "kind", "ts_ms")) -> DataFrame:
+    """The ``limit`` nearest rows by 1 - dot product: an exact scan that keeps only the top of each task; all rows, in no order, without a limit.
 
     The vector column is read, but neither shuffled nor returned. Ties stand by ``columns``.
     """
     d = vectors.filter(F.col("model_tag") == model_tag).select(*columns, (1 - dot_literal(F.col("vector"), query)).alias("distance"))
-    return d.orderBy("distance", *columns).limit(limit)
+    return d if limit is None else d.orderBy("distance", *columns).limit(limit)
 
 
 def nearest_per_asset(hits: DataFrame) -> DataFrame:

@@ -396,7 +396,7 @@ def _layers(spark, sf, terms, limit, filtered, text_=True, images=True) -> retri
     cut = retrieval.over_fetch(limit, filtered)
     names = retrieval.search_names(fold.instances(folded(spark, sf, "documents")), terms, cut)
     rows = retrieval.search_text(fx.text_rows(docs), terms, None, cut) if text_ else None
-    hits = retrieval.nearest_per_asset(retrieval.knn(fx.vectors(emb), _query_vector(emb), fx.MODEL, cut or 1 << 20)) if images else None
+    hits = retrieval.nearest_per_asset(retrieval.knn(fx.vectors(emb), _query_vector(emb), fx.MODEL, cut)) if images else None
     # ranks are compared with those of another engine: rounding makes ties of what differs in the last bits only
     fixed = lambda df, c: df if df is None else df.withColumn(c, F.round(c, 6))
     return retrieval.Layers(names=fixed(names, "rank"), text=fixed(rows, "rank"), images=fixed(hits, "distance"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillmesh.functions import dates, media, text, vectors
 from quillmesh.functions.hashing import c4, xxh64_hex
 from quillmesh.operators import derive, retrieval, transfer
-from quillmesh.plans import language
+from quillmesh.plans import language, registry
 from quillmesh.sources import files
 
 
@@ -82,6 +82,14 @@ def test_vectors(spark):
     assert one(spark, vectors.mean_pool(h, F.array(F.lit(1), F.lit(1), F.lit(0)))) == [2.0, 4.0]
 
 
+def test_filtered_search_keeps_every_vector(spark):
+    sf = "/root/testdata/sf0.001"
+    plan = lambda filtered: registry._layers(spark, sf, ["a"], 10, filtered).images._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" in plan(False) and "Limit" not in plan(True)
+    rows = spark.createDataFrame([(f"a{i}", "keyframe", i, "m", [1.0, float(i)]) for i in range(9)], "asset string, kind string, ts_ms bigint, model_tag string, vector array<float>")
+    assert retrieval.knn(rows, [1.0, 0.0], "m", None).count() == 9 and retrieval.knn(rows, [1.0, 0.0], "m", 4).count() == 4
+
+
 def test_chunks_follow_the_greedy_rule(spark):
     seg = [("a", 0, 10_000, "one"), ("a", 10_000, 44_000, " two "), ("a", 44_000, 46_000, "three"), ("a", 50_000, 60_000, "w " * 119), ("a", 60_000, 61_000, "x y"), ("b", 5, 6, None)]
     got = sorted(derive.chunks(spark.createDataFrame(seg, "asset string, start_ms bigint, end_ms bigint, text string")).collect())
