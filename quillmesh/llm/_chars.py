@@ -1,29 +1,9 @@
-"""Many texts as one array of code points, with hashes of any substring in constant time."""
+"""Many texts as one array of code points, and hashes of their words."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Base of the polynomial hash (odd, so that it has an inverse modulo 2**64) and its inverse.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; the table is kept and grown by doubling."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(10, int(n - 1).bit_length())
-        have = np.ones(size, np.uint64)
-        step = 1
-        while step < size:  # the second half of each prefix is the first times base**step
-            have[step : 2 * step] = have[:step] * np.uint64(pow(base, step, 1 << 64))
-            step *= 2
-        if size <= 1 << 21:
-            _powers[base] = have
-    return have[:n]
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: a bijection that spreads every input bit."""
@@ -41,18 +21,20 @@ class Chars:
         self.starts = np.zeros(len(texts) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)), out=self.starts[1:])
 
-    def prefix_hash(self, cp: np.ndarray | None = None) -> np.ndarray:
-        """Running sums of value * BASE**position, modulo 2**64, one more than code points."""
-        cp = self.cp if cp is None else cp
-        out = np.zeros(len(cp) + 1, np.uint64)
-        np.cumsum((cp.astype(np.uint64) + np.uint64(0x1000193)) * _power(BASE, len(cp)), out=out[1:])
-        return out
 
+def word_hash(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each of the ascending spans [start, end), none of which overlaps another.
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each [start, end): independent of where the substring stands; its length counts."""
-    back = _power(INVERSE, len(prefix))
-    return mix((prefix[end] - prefix[start]) * back[start] + (end - start).astype(np.uint64))
+    It is the sum of a mixed value of every (place in the span, character), so it doesn't depend on where the span
+    stands, and has none of the collisions that polynomials modulo 2**64 have on self-similar words.
+    """
+    place = np.arange(len(cp), dtype=np.int64)
+    first = np.zeros(len(cp), np.int64)
+    first[start] = start
+    place -= np.maximum.accumulate(first)
+    total = np.zeros(len(cp) + 1, np.uint64)
+    np.cumsum(mix((place.view(np.uint64) << np.uint64(21)) | cp), out=total[1:])
+    return mix(total[end] - total[start] + (end - start).astype(np.uint64))
 
 
 def ragged(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,3 +43,48 @@ def ragged(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[n
     ends = np.cumsum(count)
     at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(offsets[rows] - (ends - count), count)
     return values[at], count
+
+
+class Kept:
+    """A bounded memory of ids by hash, in sorted arrays: what a batch uses is always held, the rest goes when full."""
+
+    def __init__(self, rows: int, ids: int, extra: int = 0):
+        self.most, self.most_ids, self.extra = rows, ids, extra
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.offsets, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.values = np.zeros((self.extra, 0), np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 if it isn't held."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.row[at], -1)
+
+    def rows(self, keys: np.ndarray, make) -> np.ndarray:
+        """Rows of the distinct ``keys``; ``make`` gets the places of those not held and gives (ids, count of each, extra values)."""
+        at = self.find(keys)
+        new = np.flatnonzero(at < 0)
+        if not len(new):
+            return at
+        ids, count, *values = make(new)
+        if len(self.keys) + len(new) > self.most or len(self.ids) + len(ids) > self.most_ids:
+            held = np.flatnonzero(at >= 0)
+            old, each = ragged(self.ids, self.offsets, at[held])
+            kept = self.values[:, at[held]]
+            self._clear()
+            self._add(keys[held], old, each, kept)
+        self._add(keys[new], ids, count, np.array(values, np.int64).reshape(self.extra, len(new)))
+        return self.find(keys)
+
+    def _add(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        row = len(self.offsets) - 1 + order
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.row = np.insert(self.keys, at, keys[order]), np.insert(self.row, at, row)
+        self.ids = np.concatenate((self.ids, ids.astype(np.int32, copy=False)))
+        self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(count)))
+        self.values = np.concatenate((self.values, values), axis=1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 import zipfile
@@ -19,10 +20,13 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (tests on one machine) a folder of our own is set.
+    Where that setting is absent, a local session (all of it on one machine, as in tests) gets a folder of its own;
+    on a cluster that is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillmesh-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
@@ -35,26 +39,51 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        drop_path(spark, path)
-    except Exception:  # noqa: BLE001  the session may be gone at exit; the folder is then left
-        pass
+#: Folders written and not yet deleted, oldest first.
+_written: list[tuple[SparkSession, str]] = []
+
+
+def _forget(written: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in written:
+        try:
+            drop_path(spark, path)
+        except Exception:  # noqa: BLE001  the session may be gone at exit; the folder is then left
+            pass
+
+
+atexit.register(_forget, _written)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder of our own in the shared one; it goes when the driver's process ends, or by ``discard``."""
+    path = f"{shared_dir(spark)}/quillmesh/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Cuts the lineage so that a lost executor costs a re-read and not a recomputation. The folder
-    goes when the driver's process ends.
+    Cuts the lineage so that a lost executor costs a re-read and not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillmesh/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """Place in the list of written folders, for ``discard``."""
+    return len(_written)
+
+
+def discard(since: int, but: int = 0) -> None:
+    """Delete the folders written since ``mark()`` gave ``since``, but for the last ``but`` ones: nothing reads them any more."""
+    top = len(_written) - but
+    gone, _written[since:top] = _written[since:top], []
+    _forget(gone)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -108,9 +137,19 @@ def _give_back() -> None:
         trim(0)
 
 
+#: Bytes of a batch that goes to a Python worker, unless the session says otherwise: rows may be long texts or sets.
+_BATCH, _BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 8 << 20
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with this package sent to the executors, whose workers may not have it installed."""
-    context = df.sparkSession.sparkContext
+    """``mapInArrow`` with this package sent to the executors, whose workers may not have it installed.
+
+    Where the session has Spark's default of 64 MB a batch, batches get smaller: both sides hold one whole.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+    context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[1]
         archive = Path(tempfile.mkdtemp(prefix="quillmesh-")) / f"{root.name}.zip"

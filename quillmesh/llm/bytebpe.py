@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import os
 import unicodedata
-from array import array
+from itertools import chain
 
 import numpy as np
 
-from quillmesh.llm._chars import Chars, ragged, span_hash
+from quillmesh.llm._chars import Chars, Kept, ragged, word_hash
 from quillmesh.llm._common import text_chunks
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
@@ -24,8 +24,10 @@ WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Code points below this have been in Unicode long enough to be classed alike everywhere.
 CERTAIN = 0x2100
-#: Pieces kept at most; then the older half is forgotten.
-KEEP = 400_000
+#: How the vocabulary writes a leading space (fixed value), and pieces with one that are encoded as one text.
+LEAD, JOIN = "\u0120", 256
+#: Pieces and their ids kept by a worker.
+KEEP, KEEP_IDS = 800_000, 4_000_000
 
 _classes: np.ndarray | None = None
 
@@ -72,7 +74,7 @@ def piece_starts(c: Chars) -> np.ndarray:
 
 
 class Pieces:
-    """Ids of pieces (packed, 4 bytes each) by hash, kept over batches."""
+    """Ids of pieces by hash, kept over batches."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,31 +82,47 @@ class Pieces:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.new: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.kept = Kept(KEEP, KEEP_IDS)
+        vocabulary = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.leads[[i for x, i in vocabulary.items() if x[0] == LEAD]] = True
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.whole(texts)
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(count.sum())), count
+
+    def spelt(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, end to end, and the number of each.
+
+        A piece with a leading space ends where the next such piece begins, and only its first token begins with
+        that space. So many of them are given to the library as one text, and their ids cut at these tokens.
+        """
+        led = np.array([len(x) > 1 and x[0] == " " and not x[1].isspace() for x in texts], bool)
+        order = np.argsort(~led, kind="stable")
+        n = int(led.sum())
+        first = [texts[i] for i in order[:n].tolist()]
+        ids, _ = self._each(["".join(first[i : i + JOIN]) for i in range(0, n, JOIN)])
+        at = np.flatnonzero(self.leads[ids])
+        if len(at) != n or (n and at[0]):
+            return self._each(texts)
+        rest, each = self._each([texts[i] for i in order[n:].tolist()])
+        offsets = np.concatenate((at, len(ids) + np.concatenate(([0], np.cumsum(each)))))
+        return ragged(np.concatenate((ids, rest)), offsets, np.argsort(order))
+
     def of(self, c: Chars) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of ``c`` end to end and the number of ids of each text."""
         starts = piece_starts(c)
         ends = np.append(starts[1:], len(c.cp))
-        hashes, first, which = np.unique(span_hash(c.prefix_hash(), starts, ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        if len(self.new) + len(keys) > KEEP:
-            self.old, self.new = self.new, {}
-        got = [self.new.get(k) or self.old.get(k) for k in keys]
-        missing = [i for i, x in enumerate(got) if x is None]
-        spell = [c.text[a:b] for a, b in zip(starts[first[missing]].tolist(), ends[first[missing]].tolist(), strict=True)] if missing else []
-        for i, ids in zip(missing, self.whole(spell), strict=True):
-            got[i] = array("I", ids).tobytes()
-        self.new.update(zip(keys, got, strict=True))
-        offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) // 4)))
-        ids = np.frombuffer(b"".join(got), np.uint32)
-        flat, each = ragged(ids, offsets, which)
+        keys, first, which = np.unique(word_hash(c.cp, starts, ends), return_index=True, return_inverse=True)
+        spell = lambda new: self.spelt([c.text[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+        rows = self.kept.rows(keys, spell)[which]
+        flat, each = ragged(self.kept.ids, self.kept.offsets, rows)
         done = np.concatenate(([0], np.cumsum(each)))[np.searchsorted(starts, c.starts)]
-        return flat, np.diff(done)
+        return flat.astype(np.uint32), np.diff(done)
 
 
 _kept: dict[str, Pieces] = {}

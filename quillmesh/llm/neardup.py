@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmesh.llm._chars import Chars, mix, ragged, span_hash
+from quillmesh.llm._chars import Chars, mix, ragged, word_hash
 from quillmesh.llm._common import map_arrow, scratch, stored, strings, text_chunks
 from quillmesh.llm.components import components
 
@@ -80,7 +80,7 @@ def shingle_runs(texts: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.
     edge[c.starts] = True
     start = np.flatnonzero(~white & (np.append(True, white[:-1]) | edge[:n])) if n else np.zeros(0, np.int64)
     end = np.flatnonzero(~white & (np.append(white[1:], True) | edge[1:])) + 1 if n else start
-    words = span_hash(c.prefix_hash(cp), start, end)
+    words = word_hash(cp, start, end)
     first = np.searchsorted(start, c.starts)
     count = np.diff(first)
     number = np.where(count >= size, count - size + 1, (count > 0).astype(np.int64))

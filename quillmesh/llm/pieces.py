@@ -3,9 +3,11 @@
 The lattice of a text has an edge for every piece of the vocabulary that the text holds, and for a
 character without a piece the edge of its bytes. Piece scores are log probabilities: those in the
 model if it is a unigram model, else (a BPE model stores merge ranks) log probabilities by rank after
-Zipf's law. Forward Viterbi gives the best score up to every position; the A* search goes backward
-from the end with these scores as its heuristic, which is exact, so complete segmentations come off
-the queue best first.
+Zipf's law. They are kept as whole numbers of 1 / SCALE nats, so sums are exact and ties are ties.
+Forward Viterbi gives the best score up to every position; the A* search goes backward from the end with
+these scores as its heuristic, which is exact, so complete segmentations come off the queue best first.
+As an open path's estimate is what its best completion scores, and no two open paths share a completion, the
+queue needs to hold no more paths than segmentations are still wanted.
 
 U+2581 stands at the start of a piece only, so no edge crosses the start of a word and the lattice is a chain
 of word lattices. The forward pass runs over a batch's distinct words as arrays and also keeps each
@@ -18,16 +20,15 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from array import array
+from bisect import insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm._chars import Chars, ragged, span_hash
+from quillmesh.llm._chars import Chars, Kept, mix, ragged, word_hash
 from quillmesh.llm._common import extended, map_arrow, scratch, strings, text_chunks
 from quillmesh.llm.langid import Hashes
 
@@ -35,10 +36,16 @@ SPACE = "▁"
 #: Stands for a U+2581 of the text itself; texts hold no lone surrogates.
 LITERAL = "\ud800"
 N_BEST = 4
-#: Log probability of a byte piece: below all pieces of the vocabulary.
-BYTE = -16.0
-#: Words kept at most (then the older half is forgotten), and longest word in the array pass.
-KEEP, LONG = 120_000, 64
+#: Parts of a nat that scores are whole numbers of, and the score of a byte piece, below all pieces of the vocabulary.
+SCALE = 1 << 20
+BYTE = -16 * SCALE
+NEVER = -(1 << 60)
+#: Words and their ids kept by a worker, and letters of the words whose N best lists are kept.
+KEEP, KEEP_IDS, KEEP_LETTERS = 400_000, 4_000_000, 1 << 17
+#: Code points taken at once, and letters of the words whose lattices are built at once (one longer word goes alone).
+BATCH, GROUP = 1 << 20, 1 << 16
+#: With fewer words than this side by side, the forward pass goes edge by edge.
+FEW = 8
 MISS = -1
 
 
@@ -51,38 +58,39 @@ class Vocabulary:
         self.size = n
         ids = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         raw = {i: sp.get_score(i) for i in ids}
-        ranked = all(float(x).is_integer() and x <= 0 for x in raw.values())
-        if ranked:
+        if all(float(x).is_integer() and x <= 0 for x in raw.values()):  # merge ranks
             total = math.log(sum(1 / (r + 2) for r in range(n)))
-            logp = {i: -math.log((-x if x > -1e8 else 0) + 2) - total for i, x in raw.items()}
-        else:
-            logp = raw
+            raw = {i: -math.log((-x if x > -1e8 else 0) + 2) - total for i, x in raw.items()}
         self.bytes = [0] * 256
         for i in range(n):
             if sp.is_byte(i):
                 self.bytes[int(sp.id_to_piece(i)[3:-1], 16)] = i
-        self.pieces = {sp.id_to_piece(i): (i, logp[i]) for i in ids}
+        self.pieces = {sp.id_to_piece(i): (i, round(raw[i] * SCALE)) for i in ids}
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a piece crosses the start of a word")
         self.longest = max(map(len, self.pieces))
-        # every beginning of a piece by hash, with the piece that it is, if any
-        begin = sorted({p[:n] for p in self.pieces for n in range(1, len(p) + 1)})
-        c = Chars(begin)
-        keys = span_hash(c.prefix_hash(), c.starts[:-1], c.starts[1:])
+        # a trie: the state of every beginning of a piece, and the steps (state, character) -> state
+        states = {"": 0}
+        for p in self.pieces:
+            for k in range(1, len(p) + 1):
+                states.setdefault(p[:k], len(states))
+        begin = list(states)[1:]
+        keys = mix(np.array([states[x[:-1]] for x in begin], np.uint64) << np.uint64(21) | np.array([ord(x[-1]) for x in begin], np.uint64))
         order = np.argsort(keys)
-        self.begin = Hashes(keys[order])
-        self.ids = np.array([self.pieces.get(begin[i], (MISS, 0.0))[0] for i in order], np.int32)
-        self.logp = np.array([self.pieces.get(begin[i], (MISS, 0.0))[1] for i in order])
+        self.steps, self.state = Hashes(keys[order]), order + 1
+        self.ids = np.array([MISS, *(self.pieces.get(x, (MISS, 0))[0] for x in begin)], np.int32)
+        self.scores = np.array([0, *(self.pieces.get(x, (MISS, 0))[1] for x in begin)], np.int64)
         # what each id decodes to
-        self.spelt = [b""] * n
+        spelt = [b""] * n
         for p, (i, _) in self.pieces.items():
-            self.spelt[i] = p.replace(SPACE, " ").encode()
+            spelt[i] = p.replace(SPACE, " ").encode()
         for b, i in enumerate(self.bytes):
-            self.spelt[i] = bytes([b])
-        # of each word kept: the best's ids (packed), its score, and how much less the second best has
-        self.new: dict[int, tuple[bytes, float, float]] = {}
-        self.old: dict[int, tuple[bytes, float, float]] = {}
-        self.n_best = lru_cache(100_000)(self._n_best)
+            spelt[i] = bytes([b])
+        self.spelt = np.frombuffer(b"".join(spelt), np.uint8)
+        self.spelt_at = np.concatenate(([0], np.cumsum([len(x) for x in spelt])))
+        self.kept = Kept(KEEP, KEEP_IDS, 2)
+        self.lists: dict[tuple[str, int], list[tuple[int, tuple[int, ...]]]] = {}
+        self.letters = 0
 
     # ---- one word
 
@@ -90,7 +98,7 @@ class Vocabulary:
         """A character's byte pieces."""
         return tuple(self.bytes[b] for b in (SPACE if char == LITERAL else char).encode())
 
-    def edges(self, word: str, end: int) -> Iterator[tuple[int, tuple[int, ...], float]]:
+    def edges(self, word: str, end: int) -> Iterator[tuple[int, tuple[int, ...], int]]:
         """(start, ids, score) of the edges that end at ``end``."""
         for start in range(max(0, end - self.longest), end):
             found = self.pieces.get(word[start:end])
@@ -100,158 +108,167 @@ class Vocabulary:
                 ids = self.char_ids(word[start])
                 yield start, ids, BYTE * len(ids)
 
-    def forward(self, word: str) -> list[float]:
+    def forward(self, word: str) -> list[int]:
         """Best score of a segmentation of each prefix."""
-        alpha = [0.0] + [-math.inf] * len(word)
+        alpha = [0]
         for end in range(1, len(word) + 1):
-            alpha[end] = max(alpha[start] + s for start, _, s in self.edges(word, end))
+            alpha.append(max(alpha[start] + s for start, _, s in self.edges(word, end)))
         return alpha
 
-    def _n_best(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations (score, ids), best first; ties by ids from the end backward."""
+    def n_best(self, word: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+        """The n best segmentations (score, ids), best first; of equally good ones those that got further come first."""
+        found = self.lists.get((word, n))
+        if found is None:
+            if self.letters + len(word) > KEEP_LETTERS:
+                self.lists, self.letters = {}, 0
+            found = self.lists[word, n] = self._n_best(word, n)
+            self.letters += len(word)
+        return found
+
+    def _n_best(self, word: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         alpha = self.forward(word)
-        queue: list[tuple[float, tuple[int, ...], int, float]] = [(-alpha[-1], (), len(word), 0.0)]
-        out: list[tuple[float, tuple[int, ...]]] = []
+        # paths from the end backward, each an edge and the path after it
+        done, after, part = [0], [-1], [()]
+        queue = [(-alpha[-1], len(word), 0)]
+        out: list[tuple[int, tuple[int, ...]]] = []
         while queue and len(out) < n:
-            _, back, at, done = heapq.heappop(queue)
+            _, at, path = queue.pop(0)
             if not at:
-                out.append((done, back[::-1]))
+                score, ids = done[path], []
+                while path > 0:
+                    ids += part[path]
+                    path = after[path]
+                out.append((score, tuple(ids)))
                 continue
+            room = n - len(out)
             for start, ids, s in self.edges(word, at):
-                heapq.heappush(queue, (-(done + s + alpha[start]), back + ids[::-1], start, done + s))
+                entry = (-(done[path] + s + alpha[start]), start, len(done))
+                if len(queue) < room or entry < queue[-1]:
+                    insort(queue, entry)
+                    del queue[room:]
+                    done.append(done[path] + s)
+                    after.append(path)
+                    part.append(ids)
         return out
 
     # ---- distinct words of a batch as arrays
 
-    def _edges(self, prefix: np.ndarray, start: np.ndarray, size: np.ndarray, text: str) -> tuple[np.ndarray, ...]:
-        """(word, from, to, piece or MISS, score) of all lattice edges of some words; from and to within the word.
+    def _lattice(self, cp: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(word, from, to, piece or MISS, score) of all edges of some words; from and to within the word.
 
-        From every character the pieces are found by growing beginnings, as long as some piece begins so.
+        Edges stand by their end, and of one end by their length: every edge comes after all that end where it starts.
         """
         word = np.repeat(np.arange(len(start)), size)
         at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
-        place = start[word] + at
-        alive = np.arange(len(word))
+        place, room = start[word] + at, size[word] - at
+        alive, state = np.arange(len(word)), np.zeros(len(word), np.uint64)
         out = []
         for n in range(1, self.longest + 1):
-            alive = alive[at[alive] + n <= size[word[alive]]]
-            found = self.begin.find(span_hash(prefix, place[alive], place[alive] + n))
-            piece = np.where(found >= 0, self.ids[found], MISS)
+            inside = room[alive] >= n
+            alive, state = alive[inside], state[inside]
+            found = self.steps.find(mix(state << np.uint64(21) | cp[place[alive] + n - 1]))
+            on = found >= 0
+            alive, state = alive[on], self.state[found[on]]
+            piece = self.ids[state]
             has = piece >= 0
-            if n == 1:  # characters without a piece: their bytes
-                none = alive[~has]
-                cost = np.array([BYTE * len(self.char_ids(text[i])) for i in place[none].tolist()])
-                out.append((word[none], at[none], at[none] + 1, np.full(len(none), MISS, np.int32), cost))
             e = alive[has]
-            out.append((word[e], at[e], at[e] + n, piece[has], self.logp[found[has]]))
-            alive = alive[found >= 0]
+            out.append((word[e], at[e], at[e] + n, piece[has], self.scores[state[has]]))
+            if n == 1:  # characters without a piece: their bytes
+                none = np.ones(len(word), bool)
+                none[e] = False
+                none = np.flatnonzero(none)
+                out.append((word[none], at[none], at[none] + 1, np.full(len(none), MISS, np.int32), BYTE * _utf8(cp[place[none]])))
             if not len(alive):
                 break
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-    def _forward_two(self, prefix: np.ndarray, start: np.ndarray, size: np.ndarray, text: str) -> list[tuple[bytes, float, float]]:
-        """Best ids, best score and lead over the second best of each word, the words side by side.
-
-        Edges are taken by their end, and of one end by their length, so that every step meets a word once
-        and all scores that it starts from are final.
-        """
-        word, a, b, piece, s = self._edges(prefix, start, size, text)
-        order = np.argsort(((b << 5) | np.minimum(b - a, 31)).astype(np.uint16), kind="stable")
-        word, a, b, piece, s = word[order], a[order], b[order], piece[order], s[order]
+            state = state.astype(np.uint64)
+        word, a, b, piece, s = (np.concatenate(x) for x in zip(*out, strict=True))
+        step = b * (self.longest + 1) + (b - a)
+        order = np.argsort(step.astype(np.uint16) if step.max(initial=0) < 1 << 16 else step, kind="stable")
+        return word[order], a[order], b[order], piece[order], s[order]
+
+    def _two_best(self, c: Chars, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(ids end to end, number of ids, score, lead over the second best) of some words' best segmentations."""
+        word, a, b, piece, s = self._lattice(c.cp, start, size)
         base = np.cumsum(size + 1) - (size + 1)
         source, target = base[word] + a, base[word] + b
-        one = np.full(int((size + 1).sum()), -np.inf)
-        two = one.copy()
-        one[base] = 0
-        come = np.zeros(len(one), np.int64)
-        step = (b << 5) | np.minimum(b - a, 31)
-        cut = [0, *(np.flatnonzero(step[1:] != step[:-1]) + 1).tolist(), len(step)]
-        for x, y in zip(cut, cut[1:], strict=False):
-            src, to, w = source[x:y], target[x:y], s[x:y]
-            first, second, best = one[to], two[to], one[src] + w
-            better = best > first
-            two[to] = np.maximum(np.maximum(second, two[src] + w), np.minimum(first, best))
-            one[to] = np.where(better, best, first)
-            come[to[better]] = np.arange(x, y)[better]
+        forward = _by_edge if len(start) < FEW else _by_step
+        one, two, come = forward(source, target, s, b * (self.longest + 1) + (b - a), base, int((size + 1).sum()))
         end = base + size
-        best, lead = one[end].tolist(), (one[end] - two[end]).tolist()
-        come_, source_, piece_ = come.tolist(), source.tolist(), piece.tolist()
-        out = []
-        for k, (node, low, place) in enumerate(zip(end.tolist(), base.tolist(), start.tolist(), strict=True)):
-            ids: list[int] = []
-            while node != low:
-                e = come_[node]
-                node = source_[e]
-                if piece_[e] >= 0:
-                    ids.append(piece_[e])
-                else:
-                    ids += self.char_ids(text[place + node - low])[::-1]
-            out.append((array("i", ids[::-1]).tobytes(), best[k], lead[k]))
-        return out
-
-    def words(self, c: Chars) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-        """Word starts, words' ends, place of each word among the distinct ones, and what these give."""
-        space = c.cp == ord(SPACE)
-        begin = np.zeros(len(c.cp) + 1, bool)
-        begin[c.starts] = True
-        begin[1:-1] |= space[1:] & ~space[:-1]
-        start = np.flatnonzero(begin[:-1])
-        end = np.append(start[1:], len(c.cp))
-        prefix = c.prefix_hash()
-        hashes, first, which = np.unique(span_hash(prefix, start, end), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        if len(self.new) + len(keys) > KEEP:
-            self.old, self.new = self.new, {}
-        got = [self.new.get(k) or self.old.get(k) for k in keys]
-        missing = np.array([i for i, x in enumerate(got) if x is None], np.int64)
-        size = (end - start)[first[missing]]
-        for few in (size <= LONG, size > LONG):
-            of, at = missing[few], start[first[missing[few]]]
-            if len(of):
-                short = size[few][0] <= LONG
-                found = self._forward_two(prefix, at, size[few], c.text) if short else [self._one(c.text[x : x + n]) for x, n in zip(at.tolist(), size[few].tolist(), strict=True)]
-                for i, x in zip(of.tolist(), found, strict=True):
-                    got[i] = x
-        self.new.update(zip(keys, got, strict=True))
-        return start, end, which, got
-
-    def _one(self, word: str) -> tuple[bytes, float, float]:
-        best = self._n_best(word, 2)
-        return array("i", best[0][1]).tobytes(), best[0][0], best[0][0] - best[1][0] if len(best) > 1 else math.inf
+        score, lead = one[end], one[end] - two[end]
+        # back from all ends together
+        node, active, back = end.copy(), np.arange(len(start)), []
+        while len(active):
+            e = come[node[active]]
+            back.append((active, e))
+            node[active] = source[e]
+            active = active[node[active] != base[active]]
+        of, e = (np.concatenate(x[::-1]) for x in zip(*back, strict=True))
+        order = np.argsort(of, kind="stable")
+        of, e = of[order], e[order]
+        ids, width = piece[e], np.ones(len(e), np.int64)
+        miss = np.flatnonzero(ids < 0)
+        if len(miss):
+            spelt = [self.char_ids(c.text[i]) for i in (start[of[miss]] + a[e[miss]]).tolist()]
+            width[miss] = [len(x) for x in spelt]
+            ids, places = np.repeat(ids, width), np.cumsum(width) - width
+            for i, x in zip(places[miss].tolist(), spelt, strict=True):
+                ids[i : i + len(x)] = x
+        return ids, np.bincount(of, width, len(start)).astype(np.int64), score, lead
+
+    def _words(self, c: Chars, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``_two_best`` of any number of words, by groups of like length."""
+        order = np.argsort(size, kind="stable")
+        total = np.cumsum(size[order])
+        group = (total - size[order]) // GROUP
+        cut = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(order)]
+        parts = [self._two_best(c, start[order[x:y]], size[order[x:y]]) for x, y in zip(cut, cut[1:], strict=False)]
+        ids, count, score, lead = (np.concatenate(x) for x in zip(*parts, strict=True))
+        back = np.argsort(order)
+        return *ragged(ids, np.concatenate(([0], np.cumsum(count))), back), score[back], lead[back]
 
     def encode(self, texts: list[str], n: int = N_BEST) -> list[list[tuple[float, np.ndarray]]]:
         """The n best segmentations (score, ids) of each whole text, best first; an empty text has one, empty."""
         out: list[list[tuple[float, np.ndarray]]] = []
-        for _, run in text_chunks(texts, 1 << 21):
+        for _, run in text_chunks(texts, BATCH):
             c = Chars([(SPACE + x.replace(SPACE, LITERAL).replace(" ", SPACE)) if x else "" for x in run])
             if not len(c.cp):
                 out += [[(0.0, np.zeros(0, np.int32))] for _ in run]
                 continue
-            start, end, which, got = self.words(c)
-            packed, score, behind = zip(*got, strict=True)
-            offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // 4)))
-            flat, each = ragged(np.frombuffer(b"".join(packed), np.int32), offsets, which)
-            score, behind = np.array(score)[which], np.array(behind)[which]
+            space = c.cp == ord(SPACE)
+            begin = np.zeros(len(c.cp) + 1, bool)
+            begin[c.starts] = True
+            begin[1:-1] |= space[1:] & ~space[:-1]
+            start = np.flatnonzero(begin[:-1])
+            end = np.append(start[1:], len(c.cp))
+            keys, first, which = np.unique(word_hash(c.cp, start, end), return_index=True, return_inverse=True)
+            row = self.kept.rows(keys, lambda new: self._words(c, start[first[new]], (end - start)[first[new]]))[which]  # noqa: B023
+            flat, each = ragged(self.kept.ids, self.kept.offsets, row)
+            score, lead = self.kept.values[:, row]
             place = np.concatenate(([0], np.cumsum(each)))
-            first = np.searchsorted(start, c.starts)
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            bounds = np.searchsorted(start, c.starts)
+            best = np.add.reduceat(np.append(score, 0), np.minimum(bounds[:-1], len(score)))
+            for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                if a == b:
+                    out.append([(0.0, np.zeros(0, np.int32))])
+                    continue
                 ids = flat[place[a] : place[b]]
-                best = float(score[a:b].sum())
-                found = [(best, ids)]
-                if n > 1 and b > a:
-                    near = np.argpartition(behind[a:b], min(n - 2, b - a - 1))[: n - 1] if b - a > n - 1 else np.arange(b - a)
-                    near = sorted((a + int(k) for k in near if np.isfinite(behind[a + int(k)])))
-                    found += self._joined(ids, best, [(c.text[start[k] : end[k]], int(place[k] - place[a]), int(each[k])) for k in near], n)
+                found = [(int(best[k]) / SCALE, ids)]
+                if n > 1:
+                    behind = lead[a:b]
+                    near = np.argpartition(behind, n - 2)[: n - 1] if b - a > n - 1 else np.arange(b - a)
+                    near = sorted(int(x) for x in near + a if lead[x] < -NEVER // 2)
+                    words = [(c.text[start[x] : end[x]], int(place[x] - place[a]), int(each[x])) for x in near]
+                    found += self._joined(ids, int(best[k]), words, n)
                 out.append(found)
         return out
 
-    def _joined(self, ids: np.ndarray, best: float, words: list[tuple[str, int, int]], n: int) -> list[tuple[float, np.ndarray]]:
+    def _joined(self, ids: np.ndarray, best: int, words: list[tuple[str, int, int]], n: int) -> list[tuple[float, np.ndarray]]:
         """The second to n-th best of a text from the lists of the words that may differ."""
         lists = []
         for w, place, size in words:  # of equally good ones the forward pass's stands first
             found, own = self.n_best(w, n), tuple(ids[place : place + size].tolist())
             lists.append([(found[0][0], own), *(x for x in found if x[1] != own)][:n])
-        queue = [(0.0, (0,) * len(words))]
+        queue = [(0, (0,) * len(words))]
         seen, out = {queue[0][1]}, []
         while queue and len(out) < n:
             loss, pick = heapq.heappop(queue)
@@ -268,14 +285,53 @@ class Vocabulary:
                 if i:
                     parts += [ids[at:place], np.array(x[i][1], np.int32)]
                     at = place + size
-            found.append((best - loss, np.concatenate([*parts, ids[at:]])))
+            found.append(((best - loss) / SCALE, np.concatenate([*parts, ids[at:]])))
         return found
 
+    def spell(self, ids: np.ndarray) -> bytes:
+        """The text of a segmentation as UTF-8: the inverse of ``encode``."""
+        return ragged(self.spelt, self.spelt_at, ids)[0].tobytes()[1:]
+
     def decode(self, ids) -> str:
-        """The text of a segmentation: the inverse of ``encode``."""
-        spelt = self.spelt
-        out = b"".join([spelt[i] for i in ids]).decode()
-        return out[1:] if out else out
+        return self.spell(np.asarray(ids, np.int64)).decode()
+
+
+def _utf8(cp: np.ndarray) -> np.ndarray:
+    """Bytes of each code point in UTF-8 (LITERAL has as many as U+2581)."""
+    return (1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)).astype(np.int64)
+
+
+def _by_step(source: np.ndarray, target: np.ndarray, s: np.ndarray, step: np.ndarray, base: np.ndarray, nodes: int) -> tuple[np.ndarray, ...]:
+    """(best score, second-best score, last edge of the best) of every node; the words go side by side.
+
+    The edges of one step have one end and length within their words, so each word is met once.
+    """
+    one = np.full(nodes, NEVER, np.int64)
+    two, come = one.copy(), np.zeros(nodes, np.int64)
+    one[base] = 0
+    cut = [0, *(np.flatnonzero(step[1:] != step[:-1]) + 1).tolist(), len(step)]
+    for x, y in zip(cut, cut[1:], strict=False):
+        src, to, w = source[x:y], target[x:y], s[x:y]
+        first, best = one[to], one[src] + w
+        better = best > first
+        two[to] = np.maximum(np.maximum(two[to], two[src] + w), np.minimum(first, best))
+        one[to] = np.where(better, best, first)
+        come[to[better]] = np.arange(x, y)[better]
+    return one, two, come
+
+
+def _by_edge(source: np.ndarray, target: np.ndarray, s: np.ndarray, step: np.ndarray, base: np.ndarray, nodes: int) -> tuple[np.ndarray, ...]:
+    """The same, one edge after the other: for a few long words."""
+    one, come = [NEVER] * nodes, [0] * nodes
+    two = list(one)
+    for x in base.tolist():
+        one[x] = 0
+    for e, (x, y, w) in enumerate(zip(source.tolist(), target.tolist(), s.tolist(), strict=True)):
+        first, best = one[y], one[x] + w
+        if best > first:
+            one[y], come[y] = best, e
+        two[y] = max(two[y], two[x] + w, min(first, best))
+    return np.array(one, np.int64), np.array(two, np.int64), np.array(come, np.int64)
 
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -285,32 +341,33 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies.get(path) or _vocabularies.setdefault(path, Vocabulary(path))
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], model: str, n: int, text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """``batches`` with the column ``text`` replaced by the last one of ``names``, the n best."""
+    v = vocabulary(model)
+    for b in batches:
+        for at in range(0, b.num_rows, 512):
+            part = b.slice(at, 512)
+            found = v.encode(strings(part.column(text)), n)
+            size = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+            flat = [y for x in found for y in x]
+            inner = np.concatenate(([0], np.cumsum([len(i) for _, i in flat]))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(inner), pa.array(np.concatenate([np.zeros(0, np.int32), *[i for _, i in flat]])))
+            rows = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.float64()), ids], fields=[pa.field("score", pa.float64()), pa.field("ids", pa.list_(pa.int32()))])
+            yield pa.RecordBatch.from_arrays([*[part.column(i) for i, f in enumerate(part.schema) if f.name != text], pa.ListArray.from_arrays(pa.array(size), rows)], names)
+
+
 def encode(docs: DataFrame, model: str, n: int = N_BEST) -> DataFrame:
     """``docs`` with ``nbest`` added: array of (score, ids), the n best segmentations, best first.
 
     Null text counts as empty: one segmentation without ids, score 0. A word with fewer segmentations than
-    asked for gives those it has. A clashing column is replaced; repeated rows get equal results; an empty
+    asked for gives those it has; words may be of any length. Of equally good segmentations any may come first, but
+    equal texts of a table get equal results, whatever stands beside them. A clashing column is replaced; an empty
     table stays empty. ``model``: a SentencePiece model file on every machine.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() == "nbest"])
     text = scratch(docs, "_text")
     names = [*docs.columns, "nbest"]
-    kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model)
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                found = v.encode(strings(part.column(text)), n)
-                size = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-                flat = [y for x in found for y in x]
-                inner = np.concatenate(([0], np.cumsum([len(i) for _, i in flat]))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(inner), pa.array(np.concatenate([np.zeros(0, np.int32), *[i for _, i in flat]])))
-                rows = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.float64()), ids], fields=list(kind.value_type))
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i, f in enumerate(part.schema) if f.name != text], pa.ListArray.from_arrays(pa.array(size), rows)], names)
-
-    return map_arrow(docs.withColumn(text, F.col("text")), run, extended(docs, "nbest array<struct<score:double,ids:array<int>>>"))
+    return map_arrow(docs.withColumn(text, F.col("text")), lambda batches: _encoded(batches, model, n, text, names), extended(docs, "nbest array<struct<score:double,ids:array<int>>>"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -318,23 +375,25 @@ def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.col("text").alias("_text"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        for b in batches:
-            texts = strings(b.column("text"))
+        for b in _encoded(batches, model, N_BEST, "_text", ["doc_id", "text", "nbest"]):
             rows: dict[str, list] = {k: [] for k in ("n_pieces", "ids_crc32", "best_score", "nbest", "decodes")}
-            for x, found in zip(texts, b.column("nbest"), strict=True):
-                scores = found.values.field("score").to_pylist()
-                ids = [np.asarray(found.values.field("ids")[i].values) for i in range(len(scores))]
-                crc = [zlib.crc32(np.ascontiguousarray(i, "<i4")) for i in ids]
-                rows["n_pieces"].append(len(ids[0]))
+            found = b.column("nbest")
+            of, every = found.offsets.to_pylist(), found.values.field("score").to_pylist()
+            ids = found.values.field("ids")
+            at, flat = ids.offsets.to_pylist(), ids.values.to_numpy()
+            for x, p, q in zip(strings(b.column("text")), of, of[1:], strict=False):
+                raw, parts = x.encode(), [flat[at[k] : at[k + 1]] for k in range(p, q)]
+                crc = [zlib.crc32(np.ascontiguousarray(i, "<i4")) for i in parts]
+                rows["n_pieces"].append(len(parts[0]))
                 rows["ids_crc32"].append(crc[0])
-                rows["best_score"].append(round(scores[0], 6))
-                rows["nbest"].append(",".join(f"{s - scores[0]:.6f}:{c}" for s, c in zip(scores, crc, strict=True)))
-                rows["decodes"].append(all(v.decode(i.tolist()) == x for i in ids))
+                rows["best_score"].append(round(every[p], 6))
+                rows["nbest"].append(",".join(f"{s - every[p]:.6f}:{c}" for s, c in zip(every[p:q], crc, strict=True)))
+                rows["decodes"].append(all(v.spell(i) == raw for i in parts))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *[pa.array(x, k) for x, k in zip(rows.values(), kinds, strict=True)]], ["doc_id", *rows])
 
-    return map_arrow(encode(docs, model), digest, "doc_id bigint, n_pieces bigint, ids_crc32 bigint, best_score double, nbest string, decodes boolean")
+    return map_arrow(docs, digest, "doc_id bigint, n_pieces bigint, ids_crc32 bigint, best_score double, nbest string, decodes boolean")

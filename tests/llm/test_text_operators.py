@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from quillmesh.llm import audio, bytebpe, chat, pfor, pieces, pii, secrets
+from quillmesh.llm import _chars, audio, bytebpe, chat, pfor, pieces, pii, secrets
 
 SCHEMA = "doc_id bigint, text string, spans int, pii int, nbest int, tensors int, LANG_PRED int"
 LONG = "word " * 40_000
@@ -150,6 +150,7 @@ def test_bytebpe_equals_the_library():
     t.encode_special_tokens = True
     r = random.Random(4)
     texts = ["".join(r.choices(" \n\t'sdtrevml 12aé!?. -ñ日", k=r.randint(0, 30))) for _ in range(800)] + ["", "  ", "I'm''s x 's <|endoftext|>", "͸ a"]
+    texts += [" ".join(r.choices(["'s", "'", "é", "12", "a1", "...", "Ġ", "\u0120x", "\x85", "I'll"], k=300)) for _ in range(20)]
     assert [x.tolist() for x in bytebpe.encode(texts, path)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -159,7 +160,7 @@ def test_n_best_equals_enumeration():
     for _ in range(60):
         t = "".join(r.choices("theanin  ▁é\n☃", k=r.randint(0, 8)))
         norm = pieces.SPACE + t.replace(pieces.SPACE, pieces.LITERAL).replace(" ", pieces.SPACE) if t else ""
-        every = [(0.0, (), 0)]
+        every = [(0, (), 0)]
         done = []
         while every:
             s, ids, at = every.pop()
@@ -168,10 +169,47 @@ def test_n_best_equals_enumeration():
             every += [(s + x, ids + i, end) for end in range(at + 1, len(norm) + 1) for start, i, x in v.edges(norm, end) if start == at]
         done.sort(key=lambda x: -x[0])
         got = v.encode([t], 5)[0]
-        assert len(got) == min(5, len(done)) and all(abs(a[0] - b[0]) < 1e-9 for a, b in zip(got, done, strict=False))
+        assert [round(x[0] * pieces.SCALE) for x in got] == [x[0] for x in done[:5]]
         assert len({tuple(x.tolist()) for _, x in got}) == len(got) and all(v.decode(x.tolist()) == t for _, x in got)
 
 
+def test_words_of_any_length(monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    v = pieces.vocabulary(path)
+    r = random.Random(9)
+    words = ["z" * 50_000, "".join(r.choices("abcdefgh", k=30_000)), "☃" * 5000, "ab" * 40, "é▁z" * 70]
+    found = [v.encode([w], 4)[0] for w in words]
+    for w, x in zip(words, found, strict=True):
+        assert all(v.decode(ids) == w for _, ids in x) and [s for s, _ in x] == sorted((s for s, _ in x), reverse=True)
+        assert len({ids.tobytes() for _, ids in x}) == len(x) == {"☃": 1, "é": 2}.get(w[0], 4)
+        assert round(x[0][0] * pieces.SCALE) == v.forward(pieces.SPACE + w.replace(pieces.SPACE, pieces.LITERAL))[-1]
+    every = v.encode(words, 4)
+    monkeypatch.setattr(pieces, "FEW", 0)  # words side by side, and kept ones forgotten: the same
+    v.kept._clear()
+    monkeypatch.setattr(v.kept, "most", 2)
+    for again in (every, v.encode(words[2:], 4), v.encode(words[2:], 4)):
+        assert all(a[0] == b[0] and (a[1] == b[1]).all() for x, y in zip(again[::-1], found[::-1], strict=False) for a, b in zip(x, y, strict=True))
+
+
+def test_kept_rows_are_found_after_forgetting():
+    kept, r = _chars.Kept(50, 400, 1), np.random.default_rng(2)
+    for _ in range(40):
+        keys = np.unique(r.integers(0, 200, r.integers(1, 60)).astype(np.uint64))
+        v, size = keys.astype(np.int64), keys.astype(np.int64) % 5
+        rows = kept.rows(keys, lambda new: (np.repeat(v[new], size[new]), size[new], v[new] * 3))  # noqa: B023
+        flat, count = _chars.ragged(kept.ids, kept.offsets, rows)
+        assert (count == size).all() and (flat == np.repeat(v, size)).all() and (kept.values[0, rows] == v * 3).all()
+
+
+def test_word_hashes_of_self_similar_words():
+    words = ["a", "b"]
+    for _ in range(11):  # Thue-Morse words: polynomials modulo 2**64 can't tell them apart
+        words = [words[0] + words[1], words[1] + words[0]]
+    c = _chars.Chars([*words, words[0], "ab", "ba"])
+    h = _chars.word_hash(c.cp, c.starts[:-1], c.starts[1:])
+    assert h[0] == h[2] and len(set(h.tolist())) == 4
+
+
 def test_chat_escapes_are_reversible():
     r = random.Random(6)
     for _ in range(500):
