@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Each step is one grouping of the edges by a vertex; a vertex with very many neighbours is split
-by pre-aggregating its least neighbour before the edges are dealt, so no neighbour list is ever
-gathered in one row. Every second step's edges are written to the shared folder.
+Each step is one grouping of the edges by a vertex and one join with the groups' least neighbours. These are
+written before the join: both its sides are then plain shuffles, which Spark's adaptive execution
+splits where one vertex has very many neighbours, so a star's centre isn't one task. A step's edges are written to
+the shared folder too, and the tables of the step before are deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm._common import stored
+from quillmesh.llm._common import discard, mark, stored
 
 
 def _to_least(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,7 +20,7 @@ def _to_least(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:  # those below count and are linked, with the vertex
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")), "least")
     joined = both.join(least, "u").select("u", "v", F.least("m", "u").alias("m"))
     if large:
         linked = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -33,11 +34,12 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     Ids are longs. Vertices without an edge are absent. An empty edge table gives an empty result.
     """
-    e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    e, since = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges"), mark() - 1
     for _ in range(most):
         # done when all are stars: no vertex has two lesser neighbours, or both a lesser and a greater one
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("low"), F.lit(0).alias("high")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("low"), F.lit(1).alias("high")))
         if not ends.groupBy("x").agg(F.sum("low").alias("low"), F.sum("high").alias("high")).filter("low > 1 or (low > 0 and high > 0)").limit(1).count():
             return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        e = stored(_to_least(_to_least(e, True), False), "edges")
+        e = stored(_to_least(stored(_to_least(e, True), "edges"), False), "edges")
+        discard(since, 1)
     raise RuntimeError(f"components did not settle in {most} steps")

@@ -3,25 +3,29 @@
 1. Each text gives its set of hashed 5-word shingles, PERMS MinHash samples, band keys of a few samples
    each (``banding``: their number follows from the threshold), and an odd sketch: every (place, sample) toggles one of BITS bits, so the XOR of two
    sketches counts the samples in which they differ.
-2. Texts with equal sets are one class (digest of the set); the class's least doc_id stands for it.
-3. In every bucket of classes that share a band key, sketches are compared; pairs that may be linked join their
-   members to a cluster (only a spanning forest of them leaves a task).
-4. A cluster's members are compared on their full sets (100 * shared >= PERCENT * union), again leaving
-   a spanning forest of the links, whose components are the result.
+2. Texts with equal sets are one class (digest of the set); the class's least id stands for it.
+3. In every bucket of classes that share a band key, all are compared with the least of them, sketch by sketch. Those
+   that aren't alike to it, and only those, are compared with the whole bucket.
+4. Of the candidates found, each class's least one is compared with it on their full sets (100 * shared >= PERCENT * union).
+   That already joins nearly all that belong together, in as many comparisons as there are classes.
+5. What then stays apart although candidates lie between: all but the largest joined part of such a cluster are
+   compared with all of it, by sketches first and, where these allow it, on the full sets.
 
 Buckets and clusters of any size are compared whole: their members are dealt to blocks, and each pair of
-blocks is a task of bounded size.
+blocks is a task of bounded size, of which a spanning forest of the links leaves.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,7 +39,7 @@ PERMS = 160
 BITS = 512
 #: Two texts at the threshold share no band with at most this probability.
 MISSED = 1e-8
-#: Pairs whose sketches estimate a similarity so many standard deviations under the threshold don't make a cluster.
+#: Pairs whose sketches estimate a similarity so many standard deviations under the threshold aren't compared further.
 DEVIATIONS = 6.0
 #: Members of a block of a bucket, and shingles of a block of a cluster.
 BLOCK, ELEMENTS = 2048, 500_000
@@ -131,7 +135,7 @@ SIMILAR = 1 + BITS / 4 * np.log(np.maximum(1 - 2 * _d / BITS, 1e-9)) / PERMS
 
 
 def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands, sketch) of each row; null text: empty set, null digest."""
+    """(doc_id, h, n_shingles, digest, bands, sketch) of each row; h: hash of the text; null text: empty set, null digest."""
     rows, number = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,21 +157,29 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                     for r in range(rows):
                         key += mix(s[:, r : rows * number : rows] + np.uint64(r)) * _PLACE[r]
                     key = mix(key ^ mix(np.arange(1, number + 1, dtype=np.uint64))).view(np.int64)
-                    odd = odd_sketch(s)
+                    odd = odd_sketch(s).view(np.int64)
                     for j, i in enumerate(some):
-                        digest[i], bands[i], sketch[i] = xxhash.xxh3_128_digest(each[j].tobytes()), key[j], odd[j].tobytes()
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(part)).cast(pa.int64()), pa.array(size), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "digest", "bands", "sketch"])
+                        digest[i], bands[i], sketch[i] = xxhash.xxh3_128_digest(each[j].tobytes()), key[j], odd[j]
+                own = [b.column(c).slice(at, len(part)).cast(pa.int64()) for c in ("doc_id", "h")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(size), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "h", "n_shingles", "digest", "bands", "sketch"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch binary")
+    source = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return map_arrow(source, run, "doc_id bigint, h bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>")
 
 
-def _forest(ids: np.ndarray, left: np.ndarray, right: np.ndarray, linked) -> list[tuple[int, int]]:
-    """Spanning forest of the graph in which ``linked(row, columns)`` tells whose neighbours a row has.
+def differing_bits(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ."""
+    bits = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(BITS // 64)]
+    return functools.reduce(operator.add, bits)
 
-    Rows are the places ``left``, columns the places ``right``. A row whose columns are all in its tree
-    already is passed over.
+
+def _forest(names: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, linked) -> list[tuple[int, int]]:
+    """Spanning forest of the graph in which ``linked(row, columns)`` tells which columns a row is linked with.
+
+    Rows are the places ``left``, columns the places ``right``; places of equal ``label`` are joined already. A
+    row whose columns are all in its tree is passed over. Trees are given by the ``names`` of their links' ends.
     """
-    label = np.arange(len(ids))
+    _, label = np.unique(label, return_inverse=True)
     out = []
     for r in left:
         open_ = right[label[right] != label[r]]
@@ -176,140 +188,241 @@ def _forest(ids: np.ndarray, left: np.ndarray, right: np.ndarray, linked) -> lis
         hit = open_[linked(int(r), open_)]
         roots, first = np.unique(label[hit], return_index=True)
         for root, c in zip(roots.tolist(), hit[first].tolist(), strict=True):
-            out.append((int(ids[r]), int(ids[c])))
+            out.append((int(names[r]), int(names[c])))
             label[label == root] = label[r]
     return out
 
 
-def _blocked(rows: DataFrame, make, columns: list[str]) -> DataFrame:
-    """(u, v): the spanning forests of every group's tasks.
+def _blocked(rows: DataFrame, make, columns: list[str], name: str) -> DataFrame:
+    """(u, v): links of every group's members with ``rest`` to all members, a spanning forest a task.
 
-    ``rows`` has (key, id, p, ...): a group's members are dealt to p blocks by hash, and each pair of blocks is a
-    task, so a large group's pairs are compared in pieces of bounded size, each on any executor. ``make`` gets
-    a task's columns as lists and returns its ``linked``.
+    ``rows`` has (key, id, label, rest, of_rest, of_all, ...): a group's members with ``rest`` are dealt by hash to ``of_rest``
+    blocks, the others to the blocks from there up to ``of_all``; a task is a pair of blocks, the first of which is of
+    the rest. ``make`` gets a task's columns and returns its ``linked``; ``name`` is the column that links are given by.
     """
-    block = F.pmod(F.xxhash64("id", F.lit(9)), F.col("p"))
-    others = F.sequence(F.lit(0).cast("long"), F.col("p") - 1)
+    place = F.xxhash64("id", F.lit(9))
+    block = F.when(F.col("rest"), F.pmod(place, "of_rest")).otherwise(F.col("of_rest") + F.pmod(place, F.greatest(F.col("of_all") - F.col("of_rest"), F.lit(1))))
+    others = F.sequence(F.lit(0).cast("long"), F.when(F.col("rest"), F.col("of_all")).otherwise(F.col("of_rest")) - 1)
     pairs = F.transform(others, lambda x: F.struct(F.least(x, F.col("_b")).alias("i"), F.greatest(x, F.col("_b")).alias("j")))
-    tasks = rows.withColumn("_b", block).withColumn("_t", F.explode(pairs)).select("key", F.col("_t.i").alias("i"), F.col("_t.j").alias("j"), "_b", "id", *columns)
+    names = list(dict.fromkeys(["key", "i", "j", "_b", "label", name, *columns]))
+    tasks = rows.withColumn("_b", block.cast("long")).withColumn("_t", F.explode(pairs)).withColumns({"i": F.col("_t.i"), "j": F.col("_t.j")}).select(*names)
 
     def task(t: pa.Table) -> list[tuple[int, int]]:
         if t.num_rows < 2:
             return []
-        ids, block = t.column("id").to_numpy(), t.column("_b").to_numpy()
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        linked = make(*[t.column(c).to_pylist() for c in columns])
-        return _forest(ids, np.flatnonzero(block == i), np.flatnonzero(block == j), linked)
+        block, i, j = t.column("_b").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        linked = make(*[t.column(c).combine_chunks() for c in columns])
+        return _forest(t.column(name).to_numpy(), t.column("label").to_numpy(), np.flatnonzero(block == i), np.flatnonzero(block == j), linked)
+
+    def batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         for b in batches:  # sorted by task; a batch's last task may go on in the next batch
             if not b.num_rows:
                 continue
-            t = pa.concat_tables([*held, pa.Table.from_batches([b])])
+            t = pa.Table.from_batches([b])
+            if held and all(held[-1].column(x)[-1] == t.column(x)[0] == t.column(x)[-1] for x in ("key", "i", "j")):
+                held.append(t)
+                continue
+            t = pa.concat_tables([*held, t])
             keys = [t.column(x).to_numpy() for x in ("key", "i", "j")]
             cut = [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0)) + 1).tolist()]
-            found = [e for x, y in zip(cut, cut[1:], strict=False) for e in task(t.slice(x, y - x))]
+            yield batch([e for x, y in zip(cut, cut[1:], strict=False) for e in task(t.slice(x, y - x))])
             held = [t.slice(cut[-1])]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
-        found = task(pa.concat_tables(held)) if held else []
-        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
+        yield batch(task(pa.concat_tables(held)) if held else [])
 
     return map_arrow(tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "u bigint, v bigint")
 
 
-def _alike(percent: int):
-    """Links of a bucket's members whose sketches let them be similar enough."""
-    low = least(percent)
+def _sketches(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy().view(np.uint64).reshape(len(column), -1)
 
-    def make(sketches: list[bytes]):
-        s = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
 
-        def linked(r: int, columns: np.ndarray) -> np.ndarray:
-            return SIMILAR[np.bitwise_count(s[columns] ^ s[r]).sum(axis=1, dtype=np.int64)] >= low
+def _alike(bits: int):
+    """Links of members whose sketches differ in ``bits`` at most."""
 
-        return linked
+    def make(sketch: pa.ListArray):
+        s = _sketches(sketch)
+        return lambda r, columns: np.bitwise_count(s[columns] ^ s[r]).sum(axis=1, dtype=np.int64) <= bits
 
     return make
 
 
-def _similar(percent: int):
-    """Links of a cluster's members on their full sets: a row's shingles are marked and counted in all columns."""
+def _similar(percent: int, bits: int):
+    """Links on full sets, of members whose sketches allow them: a row's shingles are marked and counted in the columns."""
 
-    def make(sets: list[bytes]):
-        each = [np.frombuffer(x, np.uint64) for x in sets]
+    def make(sketch: pa.ListArray, sets: pa.Array):
+        s = _sketches(sketch)
+        each = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets]
         size = np.array([len(x) for x in each])
         values, number = np.unique(np.concatenate(each), return_inverse=True)
         offsets = np.concatenate(([0], np.cumsum(size)))
         mark = np.zeros(len(values), np.int32)
 
         def linked(r: int, columns: np.ndarray) -> np.ndarray:
-            own = number[offsets[r] : offsets[r + 1]]
-            mark[own] = 1
-            flat, count = ragged(number, offsets, columns)
-            shared = np.add.reduceat(mark[flat], np.cumsum(count) - count)
-            mark[own] = 0
-            return 100 * shared >= percent * (size[columns] + size[r] - shared)
+            out = np.bitwise_count(s[columns] ^ s[r]).sum(axis=1, dtype=np.int64) <= bits
+            near = columns[out]
+            if len(near):
+                own = number[offsets[r] : offsets[r + 1]]
+                mark[own] = 1
+                flat, count = ragged(number, offsets, near)
+                shared = np.add.reduceat(mark[flat], np.cumsum(count) - count)
+                mark[own] = 0
+                out[out] = 100 * shared >= percent * (size[near] + size[r] - shared)
+            return out
 
         return linked
 
     return make
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents in ``ids``."""
+def _sets(docs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(id, shingles) of the texts that ``vertices`` (id, doc_id, h) names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for at in range(0, x.num_rows, 512):
-                y = x.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([y.column("id"), pa.array([s.tobytes() for s in shingle_sets(strings(y.column("text")))], pa.binary())], ["id", "shingles"])
+            for at, part in text_chunks(strings(x.column("text")), 1 << 19):
+                yield pa.RecordBatch.from_arrays([x.column("id").slice(at, len(part)), pa.array([s.tobytes() for s in shingle_sets(part)], pa.binary())], ["id", "shingles"])
 
-    wanted = docs.select(F.col("doc_id").alias("id"), "text").join(ids.select("id"), "id", "left_semi")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    wanted = texts.join(vertices, [texts["doc_id"].eqNullSafe(vertices["doc_id"]), texts["h"] == vertices["h"]]).select("id", "text")
     return map_arrow(wanted, run, "id bigint, shingles binary")
 
 
+def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
+    """The (u, v) of ``pairs`` (u, v, a, b: full sets) that are linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            keep = []
+            for a, b in zip(x.column("a"), x.column("b"), strict=True):
+                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
+                    keep.append(False)
+                    continue
+                both = np.sort(np.concatenate((a, b)))
+                shared = int((both[1:] == both[:-1]).sum())
+                keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
+            yield x.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return map_arrow(pairs, run, "u bigint, v bigint")
+
+
+#: Surrogate ids stand above all doc_ids.
+_OWN = 1 << 62
+
+
+def _numbered(docs: DataFrame, percent: int) -> tuple[DataFrame, bool]:
+    """``signatures`` with ``id``, a number for each distinct (doc_id, text): the doc_id if no other row has it, else a
+    hash of both above all doc_ids; and whether some row needed that."""
+    sig = stored(signatures(docs, percent), "signatures")
+    odd = sig.groupBy("doc_id").count().filter("doc_id is null or count > 1").select(F.col("doc_id").alias("_odd"), F.lit(True).alias("_own"))
+    if not odd.limit(1).count():
+        return sig.withColumn("id", F.col("doc_id")), False
+    own = F.shiftrightunsigned(F.xxhash64("doc_id", "h"), 2).bitwiseOR(F.lit(_OWN))
+    found = sig.join(odd, sig["doc_id"].eqNullSafe(odd["_odd"]), "left").withColumn("id", F.when(F.col("_own"), own).otherwise(F.col("doc_id")))
+    return stored(found.drop("_odd", "_own"), "numbered"), True
+
+
+def _linked(docs: DataFrame, sig: DataFrame, percent: int, more: DataFrame | None = None) -> DataFrame:
+    """(id, component) of every row of ``sig`` with a digest (an id once): the least id reachable over links and the edges ``more`` (u, v)."""
+    bits = int(np.flatnonzero(SIMILAR >= least(percent))[-1])
+    # the same set: one class, which its least id stands for
+    classes = stored(sig.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    member = sig.select("id", "digest", "doc_id", "h", "n_shingles", "bands", "sketch").join(classes, "digest")
+    reps = stored(member.filter("id = rep").select("id", "doc_id", "h", "n_shingles", "bands", "sketch"), "representatives")
+    sketch = reps.select("id", "sketch")
+    keys = reps.select("id", F.explode("bands").alias("key"))
+    shared = stored(keys.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n"), "shared")
+    # every member of a bucket against its least one
+    lead = sketch.select(F.col("id").alias("least"), F.col("sketch").alias("lead"))
+    bands = stored(keys.join(shared, "key"), "bands")
+    bands = bands.join(sketch, "id").join(lead, "least").select("key", "id", "least", (differing_bits(F.col("sketch"), F.col("lead")) <= bits).alias("alike"))
+    bands = stored(bands, "buckets")
+    count = lambda x: F.sum(x.cast("long"))
+    split = bands.groupBy("key").agg(F.ceil(count(~F.col("alike")) / BLOCK).alias("of_rest"), F.ceil(count(F.col("alike")) / BLOCK).alias("_like")).filter("of_rest > 0")
+    split = stored(split.select("key", "of_rest", (F.col("of_rest") + F.col("_like")).alias("of_all")), "split")
+    open_ = bands.join(split, "key").join(sketch, "id").withColumns({"rest": ~F.col("alike"), "label": F.when(F.col("alike"), F.col("least")).otherwise(F.col("id"))})
+    near = bands.filter("alike and id <> least").select(F.col("least").alias("u"), F.col("id").alias("v")).unionByName(_blocked(open_, _alike(bits), ["sketch"], "id"))
+    near = stored(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near")
+    # each with its least candidate on the full sets
+    ends = near.select(F.col("u").alias("id")).unionByName(near.select(F.col("v").alias("id"))).distinct()
+    sets = stored(_sets(docs, reps.select("id", "doc_id", "h").join(ends, "id")).dropDuplicates(["id"]), "sets")
+    first = near.groupBy("v").agg(F.min("u").alias("u"))
+    pairs = first.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v").join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u")
+    sure = _confirmed(pairs.select("u", "v", "a", "b"), percent)
+    if more is not None:  # edges between ids, whose classes they join
+        rep = sig.select("id", "digest").join(classes, "digest").select("id", "rep")
+        to = lambda c: rep.select(F.col("id").alias(c), F.col("rep").alias(f"_{c}"))
+        sure = sure.unionByName(more.join(to("u"), "u", "left").join(to("v"), "v", "left").select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v")))
+    part = components(sure)
+    # candidates between parts make clusters of them
+    of = ends.join(part, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
+    of = stored(of, "parts")
+    ends_of = lambda c: of.select(F.col("id").alias(c), F.col("label").alias(f"_{c}"))
+    between = near.join(ends_of("u"), "u").join(ends_of("v"), "v").filter("_u <> _v").select(F.col("_u").alias("u"), F.col("_v").alias("v")).distinct()
+    cluster = components(between).select(F.col("id").alias("label"), F.col("component").alias("key"))
+    inside = stored(of.join(cluster, "label").join(reps.select("id", "n_shingles"), "id"), "clusters")
+    sizes = inside.groupBy("key", "label").agg(F.sum("n_shingles").alias("n"))
+    largest = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("_most"), F.max_by("label", F.struct("n", "label")).alias("largest"))
+    blocks = largest.select("key", "largest", F.ceil((F.col("n") - F.col("_most")) / ELEMENTS).alias("of_rest"), F.ceil(F.col("_most") / ELEMENTS).alias("_like"))
+    blocks = stored(blocks.select("key", "largest", "of_rest", (F.col("of_rest") + F.col("_like")).alias("of_all")), "blocks")
+    apart = inside.join(blocks, "key").withColumn("rest", F.col("label") != F.col("largest")).join(sketch, "id").join(sets, "id")
+    links = _blocked(apart, _similar(percent, bits), ["sketch", "shingles"], "label")
+    last = components(links).select(F.col("id").alias("label"), F.col("component").alias("last"))
+    part = part.select(F.col("id").alias("rep"), F.col("component").alias("label"))
+    found = sig.select("id", "digest").join(classes, "digest").join(part, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(last, "label", "left")
+    return found.select("id", F.coalesce("last", "label").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text).
 
     component_id is the least doc_id reachable over links; kept: doc_id is component_id. Null or
     wordless texts have no shingles, no links and are kept. doc_id is taken as the key of a document:
-    of rows that repeat one, each is returned, and they share a component (the least one that any of
-    them reaches; of differing texts one stands for all in comparisons). Rows with a null doc_id are
-    returned with null component and kept. An empty table gives an empty result. Further columns are ignored.
+    of rows that repeat one, each is returned, and all their texts are one document with the links of each.
+    Rows with a null doc_id are returned with null component and kept. An empty table gives an empty result.
+    Further columns are ignored.
     """
-    sig = stored(signatures(docs, percent), "signatures")
-    worded = sig.filter("digest is not null and doc_id is not null")
-    # the same set: one class, which its least doc_id stands for
-    classes = stored(worded.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    of = worded.select("doc_id", "digest").join(classes, "digest").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
-    of = stored(of, "representatives")
-    reps = worded.join(classes, (worded["digest"] == classes["digest"]) & (worded["doc_id"] == classes["rep"])).select("rep", "n_shingles", "bands", "sketch")
-    bands = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
-    bands = bands.withColumn("n", F.count("*").over(W.partitionBy("key"))).filter("n > 1")
-    bands = stored(bands.withColumn("p", F.ceil(F.col("n") / BLOCK)).select("key", "id", "p"), "bands")
-    members = bands.select("id").distinct()
-    sketches = reps.select(F.col("rep").alias("id"), "sketch", "n_shingles").join(members, "id", "left_semi").groupBy("id").agg(F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n_shingles"))
-    sketches = stored(sketches, "sketches")
-    # clusters: members joined up wherever a bucket and their sketches say that they may be linked
-    clusters = components(_blocked(bands.join(sketches, "id"), _alike(percent), ["sketch"])).withColumnRenamed("component", "key")
-    clusters = stored(clusters.join(sketches.select("id", "n_shingles"), "id"), "clusters")
-    parts = clusters.groupBy("key").agg(F.ceil(F.sum("n_shingles") / ELEMENTS).alias("p"))
-    sets = stored(_sets(docs, clusters).groupBy("id").agg(F.min("shingles").alias("shingles")), "sets")
-    links = _blocked(clusters.join(parts, "key").join(sets, "id").select("key", "id", "p", "shingles"), _similar(percent), ["shingles"])
-    # a doc_id with several texts joins their classes
-    twice = of.filter("rep <> other").select(F.col("rep").alias("u"), F.col("other").alias("v"))
-    found = components(links.unionByName(twice)).withColumnRenamed("id", "rep")
-    found = of.join(found, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    return sig.select("doc_id", "n_shingles").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), (F.coalesce("component", "doc_id") == F.col("doc_id")).alias("kept"))
+    sig, odd = _numbered(docs, percent)
+    graph, more = sig.filter("digest is not null and doc_id is not null"), None
+    if odd:
+        graph = stored(graph.dropDuplicates(["id"]), "vertices")
+        more = graph.filter(F.col("id") >= _OWN).select(F.col("id").alias("u"), F.col("doc_id").alias("v"))
+    found = _linked(docs, graph, percent, more)
+    found = sig.select("doc_id", "n_shingles", F.col("id").alias("_id"), F.col("digest").isNotNull().alias("_some")).join(found.withColumnRenamed("id", "_id"), "_id", "left")
+    if odd:  # wordless rows of a document with other texts
+        least_ = found.filter("_some").groupBy("doc_id").agg(F.min("component").alias("_least"))
+        found = found.join(least_, "doc_id", "left").withColumn("component", F.coalesce("component", "_least"))
+    component = F.coalesce("component", "doc_id")
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, one a doc_id, with all columns."""
-    found = near_duplicates(docs, percent).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    key = scratch(docs, "_kept_id")
-    return docs.join(found.withColumnRenamed("_id", key), F.col("doc_id") == F.col(key), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` that stand for their group, with all columns.
+
+    Of linked texts the one with the least doc_id stays; rows whose doc_id is null or also stands at another text
+    count after all others, by a hash of doc_id and text. Of rows with equal doc_id and text one stays, the first by its
+    other columns as JSON. Null and wordless texts are linked with nothing and stay. An empty table stays empty.
+    """
+    sig, odd = _numbered(docs, percent)
+    graph = sig.filter("digest is not null")
+    if odd:
+        graph = stored(graph.dropDuplicates(["id"]), "vertices")
+    gone = _linked(docs, graph, percent).filter("id <> component").select("id")
+    names = {c: scratch(docs, c) for c in ("_h", "_row", "_doc", "_text")}
+    if not odd:
+        # doc_id is a key: nothing else is needed to find the rows
+        gone = gone.withColumnRenamed("id", names["_doc"])
+        return docs.join(gone, docs["doc_id"] == gone[names["_doc"]], "left_anti")
+    gone = sig.join(gone, "id").select(F.col("doc_id").alias(names["_doc"]), F.col("h").alias(names["_text"])).distinct()
+    d = docs.withColumn(names["_h"], F.xxhash64("text"))
+    d = d.join(gone, [d["doc_id"].eqNullSafe(gone[names["_doc"]]), d[names["_h"]] == gone[names["_text"]]], "left_anti")
+    others = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*[F.col(c) for c in others])) if others else F.lit(0)
+    return d.withColumn(names["_row"], F.row_number().over(W.partitionBy("doc_id", names["_h"]).orderBy(order))).filter(F.col(names["_row"]) == 1).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -68,7 +68,38 @@ def test_near_duplicates_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (3, None)], "doc_id bigint, text string")
     got = sorted((str(r.doc_id), r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect())
     assert got == [("1", 1, True), ("1", 1, True), ("2", 1, False), ("3", 3, True), ("None", None, None)]
-    assert neardup.keep_one(docs).count() == 2 and neardup.near_duplicates(docs.limit(0)).count() == 0
+    assert neardup.near_duplicates(docs.limit(0)).count() == 0 and neardup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_one_doc_id_with_several_texts(spark):
+    one, two, three = "a b c d e f", "g h i j k l", "m n o p q r"
+    rows = [(7, one), (7, two), (7, ""), (8, one), (9, two), (10, three), (None, three), (None, two), (None, "s t u v w x"), (11, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs).collect()}
+    assert got == {(7, 7), (8, 7), (9, 7), (10, 10), (None, None), (11, 11)}
+    # unique doc_ids stand before those at several texts and before null ones; every text is left once
+    kept = sorted((str(r.doc_id), r.text) for r in neardup.keep_one(docs).collect())
+    assert kept == sorted([("8", one), ("9", two), ("10", three), ("7", ""), ("11", ""), ("None", "s t u v w x")])
+    wide = spark.createDataFrame([(1, one, "b", {"k": 1}), (1, one, "a", {"k": 2}), (2, two, "c", None)], "doc_id bigint, text string, source string, _h map<string,int>")
+    for d in (wide, wide.repartition(3)):
+        assert sorted((r.doc_id, r.source) for r in neardup.keep_one(d).collect()) == [(1, "a"), (2, "c")] and neardup.keep_one(d).columns == wide.columns
+
+
+def test_clusters_that_hold_together_only_by_sketches(spark, monkeypatch):
+    # chains: each text is a near copy of the next one only, and their bucket mates are often not linked
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "ELEMENTS", 400)
+    r, texts = random.Random(12), []
+    for _ in range(6):
+        words = [f"w{r.randrange(10**9)}" for _ in range(204)]
+        for _ in range(18):
+            texts.append(" ".join(words))
+            n = r.choice([10, 16, 17, 18, 24])  # 0.90, 0.85, 0.84, 0.83, 0.78 of the shingles stay shared
+            words = words[n:] + [f"w{r.randrange(10**9)}" for _ in range(n)]
+    r.shuffle(texts)
+    got = sorted(neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
+    component, size = brute_components(texts)
+    assert [x.component_id for x in got] == component and [x.n_shingles for x in got] == size and 6 < len(set(component)) < 100
 
 
 def test_stage_links_pairs_between_80_and_85_percent(spark):
