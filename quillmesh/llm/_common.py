@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import functools
+import operator
 import re
 import tempfile
 import uuid
@@ -96,17 +98,31 @@ def scratch(df: DataFrame, stem: str) -> str:
     return name
 
 
+#: Ranges of about equally many rows, and how many of their bounds are compared at once.
+COARSE, STEP = 256, 16
+
+
 def id_buckets(df: DataFrame, key: str) -> Column:
-    """Number of the equal-width id range that ``key`` falls in, about sqrt(rows) ranges.
+    """Number of the id range that ``key`` falls in, about sqrt(rows) ranges, ascending with the id.
 
-    Ranges ascend with the id. Both the rows of a range and the number of ranges grow with the
-    square root of the table for evenly spread ids, so neither ever has to fit one task.
+    COARSE ranges of about equally many rows each (by approximate percentiles, so ids may be spread in any way)
+    are cut into ranges of equal width. Both the rows of a range and the number of ranges grow with about the
+    square root of the table, so neither ever has to fit one task.
     """
-    n, low, high = df.agg(F.count(key), F.min(key), F.max(key)).first()
+    n, low, high, cuts = df.agg(F.count(key), F.min(key), F.max(key), F.percentile_approx(key, [i / COARSE for i in range(1, COARSE)])).first()
     if not n:
         return F.lit(0).cast("long")
-    width = max(1, -(-(high - low + 1) // max(1, round(n**0.5))))
-    return F.floor((F.col(key) - F.lit(low)) / F.lit(width)).cast("long")
+    fine = max(1, round(n**0.5 / COARSE))
+    start = [low, *sorted({x for x in cuts if x > low})]
+    width = [max(1.0, (b - a) / fine) for a, b in zip(start, [*start[1:], high + 1], strict=True)]
+    id_, longs = F.col(key).cast("long"), lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    rows = [start[i : i + STEP] for i in range(0, len(start), STEP)]
+    at_most = lambda xs: functools.reduce(operator.add, [(x <= id_).cast("int") for x in xs], F.lit(0))
+    row = at_most([F.lit(r[0]).cast("long") for r in rows]) - 1
+    in_row = F.get(F.array(*[longs(r + [(1 << 63) - 1] * (STEP - len(r))) for r in rows]), row)
+    coarse = row * STEP + at_most([F.get(in_row, F.lit(i)) for i in range(STEP)]) - 1
+    within = F.floor((id_.cast("double") - F.get(longs(start), coarse).cast("double")) / F.get(F.array(*map(F.lit, width)), coarse))
+    return coarse.cast("long") * fine + F.least(within, F.lit(fine - 1))
 
 
 def text_chunks(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:

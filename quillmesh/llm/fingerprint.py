@@ -1,15 +1,16 @@
 """Operator 7, document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is the set of its paragraphs: lines, and in a line over LONG_LINE characters its sentences; what is
-then still over RUN characters is cut where the hash of the WINDOW characters around says so. All cuts depend on
-what stands around them alone, so an edit elsewhere doesn't move them.
-A paragraph's key is its 64-bit hash, beside which its length stands. A sketch has groups
-of CELLS cells; a key goes to one group and there to three cells, each holding a count, the XOR of
-the keys, that of the lengths and that of their checks. Two versions' sketches subtract cell by cell: what both hold
-cancels, and peeling (take a cell with one key, remove that key from its other cells) recovers the
-keys of the differing paragraphs. If cells are left over, the sketch was too small and a larger one
-is tried: one group, then as many as the two texts' paragraphs need, then 4 and 16 times that; the
-sets themselves are compared in the vanishing case that all fail. DataFrame functions only.
+A text is the set of its paragraphs: its lines, cut after every sentence. A sentence over RUN characters is cut
+where the hash of the WINDOW characters before says so. All cuts depend on what stands around them alone, so an
+edit elsewhere doesn't move them. A paragraph's key holds its hash, its length and a check of both, in one long.
+
+A sketch has groups of cells; a key goes to one group and there to three cells, one of each third, and a cell holds
+the count and the XOR of its keys. Two versions' sketches subtract cell by cell: what both hold cancels, and
+peeling (take a cell with one key, remove that key from its other cells) recovers the keys of the differing
+paragraphs. One group is tried first, then as many as the two texts' paragraphs need; a group in which cells
+are left over was too small, and its keys alone are sketched again with WIDER cells; they are
+compared themselves in the vanishing case that this fails too. DataFrame functions only; lambdas work on arrays of
+longs, as Spark copies every struct that it hands to one.
 """
 
 from __future__ import annotations
@@ -20,18 +21,20 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm._common import id_buckets, scratch
 
-CELLS = 24
-ROUNDS = 8
-#: Paragraphs of both texts for each group of the second sketch.
+#: Cells of a third, and of a third at the further tries.
+WIDTH, WIDER = 8, (32, 128)
+ROUNDS = 10
+#: Paragraphs of both texts for each group.
 KEYS = 7
-LONG_LINE = 200
-#: After every sentence; scripts without spaces between sentences have none to take away.
-CUT = "(?<=[.!?\u0964\u061f\u2026]) |(?<=[\u3002\uff01\uff1f])"
-#: A longer run without sentence ends is cut at about every EVERY-th character, by the hash of WINDOW characters.
+#: Line ends, spaces after a sentence, and places after a sentence of scripts without spaces.
+CUT = "\n| (?<=[.!?।؟…] )|(?<=[。！？])"
+#: A longer sentence is cut at about every EVERY-th character, by the hash of WINDOW characters.
 RUN, WINDOW, EVERY = 1024, 8, 256
-#: The longest paragraph that a string holds: lengths are whole.
-LENGTH = (1 << 31) - 1
-_BITS = [1 << i for i in range(CELLS)]
+#: Bits of a key, from the lowest: length, hash, check. What is cut by content and still longer than a length can say is cut there.
+LENGTH, HASH, CHECK = 14, 39, 10
+MOST = (1 << LENGTH) - 1
+_LOW, _WHOLE = (1 << (LENGTH + HASH)) - 1, (1 << 63) - 1
+_SIGN = -(1 << 63)
 
 
 def _let(value: Column, body) -> Column:
@@ -39,109 +42,134 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _xor(keys: Column) -> Column:
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(k))
+
+
 def _runs(sentence: Column) -> Column:
     """The parts of a sentence: itself, or beyond RUN characters the runs between content-defined cuts."""
 
     def cut(c: Column) -> Column:
         here = lambda i: F.pmod(F.xxhash64(*[F.get(c, i - k) for k in range(1, WINDOW + 1)]), F.lit(EVERY)) == 0
-        places = F.filter(F.sequence(F.lit(WINDOW), F.size(c) - 1), here)
-        ends = F.concat(places, F.array(F.size(c)))
+        ends = F.concat(F.filter(F.sequence(F.lit(WINDOW), F.size(c) - 1), here), F.array(F.size(c)))
         return _let(F.concat(F.array(F.lit(0)), ends), lambda p: F.transform(ends, lambda e, i: F.array_join(F.slice(c, F.get(p, i) + 1, e - F.get(p, i)), "")))
 
-    return F.when(F.length(sentence) > RUN, _let(F.split(sentence, ""), cut)).otherwise(F.array(sentence))
+    parts = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / MOST).cast("int")), lambda i: F.substring(x, i * MOST + 1, F.lit(MOST)))
+    return F.when(F.length(sentence) > RUN, F.flatten(F.transform(_let(F.split(sentence, ""), cut), parts))).otherwise(F.array(sentence))
+
+
+def _checked(base: Column) -> Column:
+    return F.xxhash64(base).bitwiseAND((1 << CHECK) - 1)
 
 
 def paragraph_keys(text: Column) -> Column:
-    """Distinct (key, length) of the text's paragraphs."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.when(F.length(x) > LONG_LINE, F.flatten(F.transform(F.split(x, CUT), _runs))).otherwise(F.array(x)))
-    found = F.filter(F.flatten(lines), lambda x: F.trim(x) != "")
-    return F.array_distinct(F.transform(found, lambda x: F.struct(F.xxhash64(x).alias("key"), F.length(x).cast("long").alias("length"))))
+    """Distinct keys of the text's paragraphs."""
+    sentences = F.filter(F.split(text, CUT), lambda x: F.trim(x) != "")
+    found = _let(sentences, lambda s: F.when(F.exists(s, lambda x: F.length(x) > RUN), F.flatten(F.transform(s, _runs))).otherwise(s))
+    base = F.transform(found, lambda x: F.shiftleft(F.xxhash64(x).bitwiseAND((1 << HASH) - 1), LENGTH).bitwiseOR(F.length(x).cast("long")))
+    return F.array_distinct(F.transform(base, lambda b: F.shiftleft(_checked(b), LENGTH + HASH).bitwiseOR(b)))
+
 
+def _place(third: int, width: int):
+    """Cell of a key within a third: its own bits, or a hash with cells wider than WIDTH."""
+    if width == WIDTH:
+        return lambda k: F.shiftright(k, LENGTH + 3 * third).bitwiseAND(F.lit(WIDTH - 1).cast("long"))
+    return lambda k: F.pmod(F.xxhash64(k.bitwiseAND(_WHOLE), F.lit(third)), F.lit(width).cast("long"))
 
-def _check(key: Column, length: Column) -> Column:
-    return F.xxhash64(key, length, F.lit(1))
 
+def _dealt(keys: Column, width: int) -> Column:
+    """The keys of each cell."""
+    cells = F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")) if width > WIDTH else F.array(*[F.lit(i).cast("long") for i in range(width)])
 
-def _entry(key: Column, length: Column | None = None, n: Column | None = None) -> Column:
-    """(key, length, check, mask of cells) with the group's hash, or with the count of the cell it comes from."""
-    length = F.lit(0).cast("long") if length is None else length
-    h = F.xxhash64(key, F.lit(2))
-    third = lambda i: F.element_at(F.array(*[F.lit(1 << (8 * i + j)) for j in range(8)]), F.shiftright(h, 3 * i).bitwiseAND(F.lit(7)).cast("int") + 1)
-    mask = third(0).bitwiseOR(third(1)).bitwiseOR(third(2))
-    kept = [key.alias("key"), length.alias("length"), _check(key, length).alias("check"), mask.alias("mask")]
-    return F.struct(*kept, F.shiftrightunsigned(h, 16).alias("group")) if n is None else F.struct(*kept, n.alias("n"))
+    def of(third: int) -> Column:
+        place = _place(third, width)
+        return F.transform(cells, lambda c: F.filter(keys, lambda k: place(k) == c))
 
+    return F.concat(*map(of, range(3)))
 
-def _named(entry: Column) -> Column:
-    return F.struct(entry["key"].alias("key"), entry["length"].alias("length"))
 
+def _cells(keys: Column, width: int = WIDTH) -> Column:
+    """One group's cells: counts ``n`` and XORs ``x``."""
+    return _let(_dealt(keys, width), lambda d: F.struct(F.transform(d, lambda k: F.size(k).cast("long")).alias("n"), F.transform(d, _xor).alias("x")))
 
-def _cells(entries: Column) -> Column:
-    """One group's cells for the entries that fall in it."""
-    nothing = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("length"), F.lit(0).cast("long").alias("check"))
-    put = lambda s, e: F.struct((s["n"] + 1).alias("n"), s["key"].bitwiseXOR(e["key"]).alias("key"), s["length"].bitwiseXOR(e["length"]).alias("length"), s["check"].bitwiseXOR(e["check"]).alias("check"))
-    return F.transform(F.array(*map(F.lit, _BITS)), lambda bit: F.aggregate(entries, nothing, lambda s, e: F.when(e["mask"].bitwiseAND(bit) != 0, put(s, e)).otherwise(s)))
+
+def _groups(keys: Column, side: Column) -> Column:
+    """The keys of each of side * side groups, dealt in two steps."""
+    numbers = F.sequence(F.lit(0).cast("long"), side - 1)
+    digit = lambda k, at: F.pmod(F.shiftright(k, LENGTH + 9 + at).bitwiseAND((1 << 15) - 1), side)
+    inner = lambda some: F.transform(numbers, lambda j: F.filter(some, lambda k: digit(k, 15) == j))
+    several = F.flatten(F.transform(numbers, lambda i: _let(F.filter(keys, lambda k: digit(k, 0) == i), inner)))
+    return F.when(side == 1, F.array(keys)).otherwise(several)
 
 
 def _subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["length"].bitwiseXOR(y["length"]).alias("length"), x["check"].bitwiseXOR(y["check"]).alias("check")))
+    return F.struct(F.zip_with(a["n"], b["n"], lambda x, y: x - y).alias("n"), F.zip_with(a["x"], b["x"], lambda x, y: x.bitwiseXOR(y)).alias("x"))
+
+
+def _peel(cells: Column, width: int = WIDTH) -> Column:
+    """(found: keys of one group's difference, whole: nothing is left)."""
+
+    def pure(s: Column) -> Column:
+        one = lambda v, i: (F.abs(F.get(s["n"], i)) == 1) & (F.shiftright(v, LENGTH + HASH) == _checked(v.bitwiseAND(_LOW)))
+        signed = lambda v, i: F.when(F.get(s["n"], i) < 0, v.bitwiseOR(_SIGN)).otherwise(v)
+        return F.array_distinct(F.array_compact(F.transform(s["x"], lambda v, i: F.when(one(v, i), signed(v, i)))))
 
+    def remove(s: Column, keys: Column, dealt: Column) -> Column:
+        less = lambda n, k: F.when(F.size(k) > 0, n - F.size(k) + 2 * F.size(F.filter(k, lambda x: x < 0))).otherwise(n)
+        other = lambda x, k: F.when(F.size(k) > 0, x.bitwiseXOR(_xor(k)).bitwiseAND(_WHOLE)).otherwise(x)
+        return F.struct(F.zip_with(s["n"], dealt, less).alias("n"), F.zip_with(s["x"], dealt, other).alias("x"), F.concat(s["found"], keys).alias("found"), F.lit(True).alias("open"))
 
-def _peel(cells: Column) -> Column:
-    """(cells left, keys found) of one group's difference."""
-    bits = F.array(*map(F.lit, _BITS))
-    single = lambda cells: F.filter(cells, lambda c: (F.abs(c["n"]) == 1) & (_check(c["key"], c["length"]) == c["check"]))
+    def turn(s: Column, _: Column) -> Column:
+        stuck = F.struct(s["n"].alias("n"), s["x"].alias("x"), s["found"].alias("found"), F.lit(False).alias("open"))
+        go = lambda p: F.when(F.size(p) > 0, _let(_dealt(p, width), lambda d: remove(s, p, d))).otherwise(stuck)
+        return F.when(s["open"], _let(pure(s), go)).otherwise(s)
 
-    def remove(state: Column, pure: Column) -> Column:
-        take = lambda x, p: F.struct((x["n"] - p["n"]).alias("n"), x["key"].bitwiseXOR(p["key"]).alias("key"), x["length"].bitwiseXOR(p["length"]).alias("length"), x["check"].bitwiseXOR(p["check"]).alias("check"))
-        left = F.zip_with(state["cells"], bits, lambda cell, bit: F.aggregate(pure, cell, lambda x, p: F.when(p["mask"].bitwiseAND(bit) != 0, take(x, p)).otherwise(x)))
-        return F.struct(left.alias("cells"), F.concat(state["found"], F.transform(pure, _named)).alias("found"), (F.size(pure) > 0).alias("open"))
+    start = F.struct(cells["n"].alias("n"), cells["x"].alias("x"), F.array().cast("array<bigint>").alias("found"), F.lit(True).alias("open"))
+    zero = lambda v: F.forall(v, lambda x: x == 0)
+    keys = lambda s: F.transform(s["found"], lambda k: k.bitwiseAND(_WHOLE))
+    done = lambda s: F.struct(keys(s).alias("found"), (zero(s["x"]) & zero(s["n"])).alias("whole"))
+    return F.aggregate(F.array(*map(F.lit, range(ROUNDS))), start, turn, done)
 
-    def round_(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(single(state["cells"]), lambda c: _entry(c["key"], c["length"], c["n"])))
-        stuck = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("open"))
-        return F.when(state["open"], _let(pure, lambda p: F.when(F.size(p) > 0, remove(state, p)).otherwise(stuck))).otherwise(state)
 
-    start = F.struct(cells.alias("cells"), F.array().cast("array<struct<key:bigint,length:bigint>>").alias("found"), F.lit(True).alias("open"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_)
+def _again(a: Column, b: Column, widths: tuple[int, ...] = WIDER) -> Column:
+    """The differing keys of a group that was too small for them, from wider cells."""
+    if not widths:
+        return F.array_union(F.array_except(a, b), F.array_except(b, a))
+    found = _peel(_subtract(_cells(a, widths[0]), _cells(b, widths[0])), widths[0])
+    return _let(found, lambda r: F.when(r["whole"], r["found"]).otherwise(_again(a, b, widths[1:])))
 
 
-def _sketch(entries: Column, groups: Column) -> Column:
-    of = lambda g: F.filter(entries, lambda e: F.pmod(e["group"], groups) == g)
-    return F.transform(F.sequence(F.lit(0).cast("long"), groups - 1), lambda g: _let(of(g), _cells))
+def differing_keys(a: Column, b: Column, keys_a: Column, keys_b: Column) -> Column:
+    """The keys that one of two sketches (arrays of groups' cells) has alone; ``keys_a`` and ``keys_b`` are the groups' keys."""
 
+    def group(cells: Column, i: Column) -> Column:
+        retry = lambda: _again(F.get(keys_a, i), F.get(keys_b, i))
+        return _let(_peel(_subtract(cells, F.get(b, i))), lambda r: F.when(r["whole"], r["found"]).otherwise(retry()))
 
-def differing_keys(a: Column, b: Column) -> Column:
-    """(key, length) that one of two sketches of equally many groups has alone; null if peeling fails."""
-    peeled = F.zip_with(a, b, lambda x, y: _peel(_subtract(x, y)))
-    empty = lambda s: ~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["length"] != 0) | (c["check"] != 0))
-    return _let(peeled, lambda p: F.when(F.forall(p, empty), F.flatten(F.transform(p, lambda s: s["found"]))))
+    return F.flatten(F.transform(a, group))
 
 
 def _weight(keys: Column) -> Column:
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda s, k: s + k["length"])
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda s, k: s + k.bitwiseAND(F.lit(MOST).cast("long")))
 
 
 def likeness(a: str, b: str) -> Column:
     """1 - length of the differing paragraphs / length of all; two empty sets are alike (1).
 
-    ``a`` and ``b`` name entry columns, with their sketches of one group in ``_1<name>``, of enough
-    groups for all paragraphs in ``_n<name>`` and that number in ``_groups``. Repeated paragraphs of
-    a text count once.
+    ``a`` and ``b`` name key columns, with their sketches of one group in ``_1<name>``, their keys in enough groups
+    for all paragraphs in ``_g<name>`` and these groups' sketches in ``_n<name>``. Repeated paragraphs of a text count once.
     """
-    x, y = F.col(a), F.col(b)
-    keys = lambda x: F.transform(x, _named)
-    larger = lambda times: differing_keys(_sketch(x, F.col("_groups") * times), _sketch(y, F.col("_groups") * times))
-    exact = F.array_union(F.array_except(keys(x), keys(y)), F.array_except(keys(y), keys(x)))
-    first = differing_keys(F.array(F.col(f"_1{a}")), F.array(F.col(f"_1{b}")))
-    found = F.coalesce(first, differing_keys(F.col(f"_n{a}"), F.col(f"_n{b}")), larger(4), larger(16), exact)
-    whole = _weight(keys(x)) + _weight(keys(y))
+    first = _peel(_subtract(F.col(f"_1{a}"), F.col(f"_1{b}")))
+    rest = differing_keys(F.col(f"_n{a}"), F.col(f"_n{b}"), F.col(f"_g{a}"), F.col(f"_g{b}"))
+    found = _let(first, lambda r: F.when(r["whole"], r["found"]).otherwise(rest))
+    whole = _weight(F.col(a)) + _weight(F.col(b))
     return F.when(whole == 0, F.lit(1.0)).otherwise(1 - _weight(found) / whole)
 
 
 def printed(name: str) -> Column:
-    """The fingerprint as text: number of paragraphs, their length, the cells of the first sketch."""
-    cells = F.transform(F.col(f"_1{name}"), lambda c: F.concat_ws(".", F.hex(c["n"].cast("long")), F.hex(c["key"]), F.hex(c["length"]), F.hex(c["check"])))
+    """The fingerprint as text: number of paragraphs, their length, the cells of the sketch of one group."""
+    s = F.col(f"_1{name}")
+    cells = F.zip_with(s["n"], s["x"], lambda n, x: F.concat_ws(".", F.hex(n), F.hex(x)))
     return F.concat_ws("|", F.size(name).cast("string"), _weight(F.col(name)).cast("string"), F.array_join(cells, ","))
 
 
@@ -176,11 +204,13 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("text_next", F.lit(1), cut)))
     names = {"_text": "text", "_edited": "edited", "_next": "text_next"}
-    d = d.withColumns({k: F.transform(paragraph_keys(F.col(v)), lambda k: _entry(k["key"], k["length"])) for k, v in names.items()})
-    d = d.withColumn("_groups", F.ceil((F.size("_text") + F.greatest(F.size("_edited"), F.size("_next"), F.lit(1))) / F.lit(KEYS)).cast("long"))
-    d = d.withColumns({f"_1{k}": _cells(F.col(k)) for k in names} | {f"_n{k}": _sketch(F.col(k), F.col("_groups")) for k in names})
+    d = d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[paragraph_keys(F.col(v)).alias(k) for k, v in names.items()])
+    most = F.size("_text") + F.greatest(F.size("_edited"), F.size("_next"))
+    d = d.withColumn("_side", F.greatest(F.ceil(F.sqrt(most / F.lit(KEYS))), F.lit(1)).cast("long"))
+    d = d.withColumns({f"_g{k}": _groups(F.col(k), F.col("_side")) for k in names})
+    d = d.withColumns({f"_1{k}": _cells(F.col(k)) for k in names} | {f"_n{k}": F.transform(f"_g{k}", lambda keys: _cells(keys)) for k in names})
     return d.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), printed("_text").alias("fingerprint"), printed("_edited").alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", printed("_text").alias("fingerprint"), printed("_edited").alias("edited_fingerprint"),
         likeness("_text", "_edited").alias("near_edited"), likeness("_text", "_next").alias("near_next"),
     )
 

@@ -184,10 +184,10 @@ def keys_of(text):
     import re
 
     out = {}
-    for line in (text or "").split("\n"):
-        for part in re.split(fingerprint.CUT, line) if len(line) > fingerprint.LONG_LINE else [line]:
+    for part in re.split(fingerprint.CUT, text or ""):
+        for x in [part[i : i + fingerprint.MOST] for i in range(0, len(part), fingerprint.MOST)]:
             if part.strip(" "):
-                out[part] = min(len(part), fingerprint.LENGTH)
+                out[x] = len(x)
     return out
 
 
@@ -202,6 +202,7 @@ def test_fingerprints(spark):
     by_id = {3 * i - 20: t or "" for i, t in enumerate(texts)}
     import hashlib
 
+    assert {x.count("|") for x in (got[i].fingerprint for i in order)} == {2}
     for at, i in enumerate(order):
         t, nxt = by_id[i], by_id[order[(at + 1) % len(order)]]
         m = len(t) // 3
@@ -236,13 +237,38 @@ def test_an_edit_in_a_long_line_leaves_its_other_parts(spark):
 
 
 def test_peeling_recovers_keys_and_fails_openly(spark):
-    d = spark.range(1).select(*[F.transform(F.sequence(F.lit(a), F.lit(b)), lambda x: fingerprint._entry(F.xxhash64(x))).alias(n) for n, a, b in (("a", 1, 200), ("b", 6, 203))])
-    one, many = F.lit(1).cast("long"), F.lit(60).cast("long")
-    find = lambda x, y, g: fingerprint.differing_keys(fingerprint._sketch(F.col(x), g), fingerprint._sketch(F.col(y), g))
-    row = d.select(F.size(find("a", "b", one)).alias("few"), F.size(find("a", "b", many)).alias("same")).first()
-    assert row.few == 8 and row.same == 8
-    empty = d.withColumn("e", F.slice("a", 1, 0))
-    assert empty.select(fingerprint.differing_keys(fingerprint._sketch(F.col("a"), one), fingerprint._sketch(F.col("e"), one)).alias("x")).first().x is None
+    strings = lambda a, b: F.transform(F.sequence(F.lit(a), F.lit(b)), lambda x: F.concat(F.lit("paragraph "), x.cast("string"), F.lit(".")))
+    keys = lambda a, b: fingerprint.paragraph_keys(F.array_join(strings(a, b), "\n"))
+    d = spark.range(1).select(keys(1, 200).alias("a"), keys(6, 203).alias("b"), F.lit(6).cast("long").alias("side"))
+    d = d.select("*", *[fingerprint._cells(F.col(x)).alias(f"one_{x}") for x in "ab"], *[fingerprint._groups(F.col(x), F.col("side")).alias(f"g_{x}") for x in "ab"])
+    d = d.select("*", *[F.transform(f"g_{x}", lambda k: fingerprint._cells(k)).alias(f"n_{x}") for x in "ab"])
+    first = fingerprint._peel(fingerprint._subtract(F.col("one_a"), F.col("one_b")))
+    wanted = F.array_sort(F.array_union(F.array_except("a", "b"), F.array_except("b", "a")))
+    some = fingerprint.differing_keys(F.col("n_a"), F.col("n_b"), F.col("g_a"), F.col("g_b"))
+    nothing = F.transform("g_a", lambda x: F.slice(x, 1, 0))
+    every = fingerprint.differing_keys(F.col("n_a"), F.transform(nothing, lambda k: fingerprint._cells(k)), F.col("g_a"), nothing)
+    over = fingerprint._peel(F.col("one_a"))
+    wide = fingerprint._again(F.col("a"), F.slice("b", 1, 0))
+    r = d.select(first.alias("first"), wanted.alias("wanted"), F.array_sort(some).alias("some"), F.array_sort(every).alias("every"), F.array_sort("a").alias("all"), over["whole"].alias("over"), F.array_sort(wide).alias("wide")).first()
+    assert r["first"].whole and sorted(r["first"].found) == r.wanted == r.some and len(r.wanted) == 8
+    assert r.every == r.all == r.wide and len(r.all) == 200 and not r.over
+
+
+def test_id_ranges_follow_any_spread(spark):
+    from quillmesh.llm._common import id_buckets
+
+    r = random.Random(5)
+    ids = [r.randrange(1000) for _ in range(3000)] + [10**15 + 7 * i for i in range(3000)] + [-(1 << 62), (1 << 63) - 1]
+    d = spark.createDataFrame([(i,) for i in ids], "doc_id bigint")
+    got = sorted((x.doc_id, x.b) for x in d.select("doc_id", id_buckets(d, "doc_id").alias("b")).collect())
+    assert all(a[1] <= b[1] for a, b in zip(got, got[1:], strict=False))
+    sizes = {}
+    for _, b in got:
+        sizes[b] = sizes.get(b, 0) + 1
+    assert max(sizes.values()) <= 150 and len(sizes) > 100
+    for few in ([5], [5, 5, 5], [None], []):
+        d = spark.createDataFrame([(i,) for i in few], "doc_id bigint")
+        assert d.select(id_buckets(d, "doc_id")).distinct().count() <= 1
 
 
 LANGS = {"xx": ["ka", "lo", "mi", "ta"], "yy": ["zu", "wre", "gn", "fe"], "zz": ["öl", "üm", "ße", "än"]}
