@@ -102,8 +102,8 @@ def scratch(df: DataFrame, stem: str) -> str:
 COARSE, STEP = 256, 16
 
 
-def id_buckets(df: DataFrame, key: str) -> Column:
-    """Number of the id range that ``key`` falls in, about sqrt(rows) ranges, ascending with the id.
+def id_ranges(df: DataFrame, key: str) -> tuple[Column, int]:
+    """Number of the id range that ``key`` falls in, ascending with the id, and how many ranges there are, about sqrt(rows).
 
     COARSE ranges of about equally many rows each (by approximate percentiles, so ids may be spread in any way)
     are cut into ranges of equal width. Both the rows of a range and the number of ranges grow with about the
@@ -111,7 +111,7 @@ def id_buckets(df: DataFrame, key: str) -> Column:
     """
     n, low, high, cuts = df.agg(F.count(key), F.min(key), F.max(key), F.percentile_approx(key, [i / COARSE for i in range(1, COARSE)])).first()
     if not n:
-        return F.lit(0).cast("long")
+        return F.lit(0).cast("long"), 1
     fine = max(1, round(n**0.5 / COARSE))
     start = [low, *sorted({x for x in cuts if x > low})]
     width = [max(1.0, (b - a) / fine) for a, b in zip(start, [*start[1:], high + 1], strict=True)]
@@ -122,7 +122,7 @@ def id_buckets(df: DataFrame, key: str) -> Column:
     in_row = F.get(F.array(*[longs(r + [(1 << 63) - 1] * (STEP - len(r))) for r in rows]), row)
     coarse = row * STEP + at_most([F.get(in_row, F.lit(i)) for i in range(STEP)]) - 1
     within = F.floor((id_.cast("double") - F.get(longs(start), coarse).cast("double")) / F.get(F.array(*map(F.lit, width)), coarse))
-    return coarse.cast("long") * fine + F.least(within, F.lit(fine - 1))
+    return coarse.cast("long") * fine + F.least(within, F.lit(fine - 1)), len(start) * fine
 
 
 def text_chunks(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:

@@ -4,37 +4,42 @@ A text is the set of its paragraphs: its lines, cut after every sentence. A sent
 where the hash of the WINDOW characters before says so. All cuts depend on what stands around them alone, so an
 edit elsewhere doesn't move them. A paragraph's key holds its hash, its length and a check of both, in one long.
 
-A sketch has groups of cells; a key goes to one group and there to three cells, one of each third, and a cell holds
-the count and the XOR of its keys. Two versions' sketches subtract cell by cell: what both hold cancels, and
-peeling (take a cell with one key, remove that key from its other cells) recovers the keys of the differing
-paragraphs. One group is tried first, then as many as the two texts' paragraphs need; a group in which cells
-are left over was too small, and its keys alone are sketched again with WIDER cells; they are
-compared themselves in the vanishing case that this fails too. DataFrame functions only; lambdas work on arrays of
-longs, as Spark copies every struct that it hands to one.
+A sketch has groups of PLACES x WIDTH cells; a key goes to one group and there to one cell of each place, and a cell
+holds the count and the XOR of its keys. A sketch is a sum over its keys, so two versions' sketches subtract cell by cell
+in the aggregation that builds them: the other version's keys count -1, and what both hold cancels. Peeling (take
+a cell with one key, remove that key from its other cells) recovers the keys of the differing paragraphs, place
+after place. Where cells are left over, the sketch was too small: these documents are sketched again with more groups
+and another seed. After TRIES their keys themselves are compared. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmesh.llm._common import id_buckets, scratch
+from quillmesh.llm._common import id_ranges, stored
 
-#: Cells of a third, and of a third at the further tries.
-WIDTH, WIDER = 8, (32, 128)
-ROUNDS = 10
-#: Paragraphs of both texts for each group.
-KEYS = 7
-#: Line ends, spaces after a sentence, and places after a sentence of scripts without spaces.
-CUT = "\n| (?<=[.!?।؟…] )|(?<=[。！？])"
+PLACES, WIDTH = 6, 4
+#: Paragraphs of both texts for each group; every further try has LARGER times as many groups.
+KEYS, LARGER, TRIES = 2, 4, 4
+#: Line ends and spaces after a sentence; and with sentence ends of other scripts, some of which have no spaces.
+CUT = "\n| (?<=[.!?] )"
+CUT_ALL, OTHER = "\n| (?<=[.!?।؟…] )|(?<=[。！？])", "[।؟…。！？]"
 #: A longer sentence is cut at about every EVERY-th character, by the hash of WINDOW characters.
 RUN, WINDOW, EVERY = 1024, 8, 256
 #: Bits of a key, from the lowest: length, hash, check. What is cut by content and still longer than a length can say is cut there.
-LENGTH, HASH, CHECK = 14, 39, 10
+LENGTH, HASH, CHECK = 14, 37, 12
 MOST = (1 << LENGTH) - 1
-_LOW, _WHOLE = (1 << (LENGTH + HASH)) - 1, (1 << 63) - 1
-_SIGN = -(1 << 63)
+_LOW = (1 << (LENGTH + HASH)) - 1
+_BITS = WIDTH.bit_length() - 1
+
+
+def _long(x: int) -> Column:
+    return F.lit(x).cast("long")
 
 
 def _let(value: Column, body) -> Column:
@@ -42,10 +47,6 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _xor(keys: Column) -> Column:
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(k))
-
-
 def _runs(sentence: Column) -> Column:
     """The parts of a sentence: itself, or beyond RUN characters the runs between content-defined cuts."""
 
@@ -58,137 +59,178 @@ def _runs(sentence: Column) -> Column:
     return F.when(F.length(sentence) > RUN, F.flatten(F.transform(_let(F.split(sentence, ""), cut), parts))).otherwise(F.array(sentence))
 
 
-def _checked(base: Column) -> Column:
-    return F.xxhash64(base).bitwiseAND((1 << CHECK) - 1)
-
-
-def paragraph_keys(text: Column) -> Column:
-    """Distinct keys of the text's paragraphs."""
-    sentences = F.filter(F.split(text, CUT), lambda x: F.trim(x) != "")
-    found = _let(sentences, lambda s: F.when(F.exists(s, lambda x: F.length(x) > RUN), F.flatten(F.transform(s, _runs))).otherwise(s))
-    base = F.transform(found, lambda x: F.shiftleft(F.xxhash64(x).bitwiseAND((1 << HASH) - 1), LENGTH).bitwiseOR(F.length(x).cast("long")))
-    return F.array_distinct(F.transform(base, lambda b: F.shiftleft(_checked(b), LENGTH + HASH).bitwiseOR(b)))
-
-
-def _place(third: int, width: int):
-    """Cell of a key within a third: its own bits, or a hash with cells wider than WIDTH."""
-    if width == WIDTH:
-        return lambda k: F.shiftright(k, LENGTH + 3 * third).bitwiseAND(F.lit(WIDTH - 1).cast("long"))
-    return lambda k: F.pmod(F.xxhash64(k.bitwiseAND(_WHOLE), F.lit(third)), F.lit(width).cast("long"))
-
-
-def _dealt(keys: Column, width: int) -> Column:
-    """The keys of each cell."""
-    cells = F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long")) if width > WIDTH else F.array(*[F.lit(i).cast("long") for i in range(width)])
-
-    def of(third: int) -> Column:
-        place = _place(third, width)
-        return F.transform(cells, lambda c: F.filter(keys, lambda k: place(k) == c))
-
-    return F.concat(*map(of, range(3)))
-
+def paragraphs(text: Column) -> Column:
+    """Distinct paragraphs of the text, blank ones among them."""
+    some = F.when(text.rlike(OTHER), F.split(text, CUT_ALL)).otherwise(F.split(text, CUT))
+    return F.array_distinct(_let(some, lambda s: F.when(F.exists(s, lambda x: F.length(x) > RUN), F.flatten(F.transform(s, _runs))).otherwise(s)))
 
-def _cells(keys: Column, width: int = WIDTH) -> Column:
-    """One group's cells: counts ``n`` and XORs ``x``."""
-    return _let(_dealt(keys, width), lambda d: F.struct(F.transform(d, lambda k: F.size(k).cast("long")).alias("n"), F.transform(d, _xor).alias("x")))
 
-
-def _groups(keys: Column, side: Column) -> Column:
-    """The keys of each of side * side groups, dealt in two steps."""
-    numbers = F.sequence(F.lit(0).cast("long"), side - 1)
-    digit = lambda k, at: F.pmod(F.shiftright(k, LENGTH + 9 + at).bitwiseAND((1 << 15) - 1), side)
-    inner = lambda some: F.transform(numbers, lambda j: F.filter(some, lambda k: digit(k, 15) == j))
-    several = F.flatten(F.transform(numbers, lambda i: _let(F.filter(keys, lambda k: digit(k, 0) == i), inner)))
-    return F.when(side == 1, F.array(keys)).otherwise(several)
-
-
-def _subtract(a: Column, b: Column) -> Column:
-    return F.struct(F.zip_with(a["n"], b["n"], lambda x, y: x - y).alias("n"), F.zip_with(a["x"], b["x"], lambda x, y: x.bitwiseXOR(y)).alias("x"))
+def _checked(base: Column) -> Column:
+    return F.xxhash64(base).bitwiseAND((1 << CHECK) - 1)
 
 
-def _peel(cells: Column, width: int = WIDTH) -> Column:
-    """(found: keys of one group's difference, whole: nothing is left)."""
+def with_keys(rows: DataFrame, paragraph: str, name: str = "key") -> DataFrame:
+    """``rows`` with the column ``paragraph`` replaced by its key; blank ones and null have none."""
+    base = F.shiftleft(F.xxhash64(paragraph).bitwiseAND((1 << HASH) - 1), LENGTH).bitwiseOR(F.length(paragraph).cast("long"))
+    rows = rows.withColumn("_base", F.when(F.trim(paragraph) != "", base)).drop(paragraph)
+    return rows.withColumn(name, F.shiftleft(_checked(F.col("_base")), LENGTH + HASH).bitwiseOR(F.col("_base"))).drop("_base")
 
-    def pure(s: Column) -> Column:
-        one = lambda v, i: (F.abs(F.get(s["n"], i)) == 1) & (F.shiftright(v, LENGTH + HASH) == _checked(v.bitwiseAND(_LOW)))
-        signed = lambda v, i: F.when(F.get(s["n"], i) < 0, v.bitwiseOR(_SIGN)).otherwise(v)
-        return F.array_distinct(F.array_compact(F.transform(s["x"], lambda v, i: F.when(one(v, i), signed(v, i)))))
 
-    def remove(s: Column, keys: Column, dealt: Column) -> Column:
-        less = lambda n, k: F.when(F.size(k) > 0, n - F.size(k) + 2 * F.size(F.filter(k, lambda x: x < 0))).otherwise(n)
-        other = lambda x, k: F.when(F.size(k) > 0, x.bitwiseXOR(_xor(k)).bitwiseAND(_WHOLE)).otherwise(x)
-        return F.struct(F.zip_with(s["n"], dealt, less).alias("n"), F.zip_with(s["x"], dealt, other).alias("x"), F.concat(s["found"], keys).alias("found"), F.lit(True).alias("open"))
+def _length(key: Column) -> Column:
+    return key.bitwiseAND(_long(MOST))
 
-    def turn(s: Column, _: Column) -> Column:
-        stuck = F.struct(s["n"].alias("n"), s["x"].alias("x"), s["found"].alias("found"), F.lit(False).alias("open"))
-        go = lambda p: F.when(F.size(p) > 0, _let(_dealt(p, width), lambda d: remove(s, p, d))).otherwise(stuck)
-        return F.when(s["open"], _let(pure(s), go)).otherwise(s)
 
-    start = F.struct(cells["n"].alias("n"), cells["x"].alias("x"), F.array().cast("array<bigint>").alias("found"), F.lit(True).alias("open"))
-    zero = lambda v: F.forall(v, lambda x: x == 0)
-    keys = lambda s: F.transform(s["found"], lambda k: k.bitwiseAND(_WHOLE))
-    done = lambda s: F.struct(keys(s).alias("found"), (zero(s["x"]) & zero(s["n"])).alias("whole"))
-    return F.aggregate(F.array(*map(F.lit, range(ROUNDS))), start, turn, done)
+def _seeded(key: Column | str, turn: int) -> Column:
+    """What places and group of a key are taken from."""
+    return F.xxhash64(key, F.lit(turn))
 
 
-def _again(a: Column, b: Column, widths: tuple[int, ...] = WIDER) -> Column:
-    """The differing keys of a group that was too small for them, from wider cells."""
-    if not widths:
-        return F.array_union(F.array_except(a, b), F.array_except(b, a))
-    found = _peel(_subtract(_cells(a, widths[0]), _cells(b, widths[0])), widths[0])
-    return _let(found, lambda r: F.when(r["whole"], r["found"]).otherwise(_again(a, b, widths[1:])))
+def _place(hashed: Column | str, place: int) -> Column:
+    return F.shiftright(hashed, _BITS * place).bitwiseAND(_long(WIDTH - 1))
 
 
-def differing_keys(a: Column, b: Column, keys_a: Column, keys_b: Column) -> Column:
-    """The keys that one of two sketches (arrays of groups' cells) has alone; ``keys_a`` and ``keys_b`` are the groups' keys."""
+def sketches(rows: DataFrame, by: list[str], texts: tuple[str, ...], pairs: tuple[tuple[int, int], ...], shown: tuple[int, ...], turn: int) -> DataFrame:
+    """A row for each group of each pair's difference, with its cells ``n<place>_<cell>`` and ``x<place>_<cell>``.
 
-    def group(cells: Column, i: Column) -> Column:
-        retry = lambda: _again(F.get(keys_a, i), F.get(keys_b, i))
-        return _let(_peel(_subtract(cells, F.get(b, i))), lambda r: F.when(r["whole"], r["found"]).otherwise(retry()))
+    ``rows`` has the columns ``by``, which name a row, and the texts. kind: the pair (places in ``texts``); from the number of
+    pairs on, the sketches of one group of the texts ``shown``. len: length of the two texts' paragraphs in the group.
+    """
+    d = rows.select(*by, *[paragraphs(F.col(c)).alias(f"_p{i}") for i, c in enumerate(texts)])
+    most = functools.reduce(F.greatest, [F.size(f"_p{a}") + F.size(f"_p{b}") for a, b in pairs])
+    d = d.withColumn("_groups", F.greatest(F.ceil(most * F.lit(LARGER**turn / KEYS)), F.lit(1)).cast("long"))
+    kinds: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for k, (a, b) in enumerate(pairs):
+        kinds[a].append((k, 1))
+        kinds[b].append((k, -1))
+    for k, a in enumerate(shown):
+        kinds[a].append((len(pairs) + k, 1))
+    of = lambda own: F.array(*[F.struct(F.lit(k).alias("kind"), _long(sign).alias("sign")) for k, sign in own])
+    d = d.select(*by, "_groups", F.explode(F.array(*[F.struct(of(own).alias("kinds"), F.col(f"_p{i}").alias("p")) for i, own in enumerate(kinds)])).alias("_t"))
+    e = with_keys(d.select(*by, "_groups", "_t.kinds", F.explode_outer("_t.p").alias("p")), "p")
+    hashed = lambda turn: F.when(F.col("key").isNotNull(), _seeded("key", turn))
+    e = e.withColumns({"_h": hashed(turn), "_first": hashed(0)}).select(*by, "_groups", "key", "_h", "_first", F.inline("kinds"))
+    # a shown sketch is the same at every try
+    e = e.select(*by, "key", "sign", "kind", "_groups", F.when(F.col("kind") < len(pairs), F.col("_h")).otherwise(F.col("_first")).alias("_h"))
+    group = F.when(F.col("kind") < len(pairs), F.coalesce(F.pmod(F.shiftright("_h", _BITS * PLACES), "_groups"), _long(0))).otherwise(_long(0))
+    e = e.select(*by, "key", "sign", "kind", group.alias("group"), *[_place("_h", u).alias(f"_u{u}") for u in range(PLACES)])
+    held = lambda u, c, x: F.when(F.col(f"_u{u}") == c, x).otherwise(_long(0))
+    cells = [(u, c) for u in range(PLACES) for c in range(WIDTH)]
+    counts = [F.sum(held(u, c, F.col("sign"))).alias(f"n{u}_{c}") for u, c in cells]
+    xors = [F.bit_xor(held(u, c, F.col("key"))).alias(f"x{u}_{c}") for u, c in cells]
+    return e.groupBy(*by, "kind", "group").agg(*counts, *xors, F.coalesce(F.sum(_length(F.col("key"))), _long(0)).alias("len"))
+
+
+def _split(x: Column) -> Column:
+    """``x``, in a form that Spark doesn't take into whole-stage code.
+
+    A peeling step is longer than a method may be for the JVM to compile it; outside of whole-stage code
+    Spark cuts it into many methods, which are compiled.
+    """
+    return F.aggregate(F.array(x), _long(0), lambda s, v: s + v)
 
-    return F.flatten(F.transform(a, group))
 
+def peeled(cells: DataFrame, by: list[str], pairs: int, turn: int, keys: bool = False) -> DataFrame:
+    """(by, kind, group, len, shown, found, whole) of ``sketches``: the length of the keys recovered, and whether nothing is left.
 
-def _weight(keys: Column) -> Column:
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda s, k: s + k.bitwiseAND(F.lit(MOST).cast("long")))
+    shown: the cells as text, of kinds from ``pairs`` on, which aren't peeled. With ``keys``, also ``keys``: those recovered.
+    """
+    each, other = range(WIDTH), _long(0)
+    text = F.concat_ws(",", *[F.concat_ws(".", F.hex(f"n{u}_{c}"), F.hex(f"x{u}_{c}")) for u in range(PLACES) for c in each])
+    paragraphs_ = functools.reduce(operator.add, [F.col(f"n0_{c}") for c in each])
+    shown = F.when(F.col("kind") >= pairs, F.concat_ws("|", paragraphs_.cast("string"), F.col("len").cast("string"), text))
+    a = cells.withColumns({"shown": shown, "found": other} | ({"keys": F.array().cast("array<bigint>")} if keys else {}))
+    kept = [*by, "kind", "group", "len", "shown"]
+    for u in range(PLACES):
+        n, x = ([F.col(f"{m}{u}_{c}") for c in each] for m in "nx")
+        later = [f"{m}{v}_{c}" for v in range(u + 1, PLACES) for c in each for m in "nx"]
+        pure = [(F.col("kind") < pairs) & (F.abs(n[c]) == 1) & (F.shiftright(x[c], LENGTH + HASH) == _checked(x[c].bitwiseAND(_LOW))) for c in each]
+        nothing = [(n[c] == 0) & (x[c] == 0) for c in each]
+        last = [functools.reduce(operator.and_, [pure[c] | nothing[c] for c in each]).alias("whole")] if u == PLACES - 1 else []
+        more = ["keys"] if keys else []
+        one = [F.when(pure[c], v[c]).otherwise(other).alias(f"_{m}{c}") for m, v in (("k", x), ("s", n)) for c in each]
+        a = a.select(*kept, _split(F.col("found")).alias("found"), *more, *later, *one, *last)
+        if later:
+            a = a.select(*kept, "found", *more, *later, *[f"_{m}{c}" for m in "ks" for c in each], *[_seeded(f"_k{c}", turn).alias(f"_h{c}") for c in each])
+        out = []
+        for v in range(u + 1, PLACES):
+            for j in each:
+                hits = [(F.col(f"_s{c}") != 0) & (_place(f"_h{c}", v) == j) for c in each]
+                out.append(functools.reduce(operator.sub, [F.when(hits[c], F.col(f"_s{c}")).otherwise(other) for c in each], F.col(f"n{v}_{j}")).alias(f"n{v}_{j}"))
+                out.append(functools.reduce(Column.bitwiseXOR, [F.when(hits[c], F.col(f"_k{c}")).otherwise(other) for c in each], F.col(f"x{v}_{j}")).alias(f"x{v}_{j}"))
+        found = functools.reduce(operator.add, [_length(F.col(f"_k{c}")) for c in each], F.col("found"))
+        if keys:
+            more = [F.concat("keys", F.array_remove(F.array(*[f"_k{c}" for c in each]), 0)).alias("keys")]
+        a = a.select(*kept, _split(found).alias("found"), *more, *out, *(["whole"] if last else []))
+    return a
+
+
+def likenesses(rows: DataFrame, by: list[str], texts: tuple[str, ...], pairs: tuple[tuple[int, int], ...], shown: tuple[int, ...], turn: int) -> DataFrame:
+    """(by, shown0, ..., near0, ..., whole) of each row: its texts' fingerprints, its pairs' likenesses, and whether peeling ended.
+
+    Likeness: 1 - length of the differing paragraphs / length of all; two empty sets are alike (1). Repeated paragraphs
+    of a text count once. A fingerprint: number of paragraphs, their length, the cells of the sketch of one group.
+    """
+    n = len(pairs)
+    a = peeled(sketches(rows, by, texts, pairs, shown, turn), by, n, turn)
+    of = lambda k, x: F.sum(F.when(F.col("kind") == k, F.col(x)).otherwise(_long(0)))
+    prints = [F.max(F.when(F.col("kind") == n + k, F.col("shown"))).alias(f"shown{k}") for k in range(len(shown))]
+    whole = F.min(F.when(F.col("kind") < n, F.col("whole"))).alias("whole")
+    a = a.groupBy(*by).agg(*prints, *[of(k, x).alias(f"_{x}{k}") for k in range(n) for x in ("found", "len")], whole)
+    near = [F.when(F.col(f"_len{k}") == 0, F.lit(1.0)).otherwise(1 - F.col(f"_found{k}") / F.col(f"_len{k}")).alias(f"near{k}") for k in range(n)]
+    return a.select(*by, *[f"shown{k}" for k in range(len(shown))], *near, "whole")
+
+
+def _compared(rows: DataFrame, by: list[str], a: str, b: str, name: str) -> DataFrame:
+    """The likeness of two texts by their keys themselves."""
+    k = lambda c, side: with_keys(rows.select(*by, F.explode_outer(paragraphs(F.col(c))).alias("p")), "p").withColumn("side", F.lit(side))
+    every = k(a, 1).unionByName(k(b, 2)).groupBy(*by, "key").agg(F.bit_or("side").alias("side"))
+    length = F.coalesce(_length(F.col("key")), _long(0))
+    sums = every.groupBy(*by).agg(F.sum(F.when(F.col("side") == 3, length * 2).otherwise(length)).alias("_len"), F.sum(F.when(F.col("side") == 3, _long(0)).otherwise(length)).alias("_found"))
+    return sums.select(*by, F.when(F.col("_len") == 0, F.lit(1.0)).otherwise(1 - F.col("_found") / F.col("_len")).alias(name))
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """(_bucket, _row, doc_id, text, h, next_id, next_h, next): each row of (doc_id, text, h) with the next by descending doc_id, after the last the first.
+
+    Rows are dealt to id ranges; each range also gets the first row of the range that follows it, so that no window
+    spans the table. (_bucket, _row) names a row.
+    """
+    bucket, ranges = id_ranges(docs, "doc_id")
+    d = docs.withColumn("_bucket", F.coalesce(bucket, F.lit(-1)))
+    firsts = d.groupBy("_bucket").agg(F.max("doc_id").alias("_first"))
+    line = W.orderBy("_bucket")
+    # one row a range: about the square root of the table
+    firsts = firsts.select("_first", F.coalesce(F.lead("_bucket").over(line), F.min("_bucket").over(W.partitionBy())).alias("_to"))
+    heads = d.join(F.broadcast(firsts), F.col("doc_id") == F.col("_first")).withColumn("_bucket", F.col("_to")).select(*d.columns)
+    both = d.withColumn("_ghost", F.lit(False)).unionByName(heads.withColumn("_ghost", F.lit(True)))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ranges // 4)
+    order = W.partitionBy("_bucket").orderBy("_ghost", F.col("doc_id").desc(), "text")
+    follows = {new: F.lead(old).over(order) for new, old in (("next_id", "doc_id"), ("next_h", "h"), ("next", "text"))}
+    return both.repartition(tasks, "_bucket").withColumns({"_row": F.row_number().over(order), **follows}).filter(~F.col("_ghost")).drop("_ghost")
 
 
-def likeness(a: str, b: str) -> Column:
-    """1 - length of the differing paragraphs / length of all; two empty sets are alike (1).
+BY = ["_bucket", "_row", "doc_id", "h", "next_id", "next_h", "n_chars", "edited_sha256"]
+TEXTS, PAIRS, SHOWN = ("text", "edited", "next"), ((0, 1), (0, 2)), (0, 1)
 
-    ``a`` and ``b`` name key columns, with their sketches of one group in ``_1<name>``, their keys in enough groups
-    for all paragraphs in ``_g<name>`` and these groups' sketches in ``_n<name>``. Repeated paragraphs of a text count once.
-    """
-    first = _peel(_subtract(F.col(f"_1{a}"), F.col(f"_1{b}")))
-    rest = differing_keys(F.col(f"_n{a}"), F.col(f"_n{b}"), F.col(f"_g{a}"), F.col(f"_g{b}"))
-    found = _let(first, lambda r: F.when(r["whole"], r["found"]).otherwise(rest))
-    whole = _weight(F.col(a)) + _weight(F.col(b))
-    return F.when(whole == 0, F.lit(1.0)).otherwise(1 - _weight(found) / whole)
 
+def edited(rows: DataFrame) -> DataFrame:
+    """``rows`` of (text, next) with ``edited``: the last floor(n_chars / 3) code points replaced by the first as many of the next."""
+    rows = rows.withColumn("next", F.coalesce("next", F.lit(""))).withColumn("n_chars", F.length("text").cast("long"))
+    cut = F.floor(F.col("n_chars") / 3).cast("int")
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("next", F.lit(1), cut)))
+    return rows.withColumn("edited_sha256", F.sha2("edited", 256))
 
-def printed(name: str) -> Column:
-    """The fingerprint as text: number of paragraphs, their length, the cells of the sketch of one group."""
-    s = F.col(f"_1{name}")
-    cells = F.zip_with(s["n"], s["x"], lambda n, x: F.concat_ws(".", F.hex(n), F.hex(x)))
-    return F.concat_ws("|", F.size(name).cast("string"), _weight(F.col(name)).cast("string"), F.array_join(cells, ","))
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows ``wanted`` (_bucket, _row, doc_id, h, next_id, next_h) with their texts."""
+    name = ["_bucket", "_row"]
 
-def with_next(docs: DataFrame, text: str) -> DataFrame:
-    """Adds ``<text>_next``: that of the next row by descending doc_id, after the last the first.
+    def found(id_: str, h: str, text: str) -> DataFrame:
+        d = docs.select(F.col("doc_id").alias("_d"), F.col("h").alias("_x"), F.col("text").alias(text))
+        return wanted.join(d, [F.col(id_).eqNullSafe(F.col("_d")), F.col(h) == F.col("_x")]).drop("_d", "_x").dropDuplicates(name)
 
-    Rows are dealt to id ranges; each range also gets the first row of the range that follows it,
-    so that no window spans the table.
-    """
-    bucket, ghost, first, to = (scratch(docs, x) for x in ("_bucket", "_ghost", "_first", "_to"))
-    d = docs.withColumn(bucket, F.coalesce(id_buckets(docs, "doc_id"), F.lit(-1)))
-    firsts = d.groupBy(bucket).agg(F.max("doc_id").alias(first))
-    line = W.orderBy(bucket)
-    # one row a range: about the square root of the table
-    firsts = firsts.select(first, F.coalesce(F.lead(bucket).over(line), F.min(bucket).over(W.partitionBy())).alias(to))
-    heads = d.join(F.broadcast(firsts), F.col("doc_id") == F.col(first)).withColumn(bucket, F.col(to)).select(*d.columns)
-    both = d.withColumn(ghost, F.lit(False)).unionByName(heads.withColumn(ghost, F.lit(True)))
-    order = W.partitionBy(bucket).orderBy(ghost, F.col("doc_id").desc(), text)
-    return both.withColumn(f"{text}_next", F.lead(text).over(order)).filter(~F.col(ghost)).drop(bucket, ghost)
+    after = found("next_id", "next_h", "next").select(*name, "next")
+    return found("doc_id", "h", "text").join(after, name, "left")
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -199,20 +241,22 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     equal fingerprints. Repeated doc_ids stand by text; a row with a null doc_id stands last and has
     an empty next text. An empty table gives an empty result; further columns are ignored.
     """
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = with_next(d, "text").withColumn("text_next", F.coalesce("text_next", F.lit(""))).withColumn("n_chars", F.length("text").cast("long"))
-    cut = F.floor(F.col("n_chars") / 3).cast("int")
-    d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substring("text_next", F.lit(1), cut)))
-    names = {"_text": "text", "_edited": "edited", "_next": "text_next"}
-    d = d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[paragraph_keys(F.col(v)).alias(k) for k, v in names.items()])
-    most = F.size("_text") + F.greatest(F.size("_edited"), F.size("_next"))
-    d = d.withColumn("_side", F.greatest(F.ceil(F.sqrt(most / F.lit(KEYS))), F.lit(1)).cast("long"))
-    d = d.withColumns({f"_g{k}": _groups(F.col(k), F.col("_side")) for k in names})
-    d = d.withColumns({f"_1{k}": _cells(F.col(k)) for k in names} | {f"_n{k}": F.transform(f"_g{k}", lambda keys: _cells(keys)) for k in names})
-    return d.select(
-        "doc_id", "n_chars", "edited_sha256", printed("_text").alias("fingerprint"), printed("_edited").alias("edited_fingerprint"),
-        likeness("_text", "_edited").alias("near_edited"), likeness("_text", "_next").alias("near_next"),
-    )
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    done, rows = [], edited(with_next(d))
+    for turn in range(TRIES):
+        tried = stored(likenesses(rows, BY, TEXTS, PAIRS, SHOWN, turn), "fingerprints")
+        done.append(tried.filter("whole"))
+        open_ = tried.filter("not whole").select(*BY[:6])
+        if not open_.limit(1).count():
+            break
+        rows = edited(_texts(d, open_))
+    else:
+        left, rows = tried.filter("not whole").drop("near0", "near1"), stored(rows, "texts")
+        for k, (a, b) in enumerate(PAIRS):
+            left = left.join(_compared(rows, BY[:2], TEXTS[a], TEXTS[b], f"near{k}"), BY[:2])
+        done.append(left.select(*done[0].columns))
+    found = functools.reduce(DataFrame.unionByName, done)
+    return found.select("doc_id", "n_chars", "edited_sha256", F.col("shown0").alias("fingerprint"), F.col("shown1").alias("edited_fingerprint"), F.col("near0").alias("near_edited"), F.col("near1").alias("near_next"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
