@@ -31,9 +31,10 @@ SCOPE = 200
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,64})""", re.ASCII | re.IGNORECASE)
+IDENTIFIER = re.compile(r"""\b(?:user(?:name)?|login|client_?id|account_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})""", re.ASCII | re.IGNORECASE)
 RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"[a-z][a-z0-9+]{1,20}://[A-Za-z0-9.-]+(?::[0-9]{1,5})?", re.ASCII)
+SCHEME = re.compile(r"[a-z0-9+]")
+HOST = re.compile(r"[A-Za-z0-9.-]+(?::[0-9]{1,5})?", re.ASCII)
 GAP = re.compile(r"\n[ \t]*\n")
 _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _ID_WORDS = (b"user", b"login", b"client", b"account", b"access")
@@ -59,6 +60,22 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def endpoints(text: str) -> Iterator[Span]:
+    """Schemes of two characters or more, beginning with a letter, with a host and perhaps a port; found from their ``://``."""
+    at, done = text.find("://"), 0
+    while at >= 0:
+        start = at
+        while start > done and SCHEME.match(text, start - 1):
+            start -= 1
+        while start < at and not "a" <= text[start] <= "z":
+            start += 1
+        m = HOST.match(text, at + 3) if at - start >= 2 else None
+        done = m.end() if m else at + 3
+        if m:
+            yield start, m.end(), "endpoint"
+        at = text.find("://", done)
+
+
 def _random(token: str) -> bool:
     kinds = sum(any(f(c) for c in token) for f in (str.islower, str.isupper, str.isdigit))
     n = len(token)
@@ -93,7 +110,7 @@ def scan_text(text: str, scope: int = SCOPE) -> tuple[list[Span], list[tuple[Spa
     if any(w in low for w in _ID_WORDS):
         ids += [(m.start(1), m.end(1), "identifier") for m in IDENTIFIER.finditer(text) if not inside(m.start(1), m.end(1))]
     links: list[tuple[Span | None, Span, Span | None]] = []
-    ends = [(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)] if "://" in text else []
+    ends = list(endpoints(text))
     if ids or ends:
         ids.sort()
         taken = taken or bytearray(len(text))
