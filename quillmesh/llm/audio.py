@@ -180,60 +180,77 @@ def to_media(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, n_bytes bigint, media binary")
 
 
+def tensors_ipc(found: dict) -> bytes:
+    """A clip's ``features`` as an Arrow IPC stream of (tensor: fixed_shape_tensor, start_ms, end_ms)."""
+    table = pa.table({"tensor": tensor_array(found["tensors"]), "start_ms": [s for s, _ in found["spans"]], "end_ms": [e for _, e in found["spans"]]})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(stream: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(tiles x TILE x MELS values, their time spans) of a stream that ``tensors_ipc`` wrote."""
+    table = pa.ipc.open_stream(stream).read_all()
+    tensor = table.column("tensor").combine_chunks()
+    values = tensor.storage.flatten().to_numpy().reshape(-1, *tensor.type.shape)
+    return values, list(zip(table.column("start_ms").to_pylist(), table.column("end_ms").to_pylist(), strict=True))
+
+
+_SPAN = pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())])
+
+
 def with_features(clips: DataFrame) -> DataFrame:
-    """``clips`` without ``media`` and with its features, a row per clip.
+    """``clips`` without ``media`` and with its features, a row per clip (clashing columns are replaced).
 
-    tensors: array of (values: TILE x MELS int16 hundredths of a decibel, start_ms, end_ms), the last
-    one filled up with the floor; n_frames; segments: array of (start_ms, end_ms). Null media: null features.
+    tensors: an Arrow IPC stream of fixed-shape tensors (TILE x MELS int16 hundredths of a decibel) with start_ms and
+    end_ms, the last one filled up with the floor; n_frames; segments: array of (start_ms, end_ms). Null media: null
+    features. Repeated rows get equal features; an empty table stays empty.
     """
     added = ("tensors", "n_frames", "segments")
     media = scratch(clips, "_media")
     clips_ = clips.drop(*[c for c in clips.columns if c.lower() in added]).withColumn(media, F.col("media")).drop("media")
     names = [*[c for c in clips_.columns if c != media], *added]
-    span = [("start_ms", pa.int64()), ("end_ms", pa.int64())]
-    tensor = pa.struct([("values", pa.list_(pa.int16())), *span])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
                 found = [None if x is None else features(x) for x in part.column(media).to_pylist()]
-                tensors = [None if f is None else [{"values": v, "start_ms": s, "end_ms": e} for v, (s, e) in zip(f["tensors"].tolist(), f["spans"], strict=True)] for f in found]
-                cuts = [None if f is None else [{"start_ms": s, "end_ms": e} for s, e in f["segments"]] for f in found]
+                each = lambda f: [None if x is None else f(x) for x in found]  # noqa: B023, E731
+                cuts = each(lambda x: [{"start_ms": s, "end_ms": e} for s, e in x["segments"]])
                 kept = [part.column(i) for i, f in enumerate(part.schema) if f.name != media]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(tensors, pa.list_(tensor)), pa.array([None if f is None else f["frames"] for f in found], pa.int64()), pa.array(cuts, pa.list_(pa.struct(span)))], names)
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(each(tensors_ipc), pa.binary()), pa.array(each(lambda x: x["frames"]), pa.int64()), pa.array(cuts, pa.list_(_SPAN))], names)
 
-    schema = extended(clips_.drop(media), "tensors array<struct<values:array<smallint>,start_ms:bigint,end_ms:bigint>>, n_frames bigint, segments array<struct<start_ms:bigint,end_ms:bigint>>")
+    schema = extended(clips_.drop(media), "tensors binary, n_frames bigint, segments array<struct<start_ms:bigint,end_ms:bigint>>")
     return map_arrow(clips_, run, schema)
 
 
-def tensors_ipc(media: bytes) -> bytes:
-    """One clip's tensors as an Arrow IPC stream of (tensor: fixed_shape_tensor, start_ms, end_ms)."""
-    f = features(media)
-    table = pa.table({"tensor": tensor_array(f["tensors"]), "start_ms": [s for s, _ in f["spans"]], "end_ms": [e for _, e in f["spans"]]})
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
 def query(spark, sf_dir: str) -> DataFrame:
+    """Digests of each clip as it is read back, and of its features as these are read back."""
     clips = stored(to_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
+    named = clips.select(F.col("doc_id"), F.col("n_bytes"), F.col("media"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.col("media").alias("payload"))
+
+    def payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64())]
+        for b in batches:
+            read = [read_wav(x.as_py())[1] for x in b.column("payload")]
+            values = ([len(x) for x in read], [hashlib.sha256(x).hexdigest() for x in read], [zlib.crc32(x[-16:]) for x in read])
+            kept = [c for c in b.schema.names if c != "payload"]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *[pa.array(v, k) for v, (_, k) in zip(values, kinds, strict=True)]], [*kept, *[k for k, _ in kinds]])
+
+    digested = map_arrow(named, payload, extended(named.drop("payload"), "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint"))
+    tensors = stored(with_features(digested), "tensors")
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def feature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-            for media in b.column("media"):
-                media = media.as_py()
-                _, payload = read_wav(media)
-                f = features(media)
-                rows["payload_bytes"].append(len(payload))
-                rows["payload_sha256"].append(hashlib.sha256(payload).hexdigest())
-                rows["tail_crc32"].append(zlib.crc32(payload[-16:]))
-                rows["media_bytes"].append(len(media))
-                rows["media_sha256"].append(hashlib.sha256(media).hexdigest())
-                rows["feature"].append(f"{len(f['tensors'])}x{TILE}x{MELS}|{f['frames']}|{hashlib.md5(f['tensors'].tobytes()).hexdigest()}|{','.join(f'{s}-{e}' for s, e in f['segments'])}")
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *[pa.array(v, pa.int64() if isinstance(v[0] if v else 0, int) else pa.string()) for v in rows.values()]], ["doc_id", "n_bytes", *rows])
-
-    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return map_arrow(clips, digest, schema)
+            out = []
+            for stream, frames, cuts in zip(b.column("tensors"), b.column("n_frames").to_pylist(), b.column("segments").to_pylist(), strict=True):
+                values, spans = read_tensors(stream.as_py())
+                out.append(f"{'x'.join(map(str, values.shape))}|{frames}|{spans[-1][1]}|{hashlib.md5(values.tobytes()).hexdigest()}|{','.join(f'{x["start_ms"]}-{x["end_ms"]}' for x in cuts)}")
+            kept = b.schema.names[:-3]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(out, pa.string())], [*kept, "feature"])
+
+    tensors = tensors.select(*[c for c in tensors.columns if c not in ("tensors", "n_frames", "segments")], "tensors", "n_frames", "segments")
+    schema = extended(tensors.drop("tensors", "n_frames", "segments"), "feature string")
+    return map_arrow(tensors, feature, schema).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
