@@ -1,16 +1,20 @@
 """Operator 3, token-ID output: patched frame-of-reference blocks.
 
-A shard image holds the ids of consecutive documents, little-endian throughout:
+A shard file holds the ids of consecutive documents, little-endian throughout:
 
-    "PFOR1" + 3 zero bytes | n_docs u64 | n_ids u64 | n_blocks u64
+    "PFOR2" + 3 zero bytes | part u32 | number in the part u32
+    n_docs u64 | n_null u64 | n_ids u64 | n_blocks u64
+    doc_ids        n_docs x i64   the first n_null of them are null (0 here)
     doc ends       n_docs x u64   ids up to the end of each document
     block starts   n_blocks x u64 offset of each block in the body: the index
-    body           the blocks
+    body           the blocks, then a line end
 
 and a block of up to BLOCK ids: minimum u32, number of ids u16, exceptions u16, width u8, then the
 low ``width`` bits of each id less the minimum, packed, then the exceptions' places (u16 each)
 and their high bits (u32 each). The width is the least that PERCENT of the block's ids fit into.
 Any block decodes alone, so a reader can start at the block that holds a wanted id.
+
+Files are written and read by Spark, so they lie in any store that it reaches: a file is a row's bytes.
 """
 
 from __future__ import annotations
@@ -26,13 +30,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmesh.llm import bytebpe
-from quillmesh.llm._common import map_arrow, shared_dir, stored, strings
+from quillmesh.llm._common import map_arrow, new_path, stored, strings
 
-MAGIC = b"PFOR1\0\0\0"
+MAGIC = b"PFOR2\0\0\0"
 BLOCK = 4096
 PERCENT = 95
 #: Ids that close a shard; a longer document has a shard of its own.
-SHARD = 1 << 19
+SHARD = 1 << 21
 END = 2
 
 
@@ -72,43 +76,54 @@ def decode_block(data: memoryview) -> np.ndarray:
     return ids + np.uint32(low)
 
 
-def encode_shard(docs: list[np.ndarray]) -> bytes:
-    """Image of the documents' ids (uint32 arrays; empty ones allowed)."""
-    ids = np.concatenate(docs).astype(np.uint32) if docs else np.zeros(0, np.uint32)
-    blocks = [encode_block(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
+def encode_shard(docs: list[np.ndarray], ids: list[int | None] | None = None, part: int = 0, number: int = 0) -> bytes:
+    """Image of the documents' token ids (uint32 arrays; empty ones allowed); ``ids``: doc_ids, null ones first (none given: 0, 1, ...)."""
+    flat = np.concatenate(docs).astype(np.uint32) if docs else np.zeros(0, np.uint32)
+    blocks = [encode_block(flat[i : i + BLOCK]) for i in range(0, len(flat), BLOCK)]
+    ids = list(range(len(docs))) if ids is None else ids
+    null = sum(x is None for x in ids)
     ends = np.cumsum([len(x) for x in docs], dtype=np.int64).astype("<u8")
     starts = np.cumsum([0, *map(len, blocks)][: len(blocks)], dtype=np.int64).astype("<u8")
-    return MAGIC + struct.pack("<QQQ", len(docs), len(ids), len(blocks)) + ends.tobytes() + starts.tobytes() + b"".join(blocks)
-
-
-def _head(image: bytes) -> tuple[np.ndarray, np.ndarray, int, int]:
-    if image[:8] != MAGIC:
-        raise ValueError("not a PFOR1 image")
-    n_docs, n_ids, n_blocks = struct.unpack_from("<QQQ", image, 8)
-    ends, starts = np.frombuffer(image, "<u8", n_docs, 32), np.frombuffer(image, "<u8", n_blocks, 32 + 8 * n_docs)
-    return ends, starts, n_ids, 32 + 8 * (n_docs + n_blocks)
-
-
-def decode_shard(image: bytes) -> list[np.ndarray]:
-    ends, starts, _, body = _head(image)
-    view = memoryview(image)
-    ids = np.concatenate([decode_block(view[body + int(x) :]) for x in starts]) if len(starts) else np.zeros(0, np.uint32)
-    return np.split(ids, ends[:-1].astype(np.int64)) if len(ends) else []
-
-
-def ids_between(image: bytes, first: int, last: int) -> np.ndarray:
-    """Ids first .. last - 1 of the shard, decoding only the blocks that hold them."""
-    _, starts, n_ids, body = _head(image)
-    last = min(last, n_ids)
-    if first >= last:
-        return np.zeros(0, np.uint32)
-    view, low = memoryview(image), first // BLOCK
-    ids = np.concatenate([decode_block(view[body + int(x) :]) for x in starts[low : (last - 1) // BLOCK + 1]])
-    return ids[first - low * BLOCK : last - low * BLOCK]
+    head = MAGIC + struct.pack("<IIQQQQ", part, number, len(docs), null, len(flat), len(blocks))
+    return head + np.array([x or 0 for x in ids], "<i8").tobytes() + ends.tobytes() + starts.tobytes() + b"".join(blocks) + b"\n"
+
+
+class Shard:
+    """A shard file's image; ids are read through the block index, and the last block read is held."""
+
+    def __init__(self, image: bytes):
+        if image[:8] != MAGIC:
+            raise ValueError("not a PFOR2 file")
+        self.part, self.number, n, self.null, self.n_ids, n_blocks = struct.unpack_from("<IIQQQQ", image, 8)
+        self.doc_ids, self.ends = np.frombuffer(image, "<i8", n, 48), np.frombuffer(image, "<u8", n, 48 + 8 * n).astype(np.int64)
+        self.starts = np.frombuffer(image, "<u8", n_blocks, 48 + 16 * n).astype(np.int64)
+        self.body = memoryview(image)[48 + 16 * n + 8 * n_blocks :]
+        self.held: tuple[int, np.ndarray] = (-1, np.zeros(0, np.uint32))
+
+    def block(self, i: int) -> np.ndarray:
+        if self.held[0] != i:
+            self.held = i, decode_block(self.body[self.starts[i] :])
+        return self.held[1]
+
+    def between(self, first: int, last: int) -> np.ndarray:
+        """Ids first .. last - 1 of the shard, decoding only the blocks that hold them."""
+        last = min(last, self.n_ids)
+        if first >= last:
+            return np.zeros(0, np.uint32)
+        low = first // BLOCK
+        parts = [self.block(i) for i in range(low, (last - 1) // BLOCK + 1)]
+        return (parts[0] if len(parts) == 1 else np.concatenate(parts))[first - low * BLOCK : last - low * BLOCK]
+
+    def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
+        """(doc_id, ids) of each document."""
+        at = 0
+        for i, (key, end) in enumerate(zip(self.doc_ids.tolist(), self.ends.tolist(), strict=True)):
+            yield None if i < self.null else key, self.between(at, end)
+            at = end
 
 
 def shards(docs: DataFrame, path: str, encoder=bytebpe.encode, end: int = END, partitions: int | None = None) -> DataFrame:
-    """Rows (shard, first_doc, doc_ids, n_ids, image) over ``docs`` in ascending (doc_id, text).
+    """Rows (image) of shard files over ``docs`` in ascending (doc_id, text).
 
     Null text is the empty text: its ids are the end id alone. A null doc_id comes first. Rows
     are dealt by id range, so shard numbers ascend with doc_id; a shard never mixes two ranges.
@@ -116,16 +131,15 @@ def shards(docs: DataFrame, path: str, encoder=bytebpe.encode, end: int = END, p
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("doc_id"), F.col("text")]
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = d.repartitionByRange(n, "doc_id").sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    d = d.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         ids: list[int | None] = []
-        size = seq = 0
-        part = 0
+        size = number = part = 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "doc_ids": [ids], "n_ids": [size], "image": [encode_shard(held)]}, schema=SCHEMA)
+            return pa.RecordBatch.from_arrays([pa.array([encode_shard(held, ids, part, number)], pa.binary())], ["image"])
 
         for b in batches:
             if b.num_rows:
@@ -138,45 +152,57 @@ def shards(docs: DataFrame, path: str, encoder=bytebpe.encode, end: int = END, p
                     size += len(held[-1])
                     if size >= SHARD:
                         yield flush()
-                        held, ids, size, seq = [], [], 0, seq + 1
+                        held, ids, size, number = [], [], 0, number + 1
         if held:
             yield flush()
 
-    return map_arrow(d, run, "part int, seq int, doc_ids array<bigint>, n_ids bigint, image binary")
+    return map_arrow(d, run, "image binary")
+
 
+def write(docs: DataFrame, path: str, tokenizer: str) -> None:
+    """Write the shards of ``docs`` as files in the folder ``path`` (any store that Spark writes), one a file.
 
-SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("image", pa.binary())])
+    Spark's text writer puts out a row's bytes as they are, and a line end, which the format has as its last byte.
+    """
+    images = shards(docs, tokenizer).select(F.expr("substring(image, 1, octet_length(image) - 1)").cast("string").alias("value"))
+    images.write.mode("overwrite").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
-def read_documents(written: DataFrame) -> DataFrame:
-    """Per document of a shard table: doc_id, start (ids before it), n_tokens, ids_crc32."""
-    line = W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)
-    # one row a shard, of half a million ids each
-    base = written.select("part", "seq", F.coalesce(F.sum("n_ids").over(line), F.lit(0)).alias("base"))
+def read(spark, path: str) -> DataFrame:
+    """The shard files of a folder, a row each: (image)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.filter("length > 0").select(F.col("content").alias("image"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in range(b.num_rows):
-                x = {k: b.column(k)[row].as_py() for k in ("part", "seq", "doc_ids", "image")}
-                each = decode_shard(x["image"])
-                size = np.fromiter(map(len, each), np.int64, len(each))
-                crc = [zlib.crc32(np.ascontiguousarray(i, "<u4")) for i in each]
-                place = [pa.array([x[k]] * len(each), pa.int32()) for k in ("part", "seq")]
-                yield pa.RecordBatch.from_arrays([*place, pa.array(x["doc_ids"], pa.int64()), pa.array(np.cumsum(size) - size), pa.array(size), pa.array(crc, pa.int64())], ["part", "seq", "doc_id", "local", "n_tokens", "ids_crc32"])
 
-    # the images stay where they are read: only the documents' few numbers meet the shards' starts
-    found = map_arrow(written.select("part", "seq", "doc_ids", "image"), run, "part int, seq int, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint")
-    return found.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+def read_documents(files: DataFrame) -> DataFrame:
+    """Per document of ``read``'s shards: doc_id, start (ids before it), n_tokens, ids_crc32.
 
+    The ids before a document are those of the parts before its own, of the shards before its own in the part, and of
+    the documents before it in the shard.
+    """
 
-def write(docs: DataFrame, path: str, tokenizer: str) -> None:
-    """Write the shard images of ``docs`` as a table at ``path`` (any store that Spark writes)."""
-    shards(docs, tokenizer).write.mode("overwrite").option("compression", "none").parquet(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["part", "number", "doc_id", "local", "n_tokens", "ids_crc32"]
+        for b in batches:
+            for image in b.column("image"):
+                x = Shard(image.as_py())
+                found = [(key, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4"))) for key, ids in x.documents()]
+                key, size, crc = zip(*found, strict=True) if found else ((), (), ())
+                place = [pa.array([v] * len(key), pa.int32()) for v in (x.part, x.number)]
+                yield pa.RecordBatch.from_arrays([*place, pa.array(key, pa.int64()), pa.array(x.ends - np.array(size, np.int64)), pa.array(size, pa.int64()), pa.array(crc, pa.int64())], names)
+
+    found = stored(map_arrow(files, run, "part int, number int, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint"), "tokens")
+    each = found.groupBy("part", "number").agg(F.sum("n_tokens").alias("n"))
+    before = lambda line: F.coalesce(F.sum("n").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # one row a part
+    parts = each.groupBy("part").agg(F.sum("n").alias("n")).select("part", before(W.orderBy("part")).alias("_part"))
+    base = each.select("part", "number", before(W.partitionBy("part").orderBy("number")).alias("_shard")).join(parts, "part")
+    return found.join(base, ["part", "number"]).select("doc_id", (F.col("_part") + F.col("_shard") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    shared_dir(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return read_documents(stored(shards(docs, public_tokenizers.path("byte_bpe_50k.json")), "pfor", "none"))
+    path = new_path(spark, "pfor")
+    write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_documents(read(spark, path))
