@@ -1,10 +1,11 @@
 """Operator 6, chat formatting: reply trees to conversations.
 
 A tree is a table of messages that name their parent. Root-to-leaf paths are enumerated by self-joins that
-double their reach: jump k leads from a message to its 2**k-th ancestor (jump k+1 is jump k joined with
-itself), and the members of a leaf's path are reached by joining with every jump once, the longest first, so
-a chain of n turns takes 2 log2(n) joins. Joins are on (tree, message), so one large tree spreads over
-all tasks. Branches are ranked by the sum of their messages' scores, and the chosen ones are formatted.
+double their reach: jump k leads from a message to its 2**k-th ancestor, with the sum of the scores on the way (jump k+1 is
+jump k joined with itself). Following every jump once, the longest first, brings each leaf to its root and adds up its
+branch's score, so branches are ranked without their messages; the chosen ones' messages are then
+reached by the same jumps. A chain of n turns takes about 3 log2(n) joins. Joins are on (tree, message), so one large tree
+spreads over all tasks.
 
 Template: ``<|im_start|>role\\n text <|im_end|>\\n``. Inside texts and roles every ``<``, run of ``\\``, ``|``
 gets one more backslash in the run, so no control string is left there and undoing it is exact.
@@ -17,7 +18,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -63,28 +64,73 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return [(_unrole(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, node, distance) of every message on every root-to-leaf path; distance counts from the leaf.
+#: Stands for the null tree.
+_NO_TREE = -(1 << 62)
 
-    ``nodes`` has (tree, node, parent), ``node`` unique in its tree; a message whose parent is null or absent is a
-    root. Messages on a cycle have no root and are in no path. Null trees are a tree of their own.
+
+def _jumps(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(leaves with a root, jumps) of (tree, node, parent, score), null trees replaced.
+
+    Jump k has (tree, node, to, score): the 2**k-th ancestor, and the scores from the node up to before it. While some rooted
+    message has so many ancestors, others have none any more, so every jump has fewer rows than the one before; once
+    it hasn't, all that are left are messages on a cycle or under one, which never come to a root.
     """
-    spark = nodes.sparkSession
-    n = nodes.select(F.coalesce("tree", F.lit(-(1 << 62))).alias("tree"), "node", "parent")
-    here = n.select("tree", F.col("node").alias("parent"))
-    jump = stored(n.join(here, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("to")), "jump")
-    leaves = n.join(jump.select("tree", F.col("to").alias("node")).distinct(), ["tree", "node"], "left_anti")
-    jumps = []
-    while jump.limit(1).count() and len(jumps) < 40:  # 2**40 turns: only cycles get there
+    here = nodes.select("tree", F.col("node").alias("parent"))
+    jump = stored(nodes.join(here, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("to"), "score"), "jump")
+    leaves = nodes.join(jump.select("tree", F.col("to").alias("node")).distinct(), ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "score")
+    jumps: list[DataFrame] = []
+    size, before = jump.count(), -1
+    while size and size != before:
         jumps.append(jump)
-        jump = stored(jump.join(jump.select("tree", F.col("node").alias("to"), F.col("to").alias("_to")), ["tree", "to"]).select("tree", "node", F.col("_to").alias("to")), "jump")
-    members = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance"))
+        step = jump.select("tree", F.col("node").alias("to"), F.col("to").alias("_to"), F.col("score").alias("_score"))
+        jump = stored(jump.join(step, ["tree", "to"]).select("tree", "node", F.col("_to").alias("to"), (F.col("score") + F.col("_score")).alias("score")), "jump")
+        size, before = jump.count(), size
+    if size:  # the last jump kept all that have no root
+        jumps.pop()
+        leaves = leaves.join(jump.select("tree", F.col("node").alias("leaf")), ["tree", "leaf"], "left_anti")
+    return leaves, jumps
+
+
+def _members(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, node, distance) of every message on the paths of ``leaves`` (tree, leaf); distance counts from the leaf."""
+    members = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("distance"))
     for k in range(len(jumps) - 1, -1, -1):
         further = members.join(jumps[k], ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("distance") + (1 << k)).alias("distance"))
         members = members.unionByName(further)
         if k % 2 == 0:
             members = stored(members, "members")
-    return members.withColumn("tree", F.when(F.col("tree") != -(1 << 62), F.col("tree")))
+    return members
+
+
+def _nodes(messages: DataFrame) -> DataFrame:
+    score = F.coalesce("score", F.lit(0.0)) if "score" in messages.columns else F.lit(0.0)
+    return messages.select(F.coalesce("tree", F.lit(_NO_TREE)).alias("tree"), "node", "parent", score.alias("score"))
+
+
+def _tree() -> Column:
+    return F.when(F.col("tree") != _NO_TREE, F.col("tree")).alias("tree")
+
+
+def paths(nodes: DataFrame) -> DataFrame:
+    """(tree, leaf, node, distance) of every message on every root-to-leaf path; distance counts from the leaf.
+
+    ``nodes`` has (tree, node, parent), ``node`` unique in its tree; a message whose parent is null or absent is a
+    root. Messages on a cycle, and all that hang on one, have no root and are in no path. Null trees are a tree of their own.
+    """
+    leaves, jumps = _jumps(_nodes(nodes))
+    return _members(leaves, jumps).select(_tree(), "leaf", "node", "distance")
+
+
+def ranked(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """((tree, leaf, score, rank) of every branch, best first, and the jumps): scores are summed along the jumps."""
+    leaves, jumps = _jumps(_nodes(messages))
+    at = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0.0).alias("sum"))
+    for k in range(len(jumps) - 1, -1, -1):
+        step = jumps[k].withColumnRenamed("score", "_score")
+        at = at.join(step, ["tree", "node"], "left").select("tree", "leaf", F.coalesce("to", "node").alias("node"), (F.col("sum") + F.coalesce("_score", F.lit(0.0))).alias("sum"))
+    roots = _nodes(messages).select("tree", "node", F.col("score").alias("_score"))
+    best = at.join(roots, ["tree", "node"]).select("tree", "leaf", (F.col("sum") + F.col("_score")).alias("score"))
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf"))), jumps
 
 
 def conversations(messages: DataFrame, most: int = 1) -> DataFrame:
@@ -92,17 +138,15 @@ def conversations(messages: DataFrame, most: int = 1) -> DataFrame:
 
     ``messages`` has (tree, node, parent, role, text, score): longs, strings and a double. A branch's score is the
     sum over its messages (null: 0); a tie goes to the lesser leaf. turns: array of (role, text) from the
-    root; null roles and texts are empty. Trees without a leaf (cycles) give nothing; an empty table, an empty result.
+    root; null roles and texts are empty. Messages without a root (cycles) give nothing; an empty table, an empty result.
     """
-    p = paths(messages.select("tree", "node", "parent"))
-    m = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    same = [p["tree"].eqNullSafe(m["tree"]), p["node"] == m["node"]]
-    light = p.join(m.select("tree", "node", "score"), same).groupBy(p["tree"], "leaf").agg(F.sum("score").alias("score"))
-    best = light.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf"))).filter(F.col("rank") <= most)
-    chosen = p.join(best.select(F.col("tree").alias("_tree"), F.col("leaf").alias("_leaf"), "rank", "score"), [p["tree"].eqNullSafe(F.col("_tree")), p["leaf"] == F.col("_leaf")]).drop("_tree", "_leaf", "score")
-    full = chosen.join(m, [chosen["tree"].eqNullSafe(m["tree"]), chosen["node"] == m["node"]]).select(chosen["tree"], "leaf", "rank", "distance", "role", "text", "score")
+    best, jumps = ranked(messages)
+    best = stored(best.filter(F.col("rank") <= most), "branches")
+    m = messages.select(F.coalesce("tree", F.lit(_NO_TREE)).alias("tree"), "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    full = _members(best, jumps).join(m, ["tree", "node"])
     turns = F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("at"), "role", "text")))
-    return full.groupBy("tree", "leaf", "rank").agg(F.sum("score").alias("score"), turns.alias("turns")).withColumn("turns", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))))
+    full = full.groupBy("tree", "leaf").agg(turns.alias("turns")).withColumn("turns", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))))
+    return full.join(best, ["tree", "leaf"]).select(_tree(), "leaf", "rank", "score", "turns")
 
 
 def formatted(branches: DataFrame) -> DataFrame:
