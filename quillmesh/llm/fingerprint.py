@@ -222,15 +222,13 @@ def edited(rows: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows ``wanted`` (_bucket, _row, doc_id, h, next_id, next_h) with their texts."""
+    """The rows ``wanted`` (_bucket, _row, doc_id, h, next_id, next_h) with their texts, all found by one join."""
     name = ["_bucket", "_row"]
-
-    def found(id_: str, h: str, text: str) -> DataFrame:
-        d = docs.select(F.col("doc_id").alias("_d"), F.col("h").alias("_x"), F.col("text").alias(text))
-        return wanted.join(d, [F.col(id_).eqNullSafe(F.col("_d")), F.col(h) == F.col("_x")]).drop("_d", "_x").dropDuplicates(name)
-
-    after = found("next_id", "next_h", "next").select(*name, "next")
-    return found("doc_id", "h", "text").join(after, name, "left")
+    both = F.array(*[F.struct(F.lit(next_).alias("next"), F.col(i).alias("id"), F.col(h).alias("h")) for next_, i, h in ((False, "doc_id", "h"), (True, "next_id", "next_h"))])
+    ends = wanted.select(*name, F.explode(both).alias("_e")).select(*name, "_e.*").filter("h is not null")
+    found = ends.join(docs.select(F.col("doc_id").alias("_d"), F.col("h").alias("_x"), "text"), [F.col("id").eqNullSafe(F.col("_d")), F.col("h") == F.col("_x")])
+    texts = [F.max(F.when(F.col("next") == x, F.col("text"))).alias(c) for x, c in ((False, "text"), (True, "next"))]
+    return wanted.join(found.groupBy(*name).agg(*texts), name)
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -242,16 +240,17 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     an empty next text. An empty table gives an empty result; further columns are ignored.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    done, rows = [], edited(with_next(d))
+    done, rows, texts = [], edited(with_next(d)), None
     for turn in range(TRIES):
         tried = stored(likenesses(rows, BY, TEXTS, PAIRS, SHOWN, turn), "fingerprints")
         done.append(tried.filter("whole"))
         open_ = tried.filter("not whole").select(*BY[:6])
         if not open_.limit(1).count():
             break
-        rows = edited(_texts(d, open_))
+        texts = stored(_texts(d, open_), "texts") if texts is None else texts.join(open_.select(*BY[:2]), BY[:2], "left_semi")
+        rows = edited(texts)
     else:
-        left, rows = tried.filter("not whole").drop("near0", "near1"), stored(rows, "texts")
+        left = tried.filter("not whole").drop("near0", "near1")
         for k, (a, b) in enumerate(PAIRS):
             left = left.join(_compared(rows, BY[:2], TEXTS[a], TEXTS[b], f"near{k}"), BY[:2])
         done.append(left.select(*done[0].columns))
