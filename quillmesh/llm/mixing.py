@@ -57,37 +57,60 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return sizes.withColumn("target", F.when(F.col("_open").isNull(), most.cast("double")).otherwise(F.least(most.cast("double"), F.col("_open") * F.col("weight")))).drop("_place", "_level", "_open")
 
 
-def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """Copies of each document: (doc_id, source, size, source_size, target, copies, taken).
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """What a document's place in its source's line follows from, and the columns ``more``."""
+    d = docs.select(*more, F.col("doc_id"), F.col("source"), words(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"))
+    return d.withColumn("_class", F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)).cast("double")) * 4).cast("int")).withColumn("_hash", _hash32(F.col("doc_id").cast("string"))).withColumn("_bucket", F.shiftright("_hash", 20))
 
-    Null text counts 0 words; a null source is one source, the last. A source without words has
-    target 0 and gives no copies. Ties stand by doc_id; rows that repeat a doc_id each get a place of
-    their own and may differ in copies. An empty table gives an empty result; other columns of
-    ``docs`` are ignored. ``seed`` sets the offset of every source, so reruns agree.
-    """
-    d = docs.select(F.col("doc_id"), F.col("source"), words(F.col("text")).alias("size"))
-    d = d.withColumn("_class", F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)).cast("double")) * 4).cast("int")).withColumn("_hash", _hash32(F.col("doc_id").cast("string")))
-    d = stored(d, "sizes")  # a few longs a document: the texts are read and counted once
-    counted = d.groupBy("source", "_class", F.shiftright("_hash", 20).alias("_bucket")).agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
+
+def _before(d: DataFrame) -> DataFrame:
+    """Per source, size class and hash bucket of ``_sized``: the documents before it in its source's line, and its source's size and target."""
+    counted = d.groupBy("source", "_class", "_bucket").agg(F.count("*").alias("_n"), F.sum("size").alias("_size"))
     sizes = source_targets(counted.groupBy("source").agg(F.sum("_n").alias("n_docs"), F.sum("_size").alias("source_size")))
     classes = counted.groupBy("source", "_class").agg(F.sum("_n").alias("_n"))
     up_to = lambda *k: W.partitionBy(*k[:-1]).orderBy(k[-1]).rowsBetween(W.unboundedPreceding, -1)
     classes = classes.select("source", "_class", F.coalesce(F.sum("_n").over(up_to("source", "_class")), F.lit(0)).alias("_classes_before"))
     buckets = counted.select("source", "_class", "_bucket", F.coalesce(F.sum("_n").over(up_to("source", "_class", "_bucket")), F.lit(0)).alias("_buckets_before"))
-    same = lambda a, b, *k: [a[x].eqNullSafe(b[x]) for x in k]
     before = buckets.alias("b").join(classes.alias("c"), [F.col("b.source").eqNullSafe(F.col("c.source")), F.col("b._class") == F.col("c._class")]).join(sizes.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source")))
-    before = before.select(F.col("b.source").alias("_source"), F.col("b._class").alias("_c"), F.col("b._bucket").alias("_b"), (F.col("_classes_before") + F.col("_buckets_before")).alias("_before"), "source_size", "target")
-    place = W.partitionBy("source", "_class", "_bucket").orderBy("_hash", "size", "doc_id")
-    d = d.withColumn("_bucket", F.shiftright("_hash", 20)).withColumn("_row", F.row_number().over(place))
+    return before.select(F.col("b.source").alias("_source"), F.col("b._class").alias("_c"), F.col("b._bucket").alias("_b"), (F.col("_classes_before") + F.col("_buckets_before")).alias("_before"), "source_size", "target")
+
+
+def _copied(d: DataFrame, before: DataFrame, seed: int) -> DataFrame:
+    """``_sized`` documents with source_size, target and copies."""
+    place = W.partitionBy("source", "_class", "_bucket").orderBy("_hash", "size", "doc_id", "_tie")
+    d = d.withColumn("_row", F.row_number().over(place))
     d = d.join(before, [d["source"].eqNullSafe(before["_source"]), d["_class"] == before["_c"], d["_bucket"] == before["_b"]])
     step = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * F.lit(UNIT))).otherwise(F.lit(0)).cast("long")
     offset = F.shiftright(_hash32(F.lit(str(seed)), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))), 4)
     rank = F.col("_before") + F.col("_row")
     crossed = lambda r: F.shiftright(r * step + offset, 28)
-    d = d.withColumn("copies", crossed(rank) - crossed(rank - 1))
+    return d.withColumn("copies", crossed(rank) - crossed(rank - 1))
+
+
+def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """Copies of each document: (doc_id, source, size, source_size, target, copies, taken).
+
+    Null text counts 0 words; a null source is one source, the last. A source without words has
+    target 0 and gives no copies. Ties stand by doc_id, then by a hash of the text; rows that repeat a doc_id each get
+    a place of their own and may differ in copies. An empty table gives an empty result; other columns of
+    ``docs`` are ignored. ``seed`` sets the offset of every source, so reruns agree.
+    """
+    d = stored(_sized(docs), "sizes")  # a few longs a document: the texts are read and counted once
+    d = _copied(d, _before(d), seed)
     return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def emit(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` has copies of it, with all columns.
+
+    Rows are placed as they are, not joined by doc_id, so null and repeated doc_ids are mixed like others; no
+    column of ``docs`` can clash. Otherwise as ``mix``.
+    """
+    before = _before(stored(_sized(docs), "sizes"))
+    d = _copied(_sized(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")), before, seed).filter(F.col("copies") > 0)
+    return d.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_doc.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
