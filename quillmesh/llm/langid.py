@@ -7,7 +7,7 @@ with their back-off weights. A position whose n-gram is in no array backs off to
 The language with the lowest cross-entropy per character wins; a text whose cross-entropy lies above
 what that language's calibration texts have, allowing for its length, is rejected.
 
-The counts are fitted on a bounded sample of labelled rows, SAMPLE documents a language at most in
+The counts are fitted on a bounded sample of labelled rows, SAMPLE documents and LETTERS characters a language at most in
 expectation (those with the least hash of their doc_id), of which every fifth calibrates instead.
 """
 
@@ -26,10 +26,11 @@ from quillmesh.llm._chars import mix
 from quillmesh.llm._common import extended, map_arrow, scratch, stored, strings, text_chunks
 
 ORDER = 5
-SAMPLE = 600
-#: A rejected text's cross-entropy exceeds the calibration texts' highest by SLACK nats and, for short
-#: texts, DEVIATIONS standard errors of its mean.
-SLACK, DEVIATIONS = 0.35, 4.0
+SAMPLE, LETTERS = 600, 6_000_000
+#: A text's cross-entropy strays from its language's with the root of its length: by ``deviation`` standard errors, the
+#: median absolute one of the calibration texts, so that a few odd ones don't widen it. What exceeds DEVIATIONS of them is
+#: compared with the QUANTILE of the calibration texts: a rejected text's is higher by more than SLACK nats a character.
+SLACK, DEVIATIONS, QUANTILE = 1.0, 6.0, 0.99
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 SPACE = 0x20
 UNKNOWN = "und"
@@ -227,9 +228,10 @@ def _hash(doc_id: Column) -> Column:
 
 
 def _sample(docs: DataFrame) -> DataFrame:
-    """About SAMPLE labelled rows of each language that are not held out, with ``calibrates``."""
+    """About SAMPLE labelled rows, of LETTERS characters, of each language that are not held out, with ``calibrates``."""
     labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    part = labelled.groupBy("lang").agg(F.least(F.lit(float(1 << 32)), F.lit(float(SAMPLE << 32)) / F.count("*")).alias("below"))
+    share = F.least(F.lit(SAMPLE) / F.count("*"), F.lit(LETTERS) / F.greatest(F.sum(F.length("text")), F.lit(1)), F.lit(1.0))
+    part = labelled.groupBy("lang").agg((share * F.lit(float(1 << 32))).alias("below"))
     # one row a language
     chosen = labelled.select("doc_id", "lang", "text").join(F.broadcast(part), "lang").filter(_hash(F.col("doc_id")) < F.col("below"))
     return chosen.select("lang", "text", (F.xxhash64("doc_id", F.lit(5)) % 5 == 0).alias("calibrates"))
@@ -274,8 +276,9 @@ def train(docs: DataFrame) -> Model | None:
     for j, x in enumerate(model.languages):
         own = rows[rows.lang == x]
         if len(own):
-            model.limit[j] = own.ce.max() + SLACK
-            model.deviation[j] = max(1.0, float(np.sqrt(((own.ce - own.ce.mean()) ** 2 * own.n).mean())))
+            strayed = (own.ce - own.ce.median()) * np.sqrt(own.n)
+            model.deviation[j] = max(0.5, 1.4826 * float(strayed.abs().median()))
+            model.limit[j] = float((own.ce - DEVIATIONS * model.deviation[j] / np.sqrt(own.n)).quantile(QUANTILE)) + SLACK
     held.unpersist()
     return model
 
