@@ -4,10 +4,11 @@ import math
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quillmesh.llm import fingerprint, langid, mixing, neardup
+from quillmesh.llm import fingerprint, langid, mixing, neardup, pieces
 from quillmesh.llm.components import components
 
 
@@ -177,7 +178,16 @@ def test_mixing(spark):
         assert math.isclose(x.target, target[x.source], rel_tol=1e-9, abs_tol=1e-9) and x.source_size == size[x.source] and 0 <= x.taken <= 3 * x.size
         taken[x.source] = taken.get(x.source, 0) + x.taken
     assert all(abs(taken[s] - target[s]) <= 60 + 0.03 * target[s] for s in names)
-    assert mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.emit(docs.limit(0)).count() == 0
+    odd = docs.unionByName(spark.createDataFrame([(None, "n u l l", "a", 5)] * 3, docs.schema)).withColumn("_row", F.lit(1)).withColumn("size", F.lit("x"))
+    out = odd.select("doc_id", "text", "source"), mixing.emit(odd)
+    assert out[1].columns == odd.columns
+    copies, emitted = {}, {}
+    for x in mixing.mix(odd).collect():
+        copies[x.doc_id, x.source] = copies.get((x.doc_id, x.source), 0) + x.copies
+    for x in out[1].collect():
+        emitted[x.doc_id, x.source] = emitted.get((x.doc_id, x.source), 0) + 1
+    assert emitted == {k: v for k, v in copies.items() if v} and emitted[None, "a"]
 
 
 def keys_of(text):
@@ -336,5 +346,36 @@ def test_pipeline(spark, tmp_path):
     mixed = corpus_pipeline.mix_sources(spark, docs, sf).groupBy("doc_id").count().collect()
     copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
     assert {r.doc_id: r["count"] for r in mixed} == {k: v for k, v in copies.items() if v}
+    # the whole run against its stages, one by one, the last of which decodes to the texts of the one before
     out = corpus_pipeline.run(spark, sf)
-    assert out.columns == ["doc_id", "source", "ids", "scores"] and out.count() > 0
+    staged = corpus_pipeline.mix_sources(spark, corpus_pipeline.secret_scan(spark, d2, sf), sf)
+    v = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    want = sorted((r.doc_id, r.source, r.text) for r in staged.collect())
+    rows = out.collect()
+    assert out.columns == ["doc_id", "source", "ids", "scores"] and want
+    assert sorted((r.doc_id, r.source, v.decode(r.ids)) for r in rows) == want and all(r.scores == sorted(r.scores, reverse=True) for r in rows)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, redacted string, nbest int"
+    texts = _texts(25, 9)
+    rows = [(i, t, lang, f"s{i % 2}", len(t), "x", 0) for i, (lang, t) in enumerate(texts)]
+    long = " ".join(t for lang, t in _texts(900, 10) if lang == "xx")
+    odd = [(None, texts[3][1], "xx", None, 1, None, None), (None, long, None, "s0", 1, None, None), (900, None, "xx", "s1", None, None, None), (901, "", None, None, 0, None, None)]
+    odd += [(0, texts[40][1] + " ka lo mi ta", "yy", "s1", 5, "x", 1), (1, texts[1][1], "xx", "s1", 5, "x", 1), (1, texts[1][1], "xx", "s1", 5, "x", 1)]
+    docs = spark.createDataFrame(rows + odd, schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    step = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, str(tmp_path))
+        assert step.columns == list(corpus_pipeline.COLUMNS)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        assert stage(spark, docs, str(tmp_path)).count() > 0
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    copy = {odd[4][1]}  # of document 40, whose doc_id no other text has
+    assert sorted(str(r.text) for r in kept.collect()) == sorted({str(r[1]) for r in rows + odd} - copy)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(out) and any(r.doc_id is None and len(r.ids) > 1000 for r in out)
