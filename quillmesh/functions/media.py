@@ -104,3 +104,30 @@ def blob_path(asset_hex: Column, tag: Column | None, file_name: Column) -> Colum
     """Path below the store; a thumbnail has no model folder."""
     parts = [F.lit("blobs"), F.substring(asset_hex, 1, 2), asset_hex, *([tag] if tag is not None else []), file_name]
     return F.concat_ws("/", *parts)
+
+
+#: Longest edge of a thumbnail and frames a second that videos are sampled with (fixed values).
+THUMB_EDGE, SAMPLED_FPS = 320, 2
+
+
+def scaled_dimension(edge: Column, longest: Column) -> Column:
+    """``edge`` when ``longest`` becomes THUMB_EDGE: rounded to the nearest, 1 at least."""
+    return F.greatest(F.lit(1), F.floor((2 * edge * THUMB_EDGE + longest) / (2 * longest))).cast("long")
+
+
+def frame_ms(index: Column, fps: int = SAMPLED_FPS) -> Column:
+    return F.floor(index * 1000 / fps).cast("long")
+
+
+def centis_ms(centis: Column) -> Column:
+    """Negative times are 0."""
+    return F.greatest(F.lit(0), centis * 10).cast("long")
+
+
+def crumb_path(crumbs: Column, index: Column) -> Column:
+    """Path of the folder that a crumb stands for: the crumbs up to it."""
+    return F.array_join(F.slice(crumbs, F.lit(1), index + 1), "/")
+
+
+def child_path(folder: Column, name: Column) -> Column:
+    return F.when(folder == "", name).otherwise(F.concat_ws("/", folder, name))

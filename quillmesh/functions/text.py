@@ -37,6 +37,32 @@ def snippet(text: Column, width: int = 80) -> Column:
     return F.when(F.char_length(t) > width, F.concat(F.substring(t, 1, width), F.lit("…"))).otherwise(t)
 
 
+#: A word with what follows it up to the next one.
+_PIECE = r"[\p{L}\p{N}\p{M}]+[^\p{L}\p{N}\p{M}]*"
+
+
+def token_snippet(text: Column, term: str, width: int = 12) -> Column:
+    """``width`` words of the text around the first one that begins with ``term``, with ``…`` where text is left out.
+
+    The hit stands in the middle, or as near to it as the text's ends allow; null where no word begins so.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
+
+    def cut(p: Column) -> Column:
+        hits = F.transform(p, lambda x: F.lower(x).startswith(term.lower()))
+        at = F.array_position(hits, True) - 1
+        start = F.greatest(F.lit(0), F.least(at - (width - 1) // 2, F.size(p) - width)).cast("int")
+        words = F.regexp_replace(F.array_join(F.slice(p, start + 1, F.lit(width)), ""), r"[^\p{L}\p{N}\p{M}]+$", "")
+        return F.when(at >= 0, F.concat(F.when(start > 0, "…").otherwise(""), words, F.when(start + width < F.size(p), "…").otherwise("")))
+
+    return F.transform(F.array(pieces), cut)[0]
+
+
+def full_text(segments: Column) -> Column:
+    """A transcript's segments (array of texts, in order), trimmed, in one line."""
+    return F.array_join(F.filter(F.transform(segments, F.trim), lambda x: x != ""), " ")
+
+
 def normal_tag(tag: Column) -> Column:
     """What near-duplicate tags have in common."""
     return F.lower(F.regexp_replace(tag, "[-_ ]", ""))

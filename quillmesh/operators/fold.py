@@ -8,7 +8,8 @@ filters its event types at the scan and exchanges only its own keys. (Equal ids
 
 from __future__ import annotations
 
-import uuid
+import re
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -79,25 +80,51 @@ def follow(hops: dict[str, str]) -> dict[str, str]:
     return out
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage: checkpointed in the folder that the session names, or in a local session in one of its own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="quillmesh-"))
+    return df.checkpoint()
+
+
+def _ends(hops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((raw, tag): where the hops (raw, target) that end lead, raw tags that come to no end).
+
+    Steps double: each turn joins the table with itself. As long as some tag's renames go on to an end, others have
+    just come to theirs, so the number of open ones falls with every turn until only those that run into a cycle are left.
+    """
+    reach = hops.select("raw", F.col("target").alias("tag"), F.lit(True).alias("open"))
+    before = -1
+    while True:
+        step = reach.select(F.col("raw").alias("tag"), F.col("tag").alias("_tag"), F.col("open").alias("_open"))
+        joined = reach.join(step, "tag", "left")
+        reach = joined.select("raw", F.coalesce("_tag", "tag").alias("tag"), F.coalesce("_open", F.lit(False)).alias("open"))
+        reach = _cut(reach)
+        size = reach.filter("open").count()
+        if size in (0, before):
+            return reach.filter("not open").select("raw", "tag"), reach.filter("open").select("raw", "tag")
+        before = size
+
+
 def closure(alias: DataFrame, most: int = 100_000) -> DataFrame:
-    """(raw, tag): where following the renames ends.
+    """(raw, tag): where following the renames ends; on a cycle, the first name met twice.
 
     The rename table has a row per renamed tag. Up to ``most`` rows (checked) are followed on the driver; a larger
-    table is followed by a recursive query over itself alone.
+    table is joined with itself, in steps that double, so a chain of any length takes few of them.
     """
     spark = alias.sparkSession
     rows = alias.limit(most + 1).collect()
     if len(rows) <= most:
         return spark.createDataFrame(sorted(follow(dict(map(tuple, rows))).items()), "raw string, tag string")
-    name = f"hops_{uuid.uuid4().hex}"
-    alias.persist().createOrReplaceTempView(name)
-    return spark.sql(f"""
-      WITH RECURSIVE r(raw, tag, seen, done) AS (
-        SELECT raw, raw, array(raw), false FROM {name}
-        UNION ALL
-        SELECT r.raw, h.target, array_append(r.seen, h.target), array_contains(r.seen, h.target)
-        FROM r JOIN {name} h ON h.raw = r.tag WHERE NOT r.done)
-      SELECT raw, max_by(tag, size(seen)) AS tag FROM r GROUP BY raw""")
+    done, endless = _ends(alias)
+    # what endless renames have come to lies on a cycle, and all of a cycle is come to: there they end
+    cycle = endless.select("tag").distinct()
+    tails, _ = _ends(alias.join(endless.select("raw"), "raw", "left_semi").join(cycle.withColumnRenamed("tag", "raw"), "raw", "left_anti"))
+    return done.unionByName(cycle.select(F.col("tag").alias("raw"), "tag")).unionByName(tails)
 
 
 def effective(adds: DataFrame, alias: DataFrame) -> DataFrame:

@@ -177,8 +177,79 @@ def to_retry(prints: DataFrame, failures: DataFrame) -> DataFrame:
     return prints.join(failures.select("folder", "fingerprint"), ["folder", "fingerprint"], "left_anti")
 
 
-def throttle(progress: DataFrame, window_ms: int = 100) -> DataFrame:
-    """The last progress event (run, rel, at_ms, bytes) of each file in each window; the final one always stays."""
-    slot = F.floor(F.col("at_ms") / window_ms)
-    w = W.partitionBy("run", "rel", slot).orderBy(F.desc("at_ms"), F.desc("bytes"))
-    return progress.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+def throttle(progress: DataFrame, gap_ms: int = 100) -> DataFrame:
+    """The progress events (run, rel, at_ms, bytes) of each file that are passed on: the first, then one whenever
+    ``gap_ms`` have gone by since the last one passed on, and always the final one.
+
+    A file's events stand by time and bytes. Which ones pass depends on those before, so they are gone through in
+    order, as a sorted stream: a task holds a batch, not a file's events.
+    """
+
+    def passed(frames):
+        key, last, final = None, 0, None
+        for f in frames:
+            keep = []
+            for row in f[["run", "rel", "at_ms", "bytes"]].itertuples(index=False, name=None):
+                if row[:2] != key:
+                    if final is not None:
+                        keep.append(final)
+                    key, last, final = row[:2], row[2], None
+                    keep.append(row)
+                elif row[2] - last >= gap_ms:
+                    last, final = row[2], None
+                    keep.append(row)
+                else:
+                    final = row
+            yield f.head(0)[["run", "rel", "at_ms", "bytes"]] if not keep else type(f)(keep, columns=["run", "rel", "at_ms", "bytes"])
+        if final is not None:
+            yield type(f)([final], columns=["run", "rel", "at_ms", "bytes"])
+
+    e = progress.select("run", "rel", F.col("at_ms").cast("long"), F.col("bytes").cast("long"))
+    return e.repartition("run", "rel").sortWithinPartitions("run", "rel", "at_ms", "bytes").mapInPandas(passed, "run string, rel string, at_ms bigint, bytes bigint")
+
+
+# ---- what a sync run reports
+
+
+def landed_events(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(machine, segment, events): whole lines of ``after`` (machine, segment, line) behind those of ``before`` (machine, segment, lines)."""
+    b = before.select("machine", "segment", F.col("lines").alias("_had"))
+    a = after.groupBy("machine", "segment").agg(F.count("*").alias("_has"))
+    out = a.join(b, ["machine", "segment"], "left").withColumn("events", F.col("_has") - F.coalesce("_had", F.lit(0)))
+    return out.filter("events > 0").select("machine", "segment", "events")
+
+
+def pull_summary(landed: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(what, n): events landed from each machine, machines, and blobs received."""
+    each = landed.groupBy("machine").agg(F.sum("events").alias("n"))
+    rows = each.select(F.concat(F.lit("events "), "machine").alias("what"), "n")
+    return rows.unionByName(each.agg(F.count("*").alias("n")).select(F.lit("machines").alias("what"), "n")).unionByName(blobs.agg(F.count("*").alias("n")).select(F.lit("blobs").alias("what"), "n"))
+
+
+def transfer_plan(segments: DataFrame, blobs: DataFrame, classes: list[str]) -> DataFrame:
+    """(ordinal, kind, name, from, bytes) of what a push or pull moves: log segments first, from the byte they differ, then blobs by class and name."""
+    s = segments.select(F.lit(0).cast("long").alias("ordinal"), F.lit("segment").alias("kind"), F.concat_ws("/", "machine", "segment").alias("name"), F.col("dst_len").alias("from"), (F.col("src_len") - F.col("dst_len")).alias("bytes"))
+    b = only(blobs, classes).select("ordinal", F.col("class").alias("kind"), F.col("rel").alias("name"), F.lit(0).cast("long").alias("from"), F.col("size").alias("bytes"))
+    return s.unionByName(b)
+
+
+def transfer_outcome(plan: DataFrame, failed: DataFrame) -> DataFrame:
+    """(kind, moved, failed, bytes) of an executed plan, of which ``failed`` (name) went wrong: a failure costs its own item only."""
+    p = plan.join(failed.select("name").distinct().withColumn("_bad", F.lit(True)), "name", "left")
+    good = F.col("_bad").isNull()
+    return p.groupBy("kind").agg(F.count_if(good).alias("moved"), F.count_if(~good).alias("failed"), F.coalesce(F.sum(F.when(good, F.col("bytes"))), F.lit(0)).alias("bytes"))
+
+
+def first_readable(instances: DataFrame, mounts: DataFrame) -> DataFrame:
+    """(asset, abs_path): each asset's first place on a readable mounted volume.
+
+    ``mounts``: (volume, root, readable); places stand by volume and path.
+    """
+    m = mounts.filter("readable").select("volume", "root")
+    best = instances.join(m, "volume").groupBy("asset").agg(F.min(F.struct("volume", "path", "root")).alias("b"))
+    return best.select("asset", F.concat_ws("/", "b.root", "b.path").alias("abs_path"))
+
+
+def dest_roots(runs: DataFrame) -> DataFrame:
+    """(run, roots): the destination roots of a run's state and those chosen, each once, the state's first."""
+    return runs.select("run", F.array_union(F.coalesce("state", F.array().cast("array<string>")), F.coalesce("chosen", F.array().cast("array<string>"))).alias("roots"))

@@ -404,7 +404,7 @@ def _layers(spark, sf, terms, limit, filtered, text_=True, images=True) -> retri
 
 def _fusion_sql(terms: list[str], limit: int, cut: int | None, allowed: str) -> str:
     top = f"ORDER BY r, asset LIMIT {cut}" if cut else ""
-    knn = f"SELECT asset, kind, ts_ms, {_DISTANCE} AS distance FROM vecs ORDER BY 4, 1, 2, 3 LIMIT {cut or 1 << 20}"
+    knn = f"SELECT asset, kind, ts_ms, {_DISTANCE} AS distance FROM vecs{f' ORDER BY 4, 1, 2, 3 LIMIT {cut}' if cut else ''}"
     a = _bm25_sql("names", "name", "asset, name", terms)
     b = _bm25_sql("texts", "content", "asset, source, locator", terms, "2")
     return f"""WITH {a}, {b},
@@ -713,7 +713,13 @@ def _(spark, sf):
     return transfer.quiescent(e, F.lit(now))
 
 
-@query("progress_throttle", "SELECT run, rel, at_ms, bytes FROM (SELECT user_id::VARCHAR AS run, event_type AS rel, (epoch_us(ts) // 1000) AS at_ms, event_id AS bytes, row_number() OVER (PARTITION BY user_id, event_type, (epoch_us(ts) // 1000) // 86400000 ORDER BY (epoch_us(ts) // 1000) DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+@query(
+    "progress_throttle",
+    f"""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS run, event_type AS rel, epoch_us(ts) // 1000 AS at_ms, event_id AS bytes, row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) // 1000, event_id) AS n, count(*) OVER (PARTITION BY user_id, event_type) AS c FROM events),
+r AS (SELECT run, rel, n, at_ms AS at, true AS kept FROM e WHERE n = 1
+  UNION ALL SELECT e.run, e.rel, e.n, CASE WHEN e.at_ms - r.at >= {dates.DAY_MS} THEN e.at_ms ELSE r.at END, e.at_ms - r.at >= {dates.DAY_MS} FROM r JOIN e ON e.run = r.run AND e.rel = r.rel AND e.n = r.n + 1)
+SELECT e.run, e.rel, e.at_ms::BIGINT AS at_ms, e.bytes FROM e JOIN r ON e.run = r.run AND e.rel = r.rel AND e.n = r.n WHERE r.kept OR e.n = e.c""",
+)
 def _(spark, sf):
     e = fx.tables(spark, sf, "events")[0].select(F.col("user_id").cast("string").alias("run"), F.col("event_type").alias("rel"), F.unix_millis("ts").alias("at_ms"), F.col("event_id").alias("bytes"))
     return transfer.throttle(e, dates.DAY_MS)
@@ -732,3 +738,8 @@ def _(spark, sf):
 
     d = fx.tables(spark, sf, "benchmark")[0].withColumn("b", F.col("text").cast("binary"))
     return d.select("item_id", c4_id("b").alias("c4"), xxh64_hex("b").alias("xxh64"), xxh3_asset("b").alias("asset"))
+
+
+from quillmesh.plans import registry_small as _small  # noqa: E402  it registers its queries here
+
+_ = _small

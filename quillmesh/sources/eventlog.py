@@ -47,8 +47,38 @@ def corrupt_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("machine").agg(F.count("corrupt").alias("corrupt")).filter("corrupt > 0")
 
 
+class StaleCursor(ValueError):
+    """A cursor lies behind its segment's end, or its segment is gone: what was read before can't be built upon."""
+
+
+def read_since(spark: SparkSession, root: str, cursors: dict[str, int]) -> tuple[DataFrame, dict[str, int]]:
+    """(``read``'s rows of the whole lines behind the cursors, the cursors behind these).
+
+    ``cursors``: bytes read by "machine/segment"; none is the start. Only segments that have grown are read, and a line
+    without its end waits for it. Segments are bounded in size, so each is a row's bytes; their list is as
+    long as the log has segments.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(f"{root}/events")
+    listed = {"/".join(x.path.split("/")[-2:]): (x.path, x.length) for x in files.select("path", "length").collect()}
+    for name, at in cursors.items():
+        if name not in listed or at > listed[name][1]:
+            raise StaleCursor(f"{name} has less than {at} bytes: rebuild")
+    grown = [(path, cursors.get(name, 0)) for name, (path, size) in sorted(listed.items()) if size > cursors.get(name, 0)]
+    if not grown:
+        return parse(spark.createDataFrame([], "value string, file string")), dict(cursors)
+    start = spark.createDataFrame(grown, "file string, start bigint")
+    read_ = spark.read.format("binaryFile").load([path for path, _ in grown]).select(F.col("path").alias("file"), "content")
+    new = read_.join(start, "file").withColumn("text", F.expr("cast(substring(content, cast(start + 1 as int)) as string)"))
+    whole = F.octet_length("text") - F.octet_length(F.substring_index("text", "\n", -1))
+    new = new.select("file", "start", "text", F.when(F.col("text").contains("\n"), whole).otherwise(0).alias("bytes"))
+    ends = {"/".join(x.file.split("/")[-2:]): x.start + x.bytes for x in new.select("file", "start", "bytes").collect()}
+    lines = new.filter("bytes > 0").select("file", F.explode(F.split(F.expr("substring(text, 1, char_length(text) - char_length(substring_index(text, '\n', -1)) - 1)"), "\n")).alias("value"))
+    return parse(lines.select("value", "file")), {**cursors, **ends}
+
+
 def stream(spark: SparkSession, root: str) -> DataFrame:
-    """The same rows as a stream; the file source's checkpoint is the cursor. Segments must arrive whole."""
+    """The same rows as a stream; the file source's checkpoint is the cursor. It reads a file once, so segments must
+    arrive whole: for a log whose segments grow, ``read_since`` reads what is new."""
     lines = spark.readStream.schema("value string").format("text").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(f"{root}/events")
     return parse(lines.select("value", F.col("_metadata.file_path").alias("file")))
 

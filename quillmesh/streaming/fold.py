@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.operators import fold
+from quillmesh.sources import eventlog
 from quillmesh.schemas import EVENT
 
 #: Tables whose rows belong to one asset.
@@ -50,13 +51,35 @@ class IncrementalCatalog:
     def tables(self) -> dict[str, DataFrame]:
         return {n: self.table(n) for n in (*BY_ASSET, *GLOBAL)}
 
-    def apply(self, batch: DataFrame) -> bool:
+    def _write_state(self, generation: int, cursors: dict[str, int]) -> None:
+        with open(f"{self.root}/state.tmp", "w") as f:
+            json.dump({"version": VERSION, "generation": generation, "cursors": cursors}, f)
+        os.replace(f"{self.root}/state.tmp", f"{self.root}/state.json")
+
+    def pull(self, log: str) -> bool:
+        """Apply what has been appended to the log at ``log`` since the last pull; whether anything was new.
+
+        The log's cursors are kept with the tables' generation, so both advance together. Where a segment has
+        become shorter or is gone, all is built anew.
+        """
+        try:
+            rows, cursors = eventlog.read_since(self.spark, log, self.state().get("cursors", {}))
+        except eventlog.StaleCursor:
+            self._write_state(0, {})
+            rows, cursors = eventlog.read_since(self.spark, log, {})
+        return self.apply(eventlog.events(rows), cursors)
+
+    def apply(self, batch: DataFrame, cursors: dict[str, int] | None = None) -> bool:
         """Apply events; whether anything was new. Applying a batch again changes nothing."""
+        have = self.state().get("cursors", {})
+        cursors = have if cursors is None else cursors
         batch = batch.select("id", "hlc", "author", "op").persist()
         try:
             old = self.state()["generation"]
             fresh = fold.unique(batch).join(self.events().select("id"), "id", "left_anti").persist()
             if old and not fresh.limit(1).count():
+                if cursors != have:
+                    self._write_state(old, cursors)
                 return False
             new = f"{self.root}/{old + 1:06d}"
             shutil.rmtree(new, ignore_errors=True)
@@ -75,9 +98,7 @@ class IncrementalCatalog:
                 rows.write.parquet(f"{new}/{name}")
             for name in GLOBAL:
                 getattr(part, name).write.parquet(f"{new}/{name}")
-            with open(f"{self.root}/state.tmp", "w") as f:
-                json.dump({"version": VERSION, "generation": old + 1}, f)
-            os.replace(f"{self.root}/state.tmp", f"{self.root}/state.json")
+            self._write_state(old + 1, cursors)
             if old:
                 shutil.rmtree(f"{self.root}/{old:06d}", ignore_errors=True)
             return True

@@ -53,7 +53,7 @@ sys.path.insert(0, {str(root)!r})
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name == 'quillmesh.llm' or name.startswith('quillmesh.llm.') or name == 'corpus_pipeline':
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 assert e.queries() and not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in e.queries())

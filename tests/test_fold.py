@@ -121,3 +121,44 @@ def test_clock():
     u = eventlog.Ulids()
     ids = [u.next(now) for _ in range(50)]
     assert ids == sorted(ids) and len({len(x) for x in ids}) == 1 and random
+
+
+def test_long_renames_in_joins(spark):
+    hops = {f"t{i}": f"t{i + 1}" for i in range(150)} | {"a": "b", "b": "c", "c": "a", "x": "y", "y": "b", "s": "s", "z": "s"}
+    df = spark.createDataFrame(list(hops.items()), "raw string, target string")
+    assert dict(map(tuple, fold.closure(df, most=0).collect())) == fold.follow(hops)
+
+
+def test_pulls_read_what_was_appended(spark, tmp_path):
+    from quillmesh.streaming.fold import IncrementalCatalog
+
+    log = eventlog.LocalLog(str(tmp_path), "m0", create=True)
+    c = IncrementalCatalog(spark, str(tmp_path / "catalog"))
+    every = [event(i, i, type="tag_add", asset="a", tag=f"é{i}") for i in range(6)]
+
+    def same(n):
+        assert c.table("events").count() == n
+        rows = sorted(tuple(r) for r in fold.project(frame(spark, every[:n])).tags.collect())
+        assert sorted(tuple(r) for r in c.table("tags").collect()) == rows
+
+    log.append([json.dumps(e) for e in every[:2]])
+    assert c.pull(str(tmp_path)) and not c.pull(str(tmp_path))
+    same(2)
+    log.append([json.dumps(e) for e in every[2:4]])  # to the same segment
+    segment = tmp_path / "events" / "m0" / "0001.jsonl"
+    tail = json.dumps(every[4], ensure_ascii=False).encode()
+    with open(segment, "ab") as f:  # a torn line, within a character
+        f.write(b"not json\n" + tail[: tail.index("é".encode()) + 1])
+    assert c.pull(str(tmp_path))
+    same(4)
+    with open(segment, "ab") as f:
+        f.write(tail[tail.index("é".encode()) + 1 :] + b"\n")
+    assert c.pull(str(tmp_path))
+    same(5)
+    rows, ends = eventlog.read_since(spark, str(tmp_path), {"m0/0001.jsonl": 0})
+    assert rows.filter("corrupt is not null").count() == 1 and ends == {"m0/0001.jsonl": segment.stat().st_size}
+    segment.write_text(json.dumps(every[0]) + "\n")  # shorter than what was read: all is built anew
+    with pytest.raises(eventlog.StaleCursor):
+        eventlog.read_since(spark, str(tmp_path), ends)
+    assert c.pull(str(tmp_path))
+    same(1)
