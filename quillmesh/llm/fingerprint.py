@@ -248,7 +248,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
         if not open_.limit(1).count():
             break
         texts = stored(_texts(d, open_), "texts") if texts is None else texts.join(open_.select(*BY[:2]), BY[:2], "left_semi")
-        rows = edited(texts)
+        rows = edited(texts.repartition("_bucket"))  # the aggregations keep this dealing, so only texts are shuffled
     else:
         left = tried.filter("not whole").drop("near0", "near1")
         for k, (a, b) in enumerate(PAIRS):
