@@ -89,13 +89,16 @@ def _place(hashed: Column | str, place: int) -> Column:
     return F.shiftright(hashed, _BITS * place).bitwiseAND(_long(WIDTH - 1))
 
 
-def sketches(rows: DataFrame, by: list[str], texts: tuple[str, ...], pairs: tuple[tuple[int, int], ...], shown: tuple[int, ...], turn: int) -> DataFrame:
+def sketches(rows: DataFrame, by: list[str], texts: tuple[str, ...], pairs: tuple[tuple[int, int], ...], shown: tuple[int, ...], turn: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each group of each pair's difference, with its cells ``n<place>_<cell>`` and ``x<place>_<cell>``.
 
     ``rows`` has the columns ``by``, which name a row, and the texts. kind: the pair (places in ``texts``); from the number of
     pairs on, the sketches of one group of the texts ``shown``. len: length of the two texts' paragraphs in the group.
+    With ``keep``, each row of ``rows`` also gives one of the next kind, without keys, that holds these columns in ``_keep``:
+    the sketches of a partition are built where its texts are, and the texts go along without a join.
     """
-    d = rows.select(*by, *[paragraphs(F.col(c)).alias(f"_p{i}") for i, c in enumerate(texts)])
+    kept = F.struct(*keep) if keep else F.struct(F.lit(0))
+    d = rows.select(*by, *[paragraphs(F.col(c)).alias(f"_p{i}") for i, c in enumerate(texts)], kept.alias("_kept"))
     most = functools.reduce(F.greatest, [F.size(f"_p{a}") + F.size(f"_p{b}") for a, b in pairs])
     d = d.withColumn("_groups", F.greatest(F.ceil(most * F.lit(LARGER**turn / KEYS)), F.lit(1)).cast("long"))
     kinds: list[list[tuple[int, int]]] = [[] for _ in texts]
@@ -105,8 +108,14 @@ def sketches(rows: DataFrame, by: list[str], texts: tuple[str, ...], pairs: tupl
     for k, a in enumerate(shown):
         kinds[a].append((len(pairs) + k, 1))
     of = lambda own: F.array(*[F.struct(F.lit(k).alias("kind"), _long(sign).alias("sign")) for k, sign in own])
-    d = d.select(*by, "_groups", F.explode(F.array(*[F.struct(of(own).alias("kinds"), F.col(f"_p{i}").alias("p")) for i, own in enumerate(kinds)])).alias("_t"))
-    e = with_keys(d.select(*by, "_groups", "_t.kinds", F.explode_outer("_t.p").alias("p")), "p")
+    none = F.when(F.lit(False), F.col("_kept"))
+    each = [F.struct(of(own).alias("kinds"), F.col(f"_p{i}").alias("p"), none.alias("keep")) for i, own in enumerate(kinds)]
+    if keep:
+        each.append(F.struct(of([(len(pairs) + len(shown), 0)]).alias("kinds"), F.lit(None).cast("array<string>").alias("p"), F.col("_kept").alias("keep")))
+    d = d.select(*by, "_groups", F.explode(F.array(*each)).alias("_t"))
+    by = [*by, "_keep"] if keep else by
+    d = d.select(*by[: len(by) - bool(keep)], "_groups", "_t.kinds", F.col("_t.keep").alias("_keep"), F.explode_outer("_t.p").alias("p"))
+    e = with_keys(d if keep else d.drop("_keep"), "p")
     hashed = lambda turn: F.when(F.col("key").isNotNull(), _seeded("key", turn))
     e = e.withColumns({"_h": hashed(turn), "_first": hashed(0)}).select(*by, "_groups", "key", "_h", "_first", F.inline("kinds"))
     # a shown sketch is the same at every try
@@ -129,17 +138,19 @@ def _split(x: Column) -> Column:
     return F.aggregate(F.array(x), _long(0), lambda s, v: s + v)
 
 
-def peeled(cells: DataFrame, by: list[str], pairs: int, turn: int, keys: bool = False) -> DataFrame:
+def peeled(cells: DataFrame, by: list[str], pairs: int, turn: int, keys: bool = False, keep: bool = False) -> DataFrame:
     """(by, kind, group, len, shown, found, whole) of ``sketches``: the length of the keys recovered, and whether nothing is left.
 
-    shown: the cells as text, of kinds from ``pairs`` on, which aren't peeled. With ``keys``, also ``keys``: those recovered.
+    shown: the cells as text, of kinds from ``pairs`` on, which aren't peeled. With ``keys``, also ``keys``: those recovered;
+    with ``keep``, also ``_keep`` as it came.
     """
     each, other = range(WIDTH), _long(0)
     text = F.concat_ws(",", *[F.concat_ws(".", F.hex(f"n{u}_{c}"), F.hex(f"x{u}_{c}")) for u in range(PLACES) for c in each])
     paragraphs_ = functools.reduce(operator.add, [F.col(f"n0_{c}") for c in each])
-    shown = F.when(F.col("kind") >= pairs, F.concat_ws("|", paragraphs_.cast("string"), F.col("len").cast("string"), text))
+    own = (F.col("kind") >= pairs) & (F.col("_keep").isNull() if keep else F.lit(True))
+    shown = F.when(own, F.concat_ws("|", paragraphs_.cast("string"), F.col("len").cast("string"), text))
     a = cells.withColumns({"shown": shown, "found": other} | ({"keys": F.array().cast("array<bigint>")} if keys else {}))
-    kept = [*by, "kind", "group", "len", "shown"]
+    kept = [*by, "kind", "group", "len", "shown", *(["_keep"] if keep else [])]
     for u in range(PLACES):
         n, x = ([F.col(f"{m}{u}_{c}") for c in each] for m in "nx")
         later = [f"{m}{v}_{c}" for v in range(u + 1, PLACES) for c in each for m in "nx"]
@@ -164,20 +175,20 @@ def peeled(cells: DataFrame, by: list[str], pairs: int, turn: int, keys: bool =
     return a
 
 
-def likenesses(rows: DataFrame, by: list[str], texts: tuple[str, ...], pairs: tuple[tuple[int, int], ...], shown: tuple[int, ...], turn: int) -> DataFrame:
-    """(by, shown0, ..., near0, ..., whole) of each row: its texts' fingerprints, its pairs' likenesses, and whether peeling ended.
+def likenesses(rows: DataFrame, by: list[str], texts: tuple[str, ...], pairs: tuple[tuple[int, int], ...], shown: tuple[int, ...], turn: int, keep: tuple[str, ...]) -> DataFrame:
+    """(by, keep, shown0, ..., near0, ..., whole) of each row: its texts' fingerprints, its pairs' likenesses, and whether peeling ended.
 
     Likeness: 1 - length of the differing paragraphs / length of all; two empty sets are alike (1). Repeated paragraphs
     of a text count once. A fingerprint: number of paragraphs, their length, the cells of the sketch of one group.
     """
     n = len(pairs)
-    a = peeled(sketches(rows, by, texts, pairs, shown, turn), by, n, turn)
+    a = peeled(sketches(rows, by, texts, pairs, shown, turn, keep), by, n, turn, keep=True)
     of = lambda k, x: F.sum(F.when(F.col("kind") == k, F.col(x)).otherwise(_long(0)))
     prints = [F.max(F.when(F.col("kind") == n + k, F.col("shown"))).alias(f"shown{k}") for k in range(len(shown))]
     whole = F.min(F.when(F.col("kind") < n, F.col("whole"))).alias("whole")
-    a = a.groupBy(*by).agg(*prints, *[of(k, x).alias(f"_{x}{k}") for k in range(n) for x in ("found", "len")], whole)
+    a = a.groupBy(*by).agg(*prints, *[of(k, x).alias(f"_{x}{k}") for k in range(n) for x in ("found", "len")], whole, F.max("_keep").alias("_keep"))
     near = [F.when(F.col(f"_len{k}") == 0, F.lit(1.0)).otherwise(1 - F.col(f"_found{k}") / F.col(f"_len{k}")).alias(f"near{k}") for k in range(n)]
-    return a.select(*by, *[f"shown{k}" for k in range(len(shown))], *near, "whole")
+    return a.select(*by, "_keep.*", *[f"shown{k}" for k in range(len(shown))], *near, "whole")
 
 
 def _compared(rows: DataFrame, by: list[str], a: str, b: str, name: str) -> DataFrame:
@@ -190,7 +201,7 @@ def _compared(rows: DataFrame, by: list[str], a: str, b: str, name: str) -> Data
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(_bucket, _row, doc_id, text, h, next_id, next_h, next): each row of (doc_id, text, h) with the next by descending doc_id, after the last the first.
+    """(_bucket, _row, doc_id, text, next): each row of (doc_id, text) with the next text by descending doc_id, after the last the first.
 
     Rows are dealt to id ranges; each range also gets the first row of the range that follows it, so that no window
     spans the table. (_bucket, _row) names a row.
@@ -205,12 +216,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     both = d.withColumn("_ghost", F.lit(False)).unionByName(heads.withColumn("_ghost", F.lit(True)))
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ranges // 4)
     order = W.partitionBy("_bucket").orderBy("_ghost", F.col("doc_id").desc(), "text")
-    follows = {new: F.lead(old).over(order) for new, old in (("next_id", "doc_id"), ("next_h", "h"), ("next", "text"))}
-    return both.repartition(tasks, "_bucket").withColumns({"_row": F.row_number().over(order), **follows}).filter(~F.col("_ghost")).drop("_ghost")
+    return both.repartition(tasks, "_bucket").withColumns({"_row": F.row_number().over(order), "next": F.lead("text").over(order)}).filter(~F.col("_ghost")).drop("_ghost")
 
 
-BY = ["_bucket", "_row", "doc_id", "h", "next_id", "next_h", "n_chars", "edited_sha256"]
+BY, KEEP = ["_bucket", "_row"], ("doc_id", "n_chars", "edited_sha256", "text", "next")
 TEXTS, PAIRS, SHOWN = ("text", "edited", "next"), ((0, 1), (0, 2)), (0, 1)
+#: Rows in a task of a further try.
+AGAIN = 2048
 
 
 def edited(rows: DataFrame) -> DataFrame:
@@ -221,18 +233,6 @@ def edited(rows: DataFrame) -> DataFrame:
     return rows.withColumn("edited_sha256", F.sha2("edited", 256))
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows ``wanted`` (_bucket, _row, doc_id, h, next_id, next_h) with their texts."""
-    name = ["_bucket", "_row"]
-
-    def found(id_: str, h: str, text: str) -> DataFrame:
-        d = docs.select(F.col("doc_id").alias("_d"), F.col("h").alias("_x"), F.col("text").alias(text))
-        return wanted.join(d, [F.col(id_).eqNullSafe(F.col("_d")), F.col(h) == F.col("_x")]).drop("_d", "_x").dropDuplicates(name)
-
-    after = found("next_id", "next_h", "next").select(*name, "next")
-    return found("doc_id", "h", "text").join(after, name, "left")
-
-
 def fingerprint(docs: DataFrame) -> DataFrame:
     """Fingerprints of each whole text and of its edited text, and their likenesses.
 
@@ -240,20 +240,26 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     next document. Null text is the empty text, whose fingerprint has no paragraph. Equal texts get
     equal fingerprints. Repeated doc_ids stand by text; a row with a null doc_id stands last and has
     an empty next text. An empty table gives an empty result; further columns are ignored.
+
+    The table is shuffled once. The result of a try is stored with the texts of those documents alone
+    that didn't peel, and a further try deals just these.
     """
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    done, rows = [], edited(with_next(d))
+    spark = docs.sparkSession
+    done, rows = [], edited(with_next(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
     for turn in range(TRIES):
-        tried = stored(likenesses(rows, BY, TEXTS, PAIRS, SHOWN, turn), "fingerprints")
+        tried = likenesses(rows, BY, TEXTS, PAIRS, SHOWN, turn, KEEP)
+        tried = stored(tried.withColumns({c: F.when(~F.col("whole"), F.col(c)) for c in ("text", "next")}), "fingerprints")
         done.append(tried.filter("whole"))
-        open_ = tried.filter("not whole").select(*BY[:6])
-        if not open_.limit(1).count():
+        open_ = tried.filter("not whole")
+        n = open_.count()
+        if not n:
             break
-        rows = edited(_texts(d, open_))
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // AGAIN + 1)
+        rows = edited(open_.select(*BY, "doc_id", "text", "next").repartition(tasks, *BY))
     else:
-        left, rows = tried.filter("not whole").drop("near0", "near1"), stored(rows, "texts")
+        left = open_.drop("near0", "near1")
         for k, (a, b) in enumerate(PAIRS):
-            left = left.join(_compared(rows, BY[:2], TEXTS[a], TEXTS[b], f"near{k}"), BY[:2])
+            left = left.join(_compared(rows, BY, TEXTS[a], TEXTS[b], f"near{k}"), BY)
         done.append(left.select(*done[0].columns))
     found = functools.reduce(DataFrame.unionByName, done)
     return found.select("doc_id", "n_chars", "edited_sha256", F.col("shown0").alias("fingerprint"), F.col("shown1").alias("edited_fingerprint"), F.col("near0").alias("near_edited"), F.col("near1").alias("near_next"))
